@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     pieces = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(first, ddl))
     done = pieces.where("sequence_id IS NOT NULL")
     again = cut(pieces.where("sequence_id IS NULL").groupBy("k").applyInPandas(second, ddl))
-    last = again.where("sequence_id IS NULL").groupBy(F.lit(0)).applyInPandas(third, ddl)
+    last = again.where("sequence_id IS NULL").groupBy().applyInPandas(third, ddl)
     return done.unionByName(again.where("sequence_id IS NOT NULL")).unionByName(last).drop("k")
 
 
