@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgrid.llm.fingerprints import fingerprint_edits
+from driftgrid.llm.mixing import mix_sources
 from driftgrid.llm.packing import pack
+from driftgrid.llm.pseudonyms import pseudonymize
 from driftgrid.llm.sharding import shuffle_into_shards
 from driftgrid.llm.topk import top_k
 from driftgrid.llm.warc import read_archives, run_folder, write_archives
@@ -46,6 +49,35 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 """
 
 
+# Parameters of the production mix: a source's domain is its number modulo 4.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "*": 1}, "source": {"*": 1}}
+MIX_LEVELS = {
+    "domain": F.concat(F.lit("d"), (F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)") % 4).cast("string")),
+    "lang": F.col("lang"),
+    "source": F.col("source"),
+}
+#: Tokens as they are estimated for budgets: one for every four characters begun.
+MIX_TOKENS = F.expr("(length(coalesce(text, '')) + 3) div 4")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mix_sources(docs, MIX_LEVELS, MIX_WEIGHTS, tokens=MIX_TOKENS, budget=(1, 1), max_epochs=4, seed=11)
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "lang", "source", "epoch", F.col("mix_tokens").alias("tokens"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY, count_col="n_private")
+
+
+#: The key of the registered query; a real run takes its own.
+PII_KEY = "driftgrid-demo-key"
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "warc")
     manifest = write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -61,8 +93,13 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op5_warc": op5_warc, "op6_pack": op6_pack}
+    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op8_fingerprint": op8_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
