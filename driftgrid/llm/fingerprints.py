@@ -1,11 +1,12 @@
 """Document fingerprints by invertible Bloom lookup sketches. DataFrame functions only.
 
-A text is a set of paragraph digests: its lines, long ones in pieces. Each
-digest is added to one cell of each of three parts of the sketch: a count, the
-xor of the digests and the xor of their checks. The cells of two versions are
-subtracted; what they share cancels out, and peeling (a cell that holds one
-digest gives it up, which frees others) recovers the digests that differ. If
-that stalls, both sketches are made again four times larger.
+A text is a set of paragraph digests: its lines, long ones in pieces. A digest
+has 40 bits and 24 check bits computed from them. It is added, by xor, to one
+cell of each of three parts of the sketch. The cells of two versions are
+subtracted (xor again); what they share cancels out, and peeling (a cell whose
+check bits are right holds one digest; taking it out frees others) recovers the
+digests that differ. If that stalls, both sketches are made again four times
+larger.
 """
 
 from __future__ import annotations
@@ -13,78 +14,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 512
+PIECE = 256
 SIZES = (8, 32, 128, 512, 2048)
 ROUNDS = 16
 BLOCK_ROWS = 4000
 BROADCAST_BLOCKS = 100_000
+CHECK_BITS, FIELD_BITS = 24, 13
+CHECK_MASK = (1 << CHECK_BITS) - 1
+
+
+def check(k: Column) -> Column:
+    return F.xxhash64(F.shiftrightunsigned(k, CHECK_BITS), F.lit(1)).bitwiseAND(F.lit(CHECK_MASK))
 
 
 def digests(text: Column, piece: int = PIECE) -> Column:
     """Distinct digests of the lines of a text; a line is cut every ``piece`` characters."""
     lines = F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{piece}}}+\n?+|\n"), F.lit(0))
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
+    def digest(x: Column) -> Column:
+        bits = F.shiftleft(F.shiftrightunsigned(F.xxhash64(x), CHECK_BITS), CHECK_BITS)
+        return bits.bitwiseOR(check(bits))
 
-def check(k: Column) -> Column:
-    """32 bits of a second hash."""
-    return F.xxhash64(k, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.array_distinct(F.transform(lines, digest))
 
 
 def cell(k: Column, part: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(k, F.lit(size + part + 2)), F.lit(size)).cast("int")
+    """Each part reads its own bits of the digest; sizes are powers of two."""
+    return F.shiftrightunsigned(k, CHECK_BITS + FIELD_BITS * part).bitwiseAND(F.lit(size - 1))
 
 
 def build(items: Column, size: int) -> Column:
-    """Cells (n, k, c) of the three parts from (n, k) items.
+    """The cells of the three parts, one after the other.
 
-    The items are first dealt into about sqrt(size) runs of cells, so a cell
-    looks at its run's items only.
+    For larger sizes items are first dealt into about sqrt(size) runs of cells,
+    so that a cell looks at the items of its run only.
     """
-    run = max(1, round(size**0.5))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    add = lambda a, x: F.struct((a.n + x.n).alias("n"), a.k.bitwiseXOR(x.k).alias("k"), a.c.bitwiseXOR(x.c).alias("c"))
-    parts = []
-    for p in range(3):
-        placed = F.transform(items, lambda x: F.struct(cell(x.k, p, size).alias("at"), x.n.alias("n"), x.k.alias("k"), check(x.k).alias("c")))
-
-        def cells(all_of: Column) -> Column:
-            def of_run(r: Column) -> Column:
-                mine = F.filter(all_of, lambda x: F.floor(x["at"] / run) == r)
-                one = lambda own: F.transform(F.sequence(r * run, F.least(r * run + run, F.lit(size)) - 1), lambda i: F.aggregate(F.filter(own, lambda x: x["at"] == i), zero, add))
-                return F.flatten(F.transform(F.array(mine), one))
+    return F.concat(*(part_cells(items, p, size) for p in range(3)))
 
-            return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((size - 1) // run).cast("long")), of_run))
 
-        parts.append(F.flatten(F.transform(F.array(placed), cells)))
-    return F.concat(*parts)
+def part_cells(items: Column, part: int, size: int) -> Column:
+    zero = F.lit(0).cast("long")
+    run = 1 if size <= 8 else 1 << (size.bit_length() // 2)
+    span = F.sequence(zero, F.lit(size // run - 1).cast("long"))
+    xor = lambda own, i: F.aggregate(own, zero, lambda a, k: F.when(cell(k, part, size) == i, a.bitwiseXOR(k)).otherwise(a))
+    if run == 1:
+        return F.transform(span, lambda i: xor(items, i))
 
+    def of_run(r: Column) -> Column:
+        mine = F.filter(items, lambda k: F.shiftrightunsigned(cell(k, part, size), run.bit_length() - 1) == r)
+        cells = lambda own: F.transform(F.sequence(r * run, r * run + (run - 1)), lambda i: F.when(F.size(own) > 0, xor(own, i)).otherwise(zero))
+        return F.element_at(F.transform(F.array(mine), cells), 1)
 
-def signed(keys: Column, n: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
+    return F.flatten(F.transform(span, of_run))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x.n - y.n).alias("n"), x.k.bitwiseXOR(y.k).alias("k"), x.c.bitwiseXOR(y.c).alias("c")))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def peel(cells: Column, size: int) -> Column:
     """How many digests differ, or null where peeling stalls."""
-    clean = lambda cs: F.forall(cs, lambda x: (x.n == 0) & (x.k == 0) & (x.c == 0))
+    pure = lambda cs: F.array_distinct(F.filter(cs, lambda k: (k != 0) & (check(k) == k.bitwiseAND(F.lit(CHECK_MASK)))))
 
     def step(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda x: (F.abs(x.n) == 1) & (check(x.k) == x.c)), lambda x: F.struct(x.n.alias("n"), x.k.alias("k"))))
-        more = lambda new: F.struct(subtract(s["cells"], build(new, size)).alias("cells"), (s["found"] + F.size(new)).alias("found"), (F.size(new) == 0).alias("over"))
-        return F.when(s["over"], s).otherwise(F.element_at(F.transform(F.array(pure), lambda new: F.when(F.size(new) == 0, F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(True).alias("over"))).otherwise(more(new))), 1))
+        def taken(new: Column) -> Column:
+            return F.when(F.size(new) == 0, F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(True).alias("over"))).otherwise(
+                F.struct(subtract(s["cells"], build(new, size)).alias("cells"), (s["found"] + F.size(new)).alias("found"), F.lit(False).alias("over"))
+            )
+
+        return F.when(s["over"], s).otherwise(F.element_at(F.transform(F.array(pure(s["cells"])), taken), 1))
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("over"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(clean(s["cells"]), s["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["cells"], lambda k: k == 0), s["found"]))
 
 
 def differing(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     """Digests in one of two sets only: peeled from the sketches, retried larger; counted from the sets beyond the largest."""
     tries = [peel(subtract(a_cells, b_cells), SIZES[0])]
-    tries += [peel(subtract(build(signed(a, 1), s), build(signed(b, 1), s)), s) for s in SIZES[1:]]
+    tries += [peel(subtract(build(a, s), build(b, s)), s) for s in SIZES[1:]]
     return F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
@@ -95,10 +102,9 @@ def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.element_at(F.transform(F.array(d), lambda x: (both - x) / (both + x).cast("double")), 1))
 
 
-def text_of(cells: Column) -> Column:
-    """Fingerprint as text: count, digest and check of every cell in hex."""
-    one = lambda x: F.concat(F.lpad(F.hex(x.n.cast("long")), 4, "0"), F.lpad(F.hex(x.k), 16, "0"), F.lpad(F.hex(x.c), 8, "0"))
-    return F.lower(F.array_join(F.transform(cells, one), ""))
+def text_of(digest_set: Column, cells: Column) -> Column:
+    """Fingerprint as text: how many digests, then every cell in hex."""
+    return F.lower(F.concat(F.hex(F.size(digest_set).cast("long")), F.lit(":"), F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
 def with_next(df: DataFrame, id_col: str, carried: dict[str, Column]) -> DataFrame:
@@ -143,6 +149,6 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.withColumn("edited_text", F.concat(F.substring("__text", F.lit(1), F.length("__text") - third), F.substring("__next", F.lit(1), third)))
     for name, text in (("a", "__text"), ("e", "edited_text"), ("x", "__next")):
         out = out.withColumn(f"__{name}", digests(F.col(text)))
-    out = out.withColumns({f"__{n}c": build(signed(F.col(f"__{n}"), 1), SIZES[0]) for n in "aex"})
+    out = out.withColumns({f"__{n}c": build(F.col(f"__{n}"), SIZES[0]) for n in "aex"})
     near = lambda n: likeness(F.col("__a"), F.col(f"__{n}"), F.col("__ac"), F.col(f"__{n}c"))
-    return out.select(id_col, "n_chars", "edited_text", text_of(F.col("__ac")).alias("fingerprint"), text_of(F.col("__ec")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
+    return out.select(id_col, "n_chars", "edited_text", text_of(F.col("__a"), F.col("__ac")).alias("fingerprint"), text_of(F.col("__e"), F.col("__ec")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
