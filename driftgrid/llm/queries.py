@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.llm.fingerprints import fingerprint_edits
 from driftgrid.llm.mixing import mix_sources
+from driftgrid.llm.near_duplicates import near_duplicates
 from driftgrid.llm.packing import pack
 from driftgrid.llm.pseudonyms import pseudonymize
 from driftgrid.llm.sharding import shuffle_into_shards
@@ -94,6 +95,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -105,7 +110,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op8_fingerprint": op8_fingerprint, "op10_repeats": op10_repeats}
+    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op7_jaccard": op7_jaccard, "op8_fingerprint": op8_fingerprint, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
