@@ -11,12 +11,15 @@ fewer than k pieces for each class in all, and is laid end to end.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,23 +31,54 @@ CACHE_ENTRIES = 1_000_000
 # Stages of a sequence id (its two top bits) and where the worker's number starts.
 STAGE_BITS, WORKER_BITS = 61, 32
 
+# Fixed value: how byte-level BPE splits text into words.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _encoders: dict[str, "Encoder"] = {}
 
 
+def bytes_of_characters() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE file, as little-endian uint32 bytes.
 
     Byte-level BPE never merges across a space that stands before a non-space
     character, so a text is cut there and each distinct piece encoded once.
+    Where the file's merges come in the order of their ids, tiktoken encodes the
+    pieces by the same vocabulary, several times faster; else tokenizers does.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.fast = self.by_rank(path)
+
+    def by_rank(self, path: str) -> tiktoken.Encoding | None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if model.get("type") != "BPE" or not plain or spec.get("normalizer"):
+            return None
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made != sorted(made):
+            return None
+        of = bytes_of_characters()
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("vocabulary", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if self.fast:
+            encode = self.fast.encode_ordinary
+            return [array("I", encode(t)).tobytes() for t in texts]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.pieces(t) for t in texts]
