@@ -16,6 +16,7 @@ from driftgrid.llm.pseudonyms import pseudonymize
 from driftgrid.llm.sharding import shuffle_into_shards
 from driftgrid.llm.substrings import remove_repeats
 from driftgrid.llm.topk import top_k
+from driftgrid.llm.toxicity import held_out, score, train
 from driftgrid.llm.warc import read_archives, run_folder, write_archives
 
 
@@ -104,13 +105,24 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with score and predicted, by a model trained on the labelled documents of the folder."""
+    model = train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(spark, docs, sf_dir).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op7_jaccard": op7_jaccard, "op8_fingerprint": op8_fingerprint, "op10_repeats": op10_repeats}
+    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op7_jaccard": op7_jaccard, "op8_fingerprint": op8_fingerprint, "op9_toxicity": op9_toxicity, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
