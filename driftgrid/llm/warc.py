@@ -40,9 +40,14 @@ def digest(payload: bytes) -> str:
 
 
 def train_dictionary(df: DataFrame, payload_col: str, id_col: str, records: int = SAMPLE_RECORDS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from at most ``records`` payloads, ``chars`` characters of each; raw content where there is too little to train on."""
-    some = df.where(F.length(payload_col) > 0).select(F.substring(payload_col, 1, chars).alias("p"), F.xxhash64(id_col).alias("h")).orderBy("h", "p").limit(records)
-    samples = [r.p.encode() for r in some.select("p").collect()]
+    """A dictionary from about ``records`` payloads drawn by hash, twice as many at most, ``chars`` characters of each.
+
+    Raw content where there is too little to train on.
+    """
+    rows = df.count()
+    near = F.pmod(F.xxhash64(id_col, payload_col), F.lit(max(1, rows))) < records
+    some = df.where(F.length(payload_col) > 0).where(near).select(F.substring(payload_col, 1, chars).alias("p")).limit(2 * records)
+    samples = sorted(r.p.encode() for r in some.collect())
     total = sum(map(len, samples))
     if len(samples) < 50 or total < 100_000:
         return b"".join(samples)[:size]
@@ -171,7 +176,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield typed(pd.DataFrame(rows, columns=names))
 
     schema = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
-    return manifest.select("path").repartition("path").mapInPandas(read, schema)
+    archives = max(1, manifest.count())
+    return manifest.select("path").repartition(archives, "path").mapInPandas(read, schema)
 
 
 def typed(frame: pd.DataFrame) -> pd.DataFrame:
