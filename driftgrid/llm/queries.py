@@ -72,6 +72,60 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "lang", "source", "epoch", F.col("mix_tokens").alias("tokens"))
 
 
+OP3_LEVEL = """
+{name} AS (
+  SELECT n.*, b.budget FROM (SELECT {path}, sum(cap) AS cap, {weight} AS w FROM tree GROUP BY {path}) n
+  JOIN {above} b ON {on} WHERE {weight_check}
+), {name}_a AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap::DOUBLE / w::DOUBLE, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+         sum(w) OVER (PARTITION BY {parent} ORDER BY cap::DOUBLE / w::DOUBLE, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws,
+         row_number() OVER (PARTITION BY {parent} ORDER BY cap::DOUBLE / w::DOUBLE, {child}) AS n
+  FROM {name} WHERE cap > 0 AND w > 0
+), {name}_b AS (
+  SELECT *, min(CASE WHEN room * w < cap * ws THEN n END) OVER (PARTITION BY {parent}) AS lead_n FROM {name}_a
+), {name}_c AS (
+  SELECT {path}, (CASE WHEN lead_n IS NULL OR n < lead_n THEN cap
+         ELSE w * max(CASE WHEN n = lead_n THEN room END) OVER (PARTITION BY {parent}) // max(CASE WHEN n = lead_n THEN ws END) OVER (PARTITION BY {parent}) END)::HUGEINT AS budget
+  FROM {name}_b
+)"""
+
+
+def _op3_sql() -> str:
+    levels = ["domain", "lang", "source"]
+    weight = {
+        "domain": "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1 ELSE 1 END",
+        "lang": "CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END",
+        "source": "1",
+    }
+    parts, above = [], "total"
+    for i, level in enumerate(levels):
+        on = " AND ".join(f"n.{x} = b.{x}" for x in levels[:i]) or "true"
+        parts.append(OP3_LEVEL.format(name=f"l{i}", path=", ".join(levels[: i + 1]), weight=f"{weight[level]}::HUGEINT", weight_check="true", above=above, on=on, parent=", ".join(levels[:i]) or "1", child=level))
+        above = f"l{i}_c"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         coalesce('d' || (TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4)::VARCHAR, '(none)') AS domain,
+         ((length(coalesce(text, '')) + 3) // 4)::HUGEINT AS t
+  FROM documents
+), tree AS (SELECT domain, lang, source, sum(t)::HUGEINT AS supply, 4 * sum(t)::HUGEINT AS cap FROM docs GROUP BY domain, lang, source),
+total AS (SELECT sum(supply)::HUGEINT AS budget FROM tree),
+{",".join(parts)},
+leaf AS (
+  SELECT c.*, t.supply, c.budget // t.supply AS whole, c.budget % t.supply AS rest
+  FROM {above} c JOIN tree t USING (domain, lang, source) WHERE c.budget > 0
+), drawn AS (
+  SELECT d.*, l.whole, l.rest, sum(t) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('11|' || l.whole::VARCHAR || '|' || coalesce(doc_id::VARCHAR, 'null')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM docs d JOIN leaf l USING (domain, lang, source)
+), n AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM drawn)
+SELECT doc_id, lang0 AS lang, source0 AS source, e::INTEGER AS epoch, t::BIGINT AS tokens
+FROM (SELECT *, unnest(range(0, copies::BIGINT)) AS e FROM n)
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, PII_KEY, count_col="n_private")
@@ -122,8 +176,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_topk": op2_topk, "op3_mix": op3_mix, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_pack": op6_pack, "op7_jaccard": op7_jaccard, "op8_fingerprint": op8_fingerprint, "op9_toxicity": op9_toxicity, "op10_repeats": op10_repeats}
+    return {
+        "op1_shard": op1_shard,
+        "op2_topk": op2_topk,
+        "op3_mix": op3_mix,
+        "op4_pii": op4_pii,
+        "op5_warc": op5_warc,
+        "op6_pack": op6_pack,
+        "op7_jaccard": op7_jaccard,
+        "op8_fingerprint": op8_fingerprint,
+        "op9_toxicity": op9_toxicity,
+        "op10_repeats": op10_repeats,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL}
+    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL}
