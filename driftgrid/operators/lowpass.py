@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chebyshev(order: int, ripple_db: float, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -70,5 +71,6 @@ def lowpass(df: DataFrame, *, keys: list[str], t: str = "t", value: str = "value
         x = frame[value].to_numpy(float)
         return frame.assign(**{name: np.full(len(x), np.nan) if np.isnan(x).any() else zero_phase(b, a, x)})
 
-    out = held.groupBy(*keys).applyInPandas(one, held.schema.add(name, "double"))
+    schema = T.StructType([*held.schema.fields, T.StructField(name, T.DoubleType())])
+    out = held.groupBy(*keys).applyInPandas(one, schema)
     return out.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
