@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.llm.fingerprints import fingerprint_edits
@@ -54,17 +54,20 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 
 # Parameters of the production mix: a source's domain is its number modulo 4.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "*": 1}, "source": {"*": 1}}
-MIX_LEVELS = {
-    "domain": F.concat(F.lit("d"), (F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)") % 4).cast("string")),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
-}
-#: Tokens as they are estimated for budgets: one for every four characters begun.
-MIX_TOKENS = F.expr("(length(coalesce(text, '')) + 3) div 4")
+
+
+def mix_levels() -> dict[str, Column]:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)")
+    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_tokens() -> Column:
+    """Tokens as they are estimated for budgets: one for every four characters begun."""
+    return F.expr("(length(coalesce(text, '')) + 3) div 4")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs, MIX_LEVELS, MIX_WEIGHTS, tokens=MIX_TOKENS, budget=(1, 1), max_epochs=4, seed=11)
+    return mix_sources(docs, mix_levels(), MIX_WEIGHTS, tokens=mix_tokens(), budget=(1, 1), max_epochs=4, seed=11)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
