@@ -164,7 +164,7 @@ def factors(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     start, length = pos[head].astype(np.int32), (pos[tail] - pos[head] + window).astype(np.int32)
     doc = np.flatnonzero(new[head])
     cuts = doc[1:]
-    return pd.DataFrame({"__id": ids[head[doc]], "__tag": tags[head[doc]].astype(np.int32), "starts": np.split(start, cuts), "lengths": np.split(length, cuts)})
+    return pd.DataFrame({"__id": ids[head[doc]], "__tag": tags[head[doc]].astype(np.int32), "__starts": np.split(start, cuts), "__lengths": np.split(length, cuts)})
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -173,14 +173,14 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def repeated_factors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """__id, __tag, starts, lengths: the factors, in words, of every document that has one. They overlap where their windows do."""
+    """__id, __tag, __starts, __lengths: the factors, in words, of every document that has one. They overlap where their windows do."""
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / BYTES_PER_WORD / BLOCK_WINDOWS)))))
     groups = 1 << bits
     packed = df.select(*keyed(df, id_col, text_col), F.col(text_col)).mapInArrow(lambda b: seeds(b, window, bits, groups), SEED_SCHEMA)
     parts = 2 * groups
     found = packed.repartition(parts, "key").groupBy("key").applyInPandas(lambda k, f: look_up(k, f, groups), SEED_SCHEMA)
-    return found.repartition(groups, "key").groupBy("key").applyInPandas(lambda f: factors(f, window), "__id long, __tag int, starts array<int>, lengths array<int>")
+    return found.repartition(groups, "key").groupBy("key").applyInPandas(lambda f: factors(f, window), "__id long, __tag int, __starts array<int>, __lengths array<int>")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -202,7 +202,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts, lengths = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, "starts", "lengths"))
+            texts, starts, lengths = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, "__starts", "__lengths"))
             out, n_words, n_removed = [], [], []
             for t, s, n in zip(texts.to_pylist(), starts, lengths):
                 w = (t or "").encode().split()
