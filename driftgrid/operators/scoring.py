@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-15
@@ -81,10 +81,17 @@ def votes(df: DataFrame, *, keys: list[str], y_pred: str = "y_pred", majority: f
     return df.groupBy(*keys).agg(F.avg(F.col(y_pred).cast("double")).alias("share"), F.count("*").alias("models")).withColumn("event", (F.col("share") >= majority).cast("tinyint"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two columns; NULL where one of them is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def fit_quality(df: DataFrame, *, keys: list[str], predicted: str, observed: str) -> DataFrame:
     """Root mean squared error over the population deviation, and Pearson correlation."""
     p, y = F.col(predicted).cast("double"), F.col(observed).cast("double")
-    return df.groupBy(*keys).agg(F.try_divide(F.sqrt(F.avg((p - y) * (p - y))), F.nullif(F.stddev_pop(y), F.lit(0.0))).alias("nrmse"), F.corr(p, y).alias("pearson"))
+    return df.groupBy(*keys).agg(F.try_divide(F.sqrt(F.avg((p - y) * (p - y))), F.nullif(F.stddev_pop(y), F.lit(0.0))).alias("nrmse"), pearson(p, y).alias("pearson"))
 
 
 def skill_table(scores: DataFrame, *, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftgrid.operators.scoring import pearson
+
 MAX_GRID = 1_000_000
 
 
@@ -76,7 +78,7 @@ def kernel_density(df: DataFrame, x: str, y: str, *, points: int = 200, low: flo
 def correlation(df: DataFrame, x: str, y: str, *, keys: list[str]) -> DataFrame:
     """Pearson r, n, and the t statistic of r."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    out = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
+    out = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(pearson(a, b).alias("r"), F.count("*").alias("n"))
     return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.nullif(F.sqrt(1 - F.col("r") * F.col("r")), F.lit(0.0))))
 
 

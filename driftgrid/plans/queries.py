@@ -382,7 +382,7 @@ def skill(spark: SparkSession, sf: str) -> DataFrame:
     return R.skill_table(base.scores(spark, sf).withColumn("y_pred", K.binarize(F.col("y_prob"), 0.4)), keys=["doc_id"])
 
 
-@query(f"WITH {P} SELECT phase, round(sqrt(avg((y_prob - y_true) ** 2)) / nullif(stddev_pop(y_true), 0), 6) AS nrmse, round(corr(y_prob, y_true), 6) AS pearson FROM p GROUP BY phase")
+@query(f"WITH {P} SELECT phase, round(sqrt(avg((y_prob - y_true) ** 2)) / nullif(stddev_pop(y_true), 0), 6) AS nrmse, round(covar_pop(y_prob, y_true) / nullif(stddev_pop(y_prob) * stddev_pop(y_true), 0), 6) AS pearson FROM p GROUP BY phase")
 def fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.fit_quality(base.scores(spark, sf), keys=["phase"], predicted="y_prob", observed="y_true"))
 
