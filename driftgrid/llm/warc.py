@@ -103,8 +103,9 @@ def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_c
     """Write every row as a WARC record to ``folder``; returns the manifest: path, records, bytes.
 
     ``folder`` is a URI of a store that all executors reach. An archive gets its
-    final name by a rename after it is complete, and the name depends on the
-    partition alone, so a repeated task replaces its own files.
+    final name, which holds the task's attempt, by a rename after it is complete.
+    The manifest lists the archives of the attempts that counted; what a lost
+    attempt has left is in none.
 
     A null payload is empty; a null id or URL is written as empty; of repeated
     rows with the smallest id each is a response. An empty table gives no archive.
@@ -123,7 +124,7 @@ def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_c
         def close() -> None:
             nonlocal out, part
             out.close()
-            final = f"{base}/part-{task.partitionId():06d}-{part:04d}.warc.zst"
+            final = f"{base}/part-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.warc.zst"
             fs.move(temp(), final)
             made.append((final, n, size))
             out, part = None, part + 1
