@@ -40,7 +40,7 @@ def whole(x: np.ndarray, *kinds: type) -> bytes:
 
 def read(raw: bytes, n: int) -> np.ndarray:
     """Numbers written by ``whole``; the width follows from how many there are."""
-    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}").astype(np.int32)
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
@@ -59,6 +59,20 @@ def unpack_hashes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], np.uint64), d.reshape(-1).view(np.uint64)]), dtype=np.uint64)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending int64 as the first and 4-byte differences, or as they are where one difference is larger."""
+    d = np.diff(ids)
+    if len(d) and (int(d.min()) < 0 or int(d.max()) >> 32):
+        return b"\x08" + ids.tobytes()
+    return b"\x04" + ids[:1].tobytes() + d.astype(np.uint32).tobytes()
+
+
+def unpack_ids(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, np.int64, offset=1)
+    return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], np.int64), np.frombuffer(raw, np.uint32, offset=9).astype(np.int64)]))
+
+
 def later(ids: np.ndarray, pos: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Entries of sorted groups (``start`` marks the first of each) that come strictly after their group's first."""
     first = np.flatnonzero(start)[np.cumsum(start) - 1]
@@ -73,7 +87,7 @@ def by_document(group: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.nd
     for a, b in zip(edges, np.append(edges[1:], len(group))):
         i, t, p = ids[a:b], tags[a:b], pos[a:b]
         doc = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
-        yield -1 - int(group[a]), i[doc].tobytes(), t[doc].astype(np.uint16).tobytes(), whole(np.diff(np.append(doc, b - a)), np.uint16, np.uint32), whole(p, np.uint16, np.uint32), b""
+        yield -1 - int(group[a]), pack_ids(i[doc]), t[doc].astype(np.uint16).tobytes(), whole(np.diff(np.append(doc, b - a)), np.uint16, np.uint32), whole(p, np.uint16, np.uint32), b""
 
 
 def spread(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -91,7 +105,7 @@ def seeds(batches: Iterator[pa.RecordBatch], window: int, bits: int, groups: int
         order = np.lexsort((tags, ids))
         begin = np.cumsum(counts) - counts
         take = np.repeat(begin[order] - (np.cumsum(counts[order]) - counts[order]), counts[order]) + np.arange(len(h))
-        ids, tags, rank = ids[order], tags[order], np.repeat(np.arange(len(ids)), counts[order])
+        ids, tags, rank = ids[order], tags[order], np.repeat(np.arange(len(ids), dtype=np.int32), counts[order])
         h, pos = h[take], pos[take]
         s = np.argsort(h, kind="stable")
         h, pos, rank = h[s], pos[s], rank[s]
@@ -100,12 +114,12 @@ def seeds(batches: Iterator[pa.RecordBatch], window: int, bits: int, groups: int
         h, pos, rank = h[~again], pos[~again], rank[~again]
         block = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(h) else np.zeros(0, int)
-        table, marks = ids.tobytes(), tags.astype(np.uint16).tobytes()
+        table, marks = pack_ids(ids), tags.astype(np.uint16).tobytes()
         for a, b in zip(edges, np.append(edges[1:], len(h))):
             used = np.unique(rank[a:b])
             few = len(used) < len(ids)
             where = np.searchsorted(used, rank[a:b]) if few else rank[a:b]
-            rows.append((int(block[a]), ids[used].tobytes() if few else table, tags[used].astype(np.uint16).tobytes() if few else marks, pack_hashes(h[a:b]), whole(where, np.uint16, np.uint32), whole(pos[a:b], np.uint16, np.uint32)))
+            rows.append((int(block[a]), pack_ids(ids[used]) if few else table, tags[used].astype(np.uint16).tobytes() if few else marks, pack_hashes(h[a:b]), whole(where, np.uint16, np.uint32), whole(pos[a:b], np.uint16, np.uint32)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["key", "ids", "tags", "a", "b", "c"])
 
@@ -115,7 +129,7 @@ def seeds(batches: Iterator[pa.RecordBatch], window: int, bits: int, groups: int
         for i, j, w in words(batch.column(2)):
             n = np.diff(w.first)
             h = ngrams(w.hash, window)
-            pos = np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)
+            pos = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)).astype(np.int32)
             fits = (pos + window <= np.repeat(n, n))[: len(h)]
             held.append((ids[i:j], tags[i:j], np.maximum(n - window + 1, 0), h[fits], pos[: len(h)][fits]))
             size += int(fits.sum())
@@ -136,7 +150,7 @@ def look_up(key: tuple, frame: pd.DataFrame, groups: int) -> pd.DataFrame:
         one = unpack_hashes(r.a)
         where = read(r.b, len(one))
         h.append(one), pos.append(read(r.c, len(one)))
-        ids.append(np.frombuffer(r.ids, np.int64)[where]), tags.append(np.frombuffer(r.tags, np.uint16)[where].astype(np.int64))
+        ids.append(unpack_ids(r.ids)[where]), tags.append(np.frombuffer(r.tags, np.uint16)[where])
     h, ids, tags, pos = map(np.concatenate, (h, ids, tags, pos))
     s = np.argsort(h)
     same = h[s][1:] == h[s][:-1]
@@ -152,7 +166,7 @@ def factors(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     """Factors of every document of a group: runs of found windows, in words."""
     ids, tags, pos = [], [], []
     for r in frame.itertuples(index=False):
-        one = np.frombuffer(r.ids, np.int64)
+        one = unpack_ids(r.ids)
         n = read(r.a, len(one))
         ids.append(np.repeat(one, n)), tags.append(np.repeat(np.frombuffer(r.tags, np.uint16).astype(np.int64), n)), pos.append(read(r.b, int(n.sum())))
     ids, tags, pos = map(np.concatenate, (ids, tags, pos))

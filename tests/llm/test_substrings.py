@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from driftgrid.llm import substrings
-from driftgrid.llm.substrings import pack_hashes, remove_repeats, unpack_hashes
+from driftgrid.llm.substrings import pack_hashes, pack_ids, remove_repeats, unpack_hashes, unpack_ids
 from tests.llm.data import documents, frame, words
 
 
@@ -59,3 +59,9 @@ def test_packed_hashes():
         assert (unpack_hashes(pack_hashes(h)) == h).all()
     dense = np.sort(rng.integers(0, 2**40, 500, dtype=np.uint64))
     assert len(pack_hashes(dense)) == 9 + 6 * 499 and (unpack_hashes(pack_hashes(dense)) == dense).all()
+
+
+def test_packed_ids():
+    for ids in ([5], [-(2**63), -3, 0, 0, 2**63 - 1], [1, 2, 2, 2**32 + 1], list(range(100))):
+        x = np.array(ids, np.int64)
+        assert (unpack_ids(pack_ids(x)) == x).all()
