@@ -117,14 +117,16 @@ class Likeness:
         np.add.at(out, r[hit], self.values[row[hit]] * v[hit, None])
         return np.where(out >= QUIET, np.minimum(out, 1.0), 0.0)
 
-    def learn(self, words: list[str]) -> None:
-        """Remember words: their landmarks and likenesses, or None."""
-        if len(self.known) + len(words) > self.limit:
+    def learn(self, words: set[str]) -> None:
+        """Remember words: their landmarks and likenesses, or None. All of ``words`` are known afterwards, whatever was forgotten."""
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
-        self.known.update(dict.fromkeys(words))
-        words = sorted(words, key=len)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+            new = words
+        self.known.update(dict.fromkeys(new))
+        ordered = sorted(new, key=len)
+        for at in range(0, len(ordered), 20_000):
+            part = ordered[at : at + 20_000]
             r, u, v = subsequences([word_of(w)[:WORD_CHARS] for w in part])
             most = np.bincount(r, self.top[self.table[u]] * v, len(part))
             some = np.flatnonzero(most >= QUIET)
@@ -169,8 +171,7 @@ def sentence_features(texts: list[str], like: Likeness) -> list[list[tuple[np.nd
     texts = [normal(t) for t in texts]
     tokens = [WORD.findall(t) for t in texts]
     vocabulary = [set(x) for x in tokens]
-    new = set().union(*vocabulary) - like.known.keys() if vocabulary else set()
-    like.learn(list(new))
+    like.learn(set().union(*vocabulary))
     known, out = like.known, []
     for text, words in zip(texts, vocabulary):
         loud = {w for w in words if known.get(w) is not None}

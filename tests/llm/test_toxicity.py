@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm.toxicity import fit, held_out, score, subsequences, train
+from driftgrid.llm.toxicity import Likeness, fit, held_out, score, subsequences, train
 from tests.llm.data import frame, words
 
 INSULTS = ["blockhead", "numbskull", "dimwit"]
@@ -74,3 +74,16 @@ def test_table(spark, model):
 def test_no_or_one_class():
     assert fit([], np.zeros(0)).scores(["x"])[0] < 1
     assert fit(["a b", "c d"], np.zeros(2)).scores(["x", ""]).shape == (2,)
+
+
+def test_known_words_overflow(model):
+    texts, _ = corpus(40, seed=3)
+    chunks = [texts[i : i + 8] for i in range(0, 40, 8)] * 2
+    like = model.like
+    want = np.concatenate([model.scores([t]) for t in texts] * 2)
+    try:
+        for limit in (1, 60, 200):
+            model._like = Likeness(model.landmarks, limit)
+            assert np.array_equal(np.concatenate([model.scores(c) for c in chunks]), want), limit
+    finally:
+        model._like = like
