@@ -36,7 +36,9 @@ QUIET = 0.5  # a likeness below this is none
 LETTERS = 32
 KNOWN_WORDS = 1_000_000
 FIT_WORDS = 100_000  # known words while a model is fitted
-WORD_CHARS = 64  # a longer run of letters counts by its first so many
+WORD_CHARS = 64  # a longer run of letters counts by the best of all its windows of so many
+PIECE_CHARS = 1_024  # windows of a longer run are summed in pieces of so many
+PIECE_CELLS = 200_000  # characters of pieces looked at together
 SIGNIFICANT = 24.0  # least log-likelihood ratio of a landmark
 
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -61,6 +63,12 @@ def word_of(w: str) -> str:
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence, weight) of all four-character subsequences within SPAN; the word's start counts as a character."""
+    r, _, u, v = placed(words)
+    return r, u, v
+
+
+def placed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, position, subsequence, weight): ``subsequences`` with the position where each begins, 0 for the word's start."""
     size = np.array([len(w) for w in words], np.int64)
     width = int(size.max(initial=0)) + 1
     codes = np.zeros((len(words), width), np.int64)
@@ -68,15 +76,15 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     codes[np.repeat(np.arange(len(words)), size), at + 1] = flat
     codes[:, 0] = 1
-    rows, subs, weights = [], [], []
+    rows, begins, subs, weights = [], [], [], []
     for x, y, z in combinations(range(1, SPAN), 3):
         if z < width:
             a, b, c, d = codes[:, : width - z], codes[:, x : width - z + x], codes[:, y : width - z + y], codes[:, z:]
             r, at = np.nonzero(d)
-            rows.append(r), subs.append(((a[r, at] * LETTERS + b[r, at]) * LETTERS + c[r, at]) * LETTERS + d[r, at]), weights.append(np.full(len(r), DECAY ** (z - 3), np.float32))
+            rows.append(r), begins.append(at), subs.append(((a[r, at] * LETTERS + b[r, at]) * LETTERS + c[r, at]) * LETTERS + d[r, at]), weights.append(np.full(len(r), DECAY ** (z - 3), np.float32))
     if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-    return np.concatenate(rows), np.concatenate(subs), np.concatenate(weights)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+    return np.concatenate(rows), np.concatenate(begins), np.concatenate(subs), np.concatenate(weights)
 
 
 def counts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,17 +132,62 @@ class Likeness:
             self.known.clear()
             new = words
         self.known.update(dict.fromkeys(new))
-        ordered = sorted(new, key=len)
+        ordered = sorted((w for w in new if len(w) <= WORD_CHARS), key=len)
         for at in range(0, len(ordered), 20_000):
             part = ordered[at : at + 20_000]
-            r, u, v = subsequences([word_of(w)[:WORD_CHARS] for w in part])
+            r, u, v = subsequences([word_of(w) for w in part])
             most = np.bincount(r, self.top[self.table[u]] * v, len(part))
             some = np.flatnonzero(most >= QUIET)
             if len(some):
-                rows = self.of([word_of(part[i])[:WORD_CHARS] for i in some])
+                rows = self.of([word_of(part[i]) for i in some])
                 for i, row in zip(some, rows):
                     if row.any():
                         self.known[part[i]] = (np.flatnonzero(row), row[row > 0])
+        runs = sorted((w for w in new if len(w) > WORD_CHARS), key=len)
+        for w, row in zip(runs, self.of_runs([word_of(w) for w in runs])):
+            if row.any():
+                self.known[w] = (np.flatnonzero(row), row[row > 0])
+
+    def of_runs(self, runs: list[str]) -> np.ndarray:
+        """Matrix runs x landmarks for runs longer than WORD_CHARS: the best of all windows.
+
+        A window holds the subsequences that begin at one of WORD_CHARS + 1
+        neighbouring positions, the run's start being one. Runs are cut into
+        pieces that overlap by a window, so that each window lies in a piece.
+        """
+        out = np.zeros((len(runs), len(self.landmarks)), np.float32)
+        reach = PIECE_CHARS + WORD_CHARS + SPAN
+        part: list[tuple[int, bool, str]] = []
+        wide = 0
+        for i, run in enumerate(runs):
+            for at in range(0, len(run), PIECE_CHARS):
+                piece = run[at : at + reach]
+                wide = max(wide, len(piece))
+                part.append((i, at == 0, piece))
+                if len(part) * wide >= PIECE_CELLS:
+                    self._windows(part, out)
+                    part, wide = [], 0
+        self._windows(part, out)
+        return np.where(out >= QUIET, np.minimum(out, 1.0), 0.0)
+
+    def _windows(self, part: list[tuple[int, bool, str]], out: np.ndarray) -> None:
+        """Raise ``out`` to the best windows of pieces (run, whether the run starts there, text)."""
+        r, at, u, v = placed([piece for _, _, piece in part])
+        first = np.array([starts for _, starts, _ in part], bool)
+        row = self.table[u]
+        hit = np.flatnonzero((row > 0) & ((at > 0) | first[r]))
+        most = np.bincount(r[hit], self.top[row[hit]] * v[hit], len(part))
+        hit = hit[most[r[hit]] >= QUIET]
+        hit = hit[np.lexsort((at[hit], r[hit]))]
+        where = np.searchsorted(r[hit], np.arange(len(part) + 1))
+        for p in np.flatnonzero(np.diff(where)):
+            own = hit[where[p] : where[p + 1]]
+            # sums up to each hit; the best window ends with a hit
+            total = np.zeros((len(own) + 1, len(self.landmarks)))
+            np.cumsum(self.values[row[own]] * v[own, None], 0, dtype=np.float64, out=total[1:])
+            head = np.searchsorted(at[own], at[own] - WORD_CHARS)
+            i = part[p][0]
+            out[i] = np.maximum(out[i], (total[1:] - total[head]).max(0))
 
 
 @dataclass
@@ -195,7 +248,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, m: int) -> list[str]:
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
 
     def beginnings(text: str) -> set[str]:
-        words = {word_of(w)[:WORD_CHARS] for w in WORD.findall(normal(text))}
+        words = {word_of(w) for w in WORD.findall(normal(text))}
         return {w[:k] for w in words for k in range(4, min(len(w), 10) + 1)}
 
     seen1: Counter = Counter()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm.toxicity import Likeness, fit, held_out, score, subsequences, train
+from driftgrid.llm.toxicity import Likeness, fit, held_out, placed, score, subsequences, train
 from tests.llm.data import frame, words
 
 INSULTS = ["blockhead", "numbskull", "dimwit"]
@@ -87,3 +87,27 @@ def test_known_words_overflow(model):
             assert np.array_equal(np.concatenate([model.scores(c) for c in chunks]), want), limit
     finally:
         model._like = like
+
+
+def test_long_runs_are_read_whole(model):
+    for t in ("section/" * 12 + "blockhead", "a" * 70 + "blockhead", "好的天气今天很" * 40 + "numbskull" + "我们去公园" * 30, "x" * 3_000 + "blockhead" + "x" * 3_000):
+        assert model.scores([t])[0] >= 0.5, t[:20]
+    for t in ("section/" * 200, "好的天气今天很" * 400, "block" + "x" * 200 + "head"):
+        assert model.scores([t])[0] < 0.5, t[:20]
+
+
+def test_long_runs_by_brute_force(model, monkeypatch):
+    rng = random.Random(2)
+    like = model.like
+    pieces = ["blockhead", "numbskull", "dimwit", "dim", "bloxckhead", "head", "skull"]
+    runs = ["".join(rng.choice(pieces) if rng.random() < 0.3 else rng.choice("abdehiklmnotu") for _ in range(rng.randint(65, 400))) for _ in range(30)]
+    want = np.zeros((len(runs), len(like.landmarks)))
+    for i, run in enumerate(runs):
+        r, at, u, v = placed([run])
+        for s in range(len(run)):
+            on = (at >= s) & (at <= s + 64)
+            want[i] = np.maximum(want[i], (like.values[like.table[u[on]]] * v[on, None]).sum(0))
+    want = np.where(want >= 0.5, np.minimum(want, 1), 0)
+    for size in (1024, 50, 7):
+        monkeypatch.setattr("driftgrid.llm.toxicity.PIECE_CHARS", size)
+        assert np.allclose(like.of_runs(runs), want, atol=1e-5), size
