@@ -1,10 +1,12 @@
-"""Near-duplicate join on word n-grams: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word n-grams: banded MinHash LSH, then exact verification.
 
 A document is the set of its word n-grams. Documents with equal sets are one
-class and go on as one node. Every node has a MinHash signature for each of
-``trees`` prefix tries. Two nodes are candidates where they share a prefix in
-one tree; prefixes are shortened from ``deepest`` until the chance to miss a
-pair at the threshold falls below 1 - recall.
+class and go on as one node. Every node has a MinHash prefix for each of
+``trees`` bands. Two nodes are candidates where they share a prefix in one
+band. All prefixes have one length, the longest up to ``deepest`` whose chance
+to miss a pair at the threshold is below 1 - recall; it follows from the
+parameters alone. This stands in for an LSH forest, which would keep sorted
+tries and shorten prefixes by what it finds.
 
 Candidates are kept as stars (each node and the smallest of its bucket), never
 as pairs. Nodes joined by stars form families, and every pair within a family
