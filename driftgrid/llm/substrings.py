@@ -1,12 +1,12 @@
-"""Removal of repeated passages by relative Lempel-Ziv factors.
+"""Removal of repeated passages by hashes of word windows, in place of relative Lempel-Ziv parsing.
 
 The reference is all earlier text (a smaller document id, or the same document
 further up), indexed in blocks: every window of ``window`` words is a seed, and
-a block of the index holds the seeds whose hashes fall into its range. Each
-document is factored greedily against every block: a factor is a maximal run of
-words whose windows all occur earlier. Where a factor ends, the windows across
-the boundary have been looked up like any other, so factors of at least
-``window`` words are exactly the repeated passages.
+a block of the index holds the seeds whose hashes fall into its range. A factor
+is a maximal run of words whose windows all occur earlier, perhaps in different
+documents. Nothing is parsed: there is no reference text, no greedy longest
+match and no source position. Every window is looked up, those across the end
+of a factor too, so factors are the repeated passages up to hash collisions.
 
 Seeds travel packed: sorted hashes as differences, with document and position.
 A task sends a repeated hash once, so a passage that a third of all documents
