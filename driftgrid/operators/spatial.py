@@ -23,30 +23,41 @@ def nearest_weights(target: DataFrame, source: DataFrame, *, k: int = 1, bin_deg
 
     Both sides are binned; a target looks at the bins around its own. A result
     is certain once the k-th distance is within the rings looked at; the other
-    targets look again with more rings, so no pair of far cells is ever made.
-    Weights are 1 / (distance + 1e-10), normalised. Beyond ``max_rings`` a
-    target keeps the nearest of what it has found.
+    targets look again with more rings. Beyond ``max_rings`` those still open
+    look at the whole extent of the source, so every target has its k nearest,
+    or all sources if there are fewer. Bins outside the extent are never made.
+    Weights are 1 / (distance + 1e-10), normalised.
     """
     s = _bins(source.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("cell_id").alias("source_id"), "lat", "lon"), bin_degrees, "").withColumnsRenamed({"lat": "slat", "lon": "slon"})
     left = _bins(target.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("cell_id").alias("target_id"), "lat", "lon"), bin_degrees, "t")
+    held = s.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
+    seen = left.agg(F.min("tbi"), F.max("tbi"), F.min("tbj"), F.max("tbj")).first()
+    if None in (*held, *seen):
+        held, reach = (0, 0, 0, 0), 1
+    else:
+        reach = max(1, held[1] - seen[0], seen[1] - held[0], held[3] - seen[2], seen[3] - held[2])
+
+    def around(b: str, rings: int, low: int, high: int) -> Column:
+        first, last = F.greatest(F.col(b) - rings, F.lit(low)), F.least(F.col(b) + rings, F.lit(high))
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
     done, rings = None, 1
     while True:
-        around = F.sequence(F.lit(-rings), F.lit(rings))
-        near = left.withColumn("__di", F.explode(around)).withColumn("__dj", F.explode(around)).withColumns({"bi": F.col("tbi") + F.col("__di"), "bj": F.col("tbj") + F.col("__dj")})
+        near = left.withColumn("bi", around("tbi", rings, held[0], held[1])).withColumn("bj", around("tbj", rings, held[2], held[3]))
         d = F.sqrt(F.pow(F.col("lat") - F.col("slat"), 2) + F.pow(F.col("lon") - F.col("slon"), 2))
         met = near.join(s, ["bi", "bj"]).withColumn("distance", d)
         best = met.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("distance", "source_id"))).where(F.col("rank") <= k)
         edge = F.least(F.col("lat") - (F.col("tbi") - rings) * bin_degrees, (F.col("tbi") + rings + 1) * bin_degrees - F.col("lat"), F.col("lon") - (F.col("tbj") - rings) * bin_degrees, (F.col("tbj") + rings + 1) * bin_degrees - F.col("lon"))
         by = Window.partitionBy("target_id")
         best = best.withColumn("__sure", (F.count("*").over(by) == k) & (F.max("distance").over(by) <= F.max(edge).over(by)))
-        if rings >= max_rings:
+        if rings >= reach:
             best = best.withColumn("__sure", F.lit(True))
         sure = best.where("__sure").select("target_id", "source_id", "distance", "rank")
         done = sure if done is None else done.unionByName(sure)
-        if rings >= max_rings:
+        if rings >= reach:
             break
         left = left.join(sure.select("target_id").distinct(), "target_id", "left_anti")
-        rings *= 8
+        rings = min(rings * 8, reach) if rings * 8 <= max_rings else reach
     w = 1 / (F.col("distance") + TINY)
     return done.withColumn("weight", w / F.sum(w).over(Window.partitionBy("target_id")))
 

@@ -239,6 +239,18 @@ def test_nearest_equals_brute_force(spark):
         X.overlap_join(spark.createDataFrame([(1, 1.0)], "t int, value double"), spark.createDataFrame([(2, 1.0)], "t int, value double"))
 
 
+def test_nearest_of_a_regional_source(spark):
+    s = [(i, 40.0 + i % 3, 5.0 + i // 3) for i in range(9)]
+    t = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in (-85.0, 0.0, 41.2) for b in (6.3, 120.0, 355.0))]
+    schema = "cell_id int, lat double, lon double"
+    targets = spark.createDataFrame(t, schema)
+    got = X.nearest_weights(targets, spark.createDataFrame(s, schema), k=2).collect()
+    want = {(i, j) for i, a, b in t for j, _, _ in sorted(s, key=lambda r: (math.hypot(r[1] - a, r[2] - b), r[0]))[:2]}
+    assert {(r.target_id, r.source_id) for r in got} == want and len(got) == 18
+    assert X.nearest_weights(targets, spark.createDataFrame(s[:1], schema), k=2).count() == 9
+    assert X.nearest_weights(targets, spark.createDataFrame([], schema), k=2).count() == 0
+
+
 def test_statistics(spark):
     chi2, dof, p, fisher = Q.chi_squared(np.array([[10.0, 10], [10, 10]]))
     assert (dof, p, fisher) == (1, 1.0, 1.0) and chi2 == 0
