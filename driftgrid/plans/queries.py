@@ -6,6 +6,7 @@ Floating results are rounded alike on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -640,24 +641,28 @@ def phase_tests(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tests.join(M.phase_logit(s, phase="toxic", event="y_true")))
 
 
+SPLITS = list(range(9))
+
+
 def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return B.with_splits(e.select("vec_id", F.col("vec_id").cast("int").alias("member"), (F.col("label") < 5).cast("int").alias("label"), F.col("embedding").alias("features")), only=[0, 1])
+    return B.with_splits(e.select("vec_id", F.col("vec_id").cast("int").alias("member"), (F.col("label") < 5).cast("int").alias("label"), F.col("embedding").alias("features")))
 
 
 @query()
 def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A classifier per split and its scores on every part: iterative, so no SQL."""
-    _, scores = M.train_all(labelled_vectors(spark, sf), [0, 1], keys=["vec_id"])
+    _, scores = M.train_all(labelled_vectors(spark, sf), SPLITS, keys=["vec_id"])
     return rounded(scores, 4)
 
 
 @query()
 def linear_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """Relevance of every cell for the first split's classifier."""
-    s = labelled_vectors(spark, sf).where("split = 0")
-    model = M.train_classifier(s.where("part = 'tr'"))
-    return rounded(M.linear_relevance(model, s, keys=["vec_id"]), 4)
+    """Relevance of every cell for each split's classifier."""
+    s = labelled_vectors(spark, sf)
+    models, _ = M.train_all(s, SPLITS, keys=["vec_id"])
+    told = [M.linear_relevance(models[k], s.where(F.col("split") == k), keys=["split", "vec_id"]) for k in SPLITS]
+    return rounded(reduce(DataFrame.unionByName, told), 4)
 
 
 @query()
@@ -670,7 +675,7 @@ def clustered_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cluster_scan(spark: SparkSession, sf: str) -> DataFrame:
     maps = base.cells(spark, sf).groupBy("member", "cell_id").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    return rounded(M.cluster_scan(M.pixel_features(maps, model="member"), (2, 3)), 4)
+    return rounded(M.cluster_scan(M.pixel_features(maps, model="member")), 4)
 
 
 @query(f"""WITH {C} SELECT cell_id, member, round(avg(value), 6) AS value FROM c GROUP BY cell_id, member""")

@@ -42,3 +42,12 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["member", "start", "slope", "threshold", "event"]
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
+
+
+def test_all_splits_and_cluster_counts(spark):
+    splits = set(range(9))
+    assert {r.split for r in QUERIES["classifier_scores"](spark, SF).select("split").distinct().collect()} == splits
+    relevance = QUERIES["linear_relevance"](spark, SF)
+    assert {r.split for r in relevance.select("split").distinct().collect()} == splits
+    assert relevance.count() == relevance.select("split", "vec_id", "cell_id").distinct().count()
+    assert {r.k for r in QUERIES["cluster_scan"](spark, SF).collect()} == {2, 3, 4, 5}
