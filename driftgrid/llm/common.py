@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 21
+BATCH_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder if urlparse(folder).scheme else f"file://{folder}"
 
 
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches that go to Python by bytes, so a worker holds a few texts, whatever their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder."""
     shared_dir(df.sparkSession)

@@ -1,11 +1,14 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words sums, over all four-letter subsequences within a short
-span, the products of their gap-weighted counts. A gap costs a factor, so an
-insult with inserted characters still resembles the plain one. Words resemble a
-few landmark strings or none; a sentence is described by its best word for each
-landmark, mapped by the inverse root of the landmarks' kernel matrix, and a
-linear SVM is trained on sentences. A document scores as its worst sentence.
+A word, with a mark at each end, is the vector of its three-character
+subsequences within a short span, weighted by a factor for every gap. The
+kernel of two words is the normalised product of these vectors to a fixed
+power, so it is positive semidefinite; an insult with inserted or left-out
+characters stays near the plain one. Landmarks are words of the labelled texts.
+Words are mapped by the inverse root of the landmarks' kernel matrix. A
+sentence counts by its worst word: a linear SVM is trained on labelled
+sentences, each with the word that the SVM before found worst. A document
+scores as its worst sentence.
 
 Landmarks and SVM are fitted in one task on a bounded sample of labelled rows.
 Scoring reads whole texts on all executors.
@@ -15,10 +18,11 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, combinations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,23 +30,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 5_000
-TRAIN_CHARS = 8_192  # labelled texts above this are not drawn for training
-LANDMARKS = 64
-SURE = 40  # so many of the strongest are landmarks even if other landmarks explain their documents
+from driftgrid.llm.common import small_batches
+
+TRAIN_ROWS = 3_000
+LANDMARKS = 64  # words that mark toxic texts, at most
+OTHERS = 32  # as many words of other texts that are nearest to these, and as many drawn from all
 SPAN = 6
 DECAY = 0.7
-QUIET = 0.5  # a likeness below this is none
-LETTERS = 32
-KNOWN_WORDS = 1_000_000
-FIT_WORDS = 100_000  # known words while a model is fitted
-WORD_CHARS = 64  # a longer run of letters counts by the best of all its windows of so many
-PIECE_CHARS = 1_024  # windows of a longer run are summed in pieces of so many
-PIECE_CELLS = 200_000  # characters of pieces looked at together
-SIGNIFICANT = 24.0  # least log-likelihood ratio of a landmark
-
-SENTENCE = re.compile(r"[.!?\n]+")
+WEIGHTS = DECAY ** np.arange(SPAN)
+POWER = 3
+NEAR = 0.01  # words further from all marking words are worst in no sentence that matters
+SIGNIFICANT = 24.0  # least log-likelihood ratio of a landmark that marks toxic texts
+RUN = 24  # a longer run of letters is a word in each of its windows
+RUN_WINDOWS = (6, 9, 12)
+DENSE_WINDOWS = (2, 3, 4)  # of scripts that set no spaces
+KNOWN_WORDS = 250_000
+CHUNK_CHARS = 1 << 20
+CHUNK_WINDOWS = 50_000
+CELLS = 1 << 21  # numbers held at a time by one kernel evaluation
+
+SENTENCE = re.compile(r"[.!?\n。！？]+")
 WORD = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words: Thai to Khmer, kana, ideographs.
+DENSE = re.compile(r"[฀-໿ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 #: Punctuation inserted between the characters of a word, and words spelt with single characters apart.
 INSERTED = re.compile(r"(?<=[^\W_])[^\w\s](?=[^\W\d_])")
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
@@ -52,8 +62,7 @@ LOOKALIKES = str.maketrans("01345@$", "oleasas")
 
 def normal(text: str) -> str:
     """Lower case; inserted punctuation and spelt-out words closed up."""
-    text = text.lower()
-    text = INSERTED.sub("", text)
+    text = INSERTED.sub("", text.lower())
     return SPELT.sub(lambda m: m[0].replace(" ", ""), text)
 
 
@@ -61,229 +70,242 @@ def word_of(w: str) -> str:
     return w.translate(LOOKALIKES) if not w.isdigit() else w
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight) of all four-character subsequences within SPAN; the word's start counts as a character."""
-    r, _, u, v = placed(words)
-    return r, u, v
+@lru_cache(maxsize=64)
+def places(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, gaps) of all subsequences of three of ``size`` characters within SPAN."""
+    at = [(i, j, k) for i in range(size) for j in range(i + 1, min(size, i + SPAN)) for k in range(j + 1, min(size, i + SPAN))]
+    at = np.array(at, np.int64).reshape(-1, 3)
+    return at, at[:, 2] - at[:, 0] - 2
+
 
+def marked(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, with 1 before and 2 after each."""
+    n, size = len(words), len(words[0])
+    out = np.zeros((n, size + 2), np.int64)
+    out[:, 0], out[:, -1] = 1, 2
+    out[:, 1:-1] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size) + 3
+    return out
 
-def placed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, position, subsequence, weight): ``subsequences`` with the position where each begins, 0 for the word's start."""
-    size = np.array([len(w) for w in words], np.int64)
-    width = int(size.max(initial=0)) + 1
-    codes = np.zeros((len(words), width), np.int64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) % (LETTERS - 2) + 2
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    codes[np.repeat(np.arange(len(words)), size), at + 1] = flat
-    codes[:, 0] = 1
-    rows, begins, subs, weights = [], [], [], []
-    for x, y, z in combinations(range(1, SPAN), 3):
-        if z < width:
-            a, b, c, d = codes[:, : width - z], codes[:, x : width - z + x], codes[:, y : width - z + y], codes[:, z:]
-            r, at = np.nonzero(d)
-            rows.append(r), begins.append(at), subs.append(((a[r, at] * LETTERS + b[r, at]) * LETTERS + c[r, at]) * LETTERS + d[r, at]), weights.append(np.full(len(r), DECAY ** (z - 3), np.float32))
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-    return np.concatenate(rows), np.concatenate(begins), np.concatenate(subs), np.concatenate(weights)
 
+def by_length(words: list[str]) -> Iterator[np.ndarray]:
+    """Positions of the words of each length, few enough at a time."""
+    size = np.array([len(w) for w in words], int)
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        step = max(1, CELLS // max(1, len(places(n + 2)[0]) * 8))
+        yield from (own[i : i + step] for i in range(0, len(own), step))
 
-def counts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, summed weight), each pair once."""
-    r, u, v = subsequences(words)
-    key, where = np.unique(r * LETTERS**4 + u, return_inverse=True)
-    return key // LETTERS**4, key % LETTERS**4, np.bincount(where, v, len(key)).astype(np.float32)
+
+def self_products(codes: np.ndarray) -> np.ndarray:
+    """Sum of squared subsequence weights of each row of ``codes``."""
+    n, size = codes.shape
+    at, gaps = places(size)
+    local = (codes[:, :, None] == codes[:, None, :]).argmax(2)  # a character is known by its first place in the word
+    local = local.astype(np.int32 if size < 512 else np.int64)
+    key = ((local[:, at[:, 0]] * size + local[:, at[:, 1]]) * size + local[:, at[:, 2]]) * 4 + gaps.astype(local.dtype)
+    key.sort(1)
+    weight = WEIGHTS[key & 3]
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] >> 2 != key[:, :-1] >> 2
+    total = np.add.reduceat(weight.ravel(), np.flatnonzero(new.ravel()))
+    row = np.repeat(np.arange(n), new.sum(1))
+    return np.bincount(row, total**2, n)
 
 
 @dataclass
-class Likeness:
-    """How much of each landmark a word holds: their kernel over the landmark's own, damped for longer words, 0 below QUIET."""
+class Kernel:
+    """Kernel values of words against landmarks."""
 
     landmarks: list[str]
-    limit: int = KNOWN_WORDS
-    table: np.ndarray = field(init=False)  # subsequence to row of values
-    values: np.ndarray = field(init=False)
-    top: np.ndarray = field(init=False)
-    known: dict[str, tuple[np.ndarray, np.ndarray] | None] = field(default_factory=dict, init=False)
+    code: np.ndarray = field(init=False)  # code point to number; 0 for what no landmark has
+    used: np.ndarray = field(init=False)  # the landmarks' subsequences; row i + 1 is that of used[i]
+    table: np.ndarray | None = field(init=False)  # subsequence to row
+    first: np.ndarray = field(init=False)  # where a row's values begin
+    owner: np.ndarray = field(init=False)  # landmark and weight, over the landmark's norm, of each value
+    value: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        m = len(self.landmarks)
-        r, u, v = counts(self.landmarks)
-        norm = np.bincount(r, v.astype(np.float64) ** 2, m)
-        used, at = np.unique(u, return_inverse=True)
-        self.table = np.zeros(LETTERS**4, np.int32)
-        self.table[used] = np.arange(1, len(used) + 1)
-        self.values = np.zeros((len(used) + 1, m), np.float32)
-        self.values[at + 1, r] = v / np.maximum(norm[r], 1e-9)
-        self.top = self.values.max(1, initial=0)
+        points = sorted({p for w in self.landmarks for p in map(ord, w)})
+        self.code = np.zeros(0x110000 + 3, np.int32)
+        self.code[[1, 2, *(p + 3 for p in points)]] = np.arange(1, len(points) + 3)
+        self.base = len(points) + 3
+        keys, owner, weight = [], [], []
+        norm = np.zeros(len(self.landmarks))
+        for part in by_length(self.landmarks):
+            codes = marked([self.landmarks[i] for i in part])
+            norm[part] = self_products(codes)
+            key, gaps = self.keys(codes)
+            keys.append(key.ravel()), owner.append(np.repeat(part, key.shape[1])), weight.append(np.tile(WEIGHTS[gaps], len(part)))
+        keys, owner, weight = np.concatenate(keys), np.concatenate(owner), np.concatenate(weight)
+        pair, where = np.unique(keys * len(self.landmarks) + owner, return_inverse=True)
+        self.owner = (pair % len(self.landmarks)).astype(np.int32)
+        self.value = np.bincount(where, weight, len(pair)) / np.sqrt(norm)[self.owner]
+        self.used, first = np.unique(pair // len(self.landmarks), return_index=True)
+        self.first = np.concatenate([[0], first, [len(pair)]]).astype(np.int64)  # row 0 has no values
+        self.table = None
+        if self.base**3 <= 1 << 22:
+            self.table = np.zeros(self.base**3, np.int32)
+            self.table[self.used] = np.arange(1, len(self.used) + 1)
+
+    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, gaps = places(codes.shape[1])
+        c = self.code[codes].astype(np.int64)
+        a, b, d = c[:, at[:, 0]], c[:, at[:, 1]], c[:, at[:, 2]]
+        return np.where((a > 0) & (b > 0) & (d > 0), (a * self.base + b) * self.base + d, 0), gaps
+
+    def rows(self, key: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.used, key), len(self.used) - 1)
+        return np.where(self.used[at] == key, at + 1, 0)
 
     def of(self, words: list[str]) -> np.ndarray:
         """Matrix words x landmarks."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        r, u, v = subsequences(words)
-        row = self.table[u]
-        hit = row > 0
-        np.add.at(out, r[hit], self.values[row[hit]] * v[hit, None])
-        return np.where(out >= QUIET, np.minimum(out, 1.0), 0.0)
-
-    def learn(self, words: set[str]) -> None:
-        """Remember words: their landmarks and likenesses, or None. All of ``words`` are known afterwards, whatever was forgotten."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = words
-        self.known.update(dict.fromkeys(new))
-        ordered = sorted((w for w in new if len(w) <= WORD_CHARS), key=len)
-        for at in range(0, len(ordered), 20_000):
-            part = ordered[at : at + 20_000]
-            r, u, v = subsequences([word_of(w) for w in part])
-            most = np.bincount(r, self.top[self.table[u]] * v, len(part))
-            some = np.flatnonzero(most >= QUIET)
-            if len(some):
-                rows = self.of([word_of(part[i]) for i in some])
-                for i, row in zip(some, rows):
-                    if row.any():
-                        self.known[part[i]] = (np.flatnonzero(row), row[row > 0])
-        runs = sorted((w for w in new if len(w) > WORD_CHARS), key=len)
-        for w, row in zip(runs, self.of_runs([word_of(w) for w in runs])):
-            if row.any():
-                self.known[w] = (np.flatnonzero(row), row[row > 0])
-
-    def of_runs(self, runs: list[str]) -> np.ndarray:
-        """Matrix runs x landmarks for runs longer than WORD_CHARS: the best of all windows.
-
-        A window holds the subsequences that begin at one of WORD_CHARS + 1
-        neighbouring positions, the run's start being one. Runs are cut into
-        pieces that overlap by a window, so that each window lies in a piece.
-        """
-        out = np.zeros((len(runs), len(self.landmarks)), np.float32)
-        reach = PIECE_CHARS + WORD_CHARS + SPAN
-        part: list[tuple[int, bool, str]] = []
-        wide = 0
-        for i, run in enumerate(runs):
-            for at in range(0, len(run), PIECE_CHARS):
-                piece = run[at : at + reach]
-                wide = max(wide, len(piece))
-                part.append((i, at == 0, piece))
-                if len(part) * wide >= PIECE_CELLS:
-                    self._windows(part, out)
-                    part, wide = [], 0
-        self._windows(part, out)
-        return np.where(out >= QUIET, np.minimum(out, 1.0), 0.0)
-
-    def _windows(self, part: list[tuple[int, bool, str]], out: np.ndarray) -> None:
-        """Raise ``out`` to the best windows of pieces (run, whether the run starts there, text)."""
-        r, at, u, v = placed([piece for _, _, piece in part])
-        first = np.array([starts for _, starts, _ in part], bool)
-        row = self.table[u]
-        hit = np.flatnonzero((row > 0) & ((at > 0) | first[r]))
-        most = np.bincount(r[hit], self.top[row[hit]] * v[hit], len(part))
-        hit = hit[most[r[hit]] >= QUIET]
-        hit = hit[np.lexsort((at[hit], r[hit]))]
-        where = np.searchsorted(r[hit], np.arange(len(part) + 1))
-        for p in np.flatnonzero(np.diff(where)):
-            own = hit[where[p] : where[p + 1]]
-            # sums up to each hit; the best window ends with a hit
-            total = np.zeros((len(own) + 1, len(self.landmarks)))
-            np.cumsum(self.values[row[own]] * v[own, None], 0, dtype=np.float64, out=total[1:])
-            head = np.searchsorted(at[own], at[own] - WORD_CHARS)
-            i = part[p][0]
-            out[i] = np.maximum(out[i], (total[1:] - total[head]).max(0))
+        m = len(self.landmarks)
+        out = np.zeros((len(words), m))
+        for part in by_length(words):
+            codes = marked([words[i] for i in part])
+            key, gaps = self.keys(codes)
+            row = self.rows(key)
+            r, e = np.nonzero(row)
+            begin = self.first[row[r, e]]
+            n = self.first[row[r, e] + 1] - begin
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            weight = np.repeat(WEIGHTS[gaps[e]], n) * self.value[at]
+            dot = np.bincount(np.repeat(r, n) * m + self.owner[at], weight, len(part) * m).reshape(-1, m)
+            out[part] = dot / np.sqrt(self_products(codes))[:, None]
+        return np.minimum(out, 1.0) ** POWER
+
+
+def windows(run: str) -> list[str]:
+    """The words that a run of letters stands for: its parts by script, and the windows of parts that are long or set no spaces."""
+    if plain(run):
+        return [run]
+    out: dict[str, None] = {}
+    for dense in SCRIPTS.finditer(run):
+        part = dense[0]
+        sizes = DENSE_WINDOWS if dense[1] and len(part) > 2 else RUN_WINDOWS if len(part) > RUN else (len(part),)
+        out |= dict.fromkeys(part[i : i + n] for n in sizes for i in range(max(1, len(part) - n + 1)))
+    return list(out)
+
+
+def plain(w: str) -> bool:
+    return len(w) <= RUN and (w.isascii() or not DENSE.search(w))
 
 
 @dataclass
 class Model:
     landmarks: list[str]
-    root: np.ndarray
-    weights: np.ndarray
+    alpha: np.ndarray  # a word's part in the margin is its kernel row times alpha
     bias: float
     slope: float
     offset: float
-    _like: Likeness | None = field(default=None, init=False, repr=False)
+    limit: int = KNOWN_WORDS
+    _kernel: Kernel | None = field(default=None, init=False, repr=False)
+    _known: dict[str, float] = field(default_factory=dict, init=False, repr=False)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_like"} | {"_like": None}
+        return self.__dict__ | {"_kernel": None, "_known": {}}
 
     @property
-    def like(self) -> Likeness:
-        if self._like is None:
-            self._like = Likeness(self.landmarks)
-        return self._like
+    def kernel(self) -> Kernel:
+        if self._kernel is None:
+            self._kernel = Kernel(self.landmarks)
+        return self._kernel
+
+    def parts(self, words: set[str]) -> dict[str, float]:
+        """Parts in the margin; all of ``words`` are in the result, whatever was forgotten. A run counts by its largest window."""
+        new = words - self._known.keys()
+        if len(self._known) + len(new) > self.limit:
+            self._known.clear()
+            new = words
+        short = [w for w in new if plain(w)]
+        self._known.update(zip(short, (self.kernel.of([word_of(w) for w in short]) @ self.alpha).tolist()))
+        for w in new.difference(short):
+            best, own = -np.inf, windows(word_of(w))
+            for i in range(0, len(own), CHUNK_WINDOWS):
+                best = max(best, float((self.kernel.of(own[i : i + CHUNK_WINDOWS]) @ self.alpha).max()))
+            self._known[w] = best
+        return self._known
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """The worst sentence's margin of every text."""
-        best = sentence_features(texts, self.like)
-        direction = (self.root @ self.weights).astype(np.float64)
-        return np.array([max((float(direction[i] @ v) for i, v in sentences), default=0.0) + self.bias for sentences in best])
+        """The margin of every text's worst word, 0 + bias if it has none above."""
+        told = [set(WORD.findall(normal(t))) for t in texts]
+        part = self.parts(set().union(*told))
+        return np.array([max(map(part.__getitem__, t), default=0.0) for t in told]).clip(0.0) + self.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -30, 30)))
 
 
-def sentence_features(texts: list[str], like: Likeness) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each text, (landmarks, likenesses) of its sentences that resemble any landmark."""
-    texts = [normal(t) for t in texts]
-    tokens = [WORD.findall(t) for t in texts]
-    vocabulary = [set(x) for x in tokens]
-    like.learn(set().union(*vocabulary))
-    known, out = like.known, []
-    for text, words in zip(texts, vocabulary):
-        loud = {w for w in words if known.get(w) is not None}
-        found = []
-        if loud:
-            for sentence in SENTENCE.split(text):
-                hit = loud.intersection(WORD.findall(sentence))
-                if hit:
-                    row: dict[int, float] = {}
-                    for w in hit:
-                        for i, v in zip(*known[w]):
-                            row[i] = max(row.get(i, 0.0), float(v))
-                    keys = sorted(row)
-                    found.append((np.array(keys), np.array([row[k] for k in keys])))
-        out.append(found)
-    return out
+def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters; a longer text is a run of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, m: int) -> list[str]:
-    """Strings that mark the toxic documents, words and word beginnings, the strongest first, none the beginning of another; weaker ones only where they explain more documents."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+def draw(w: str) -> int:
+    return zlib.crc32(w.encode("utf-8", "surrogatepass"))
 
-    def beginnings(text: str) -> set[str]:
-        words = {word_of(w) for w in WORD.findall(normal(text))}
-        return {w[:k] for w in words for k in range(4, min(len(w), 10) + 1)}
-
-    seen1: Counter = Counter()
-    for text, y in zip(texts, toxic):
-        if y:
-            seen1.update(beginnings(text))
-    seen1 = Counter({w: c for w, c in seen1.items() if c >= 3})
-    seen0: Counter = Counter()
-    for text, y in zip(texts, toxic):
-        if not y:
-            seen0.update(seen1.keys() & beginnings(text))
-    strength = {}
-    for w, c in seen1.items():
-        d = seen0[w]
-        share = n1 / (n1 + n0)
-        if c / n1 > 4 * d / n0:
-            ratio = 2 * (c * np.log(c / ((c + d) * share)) + (d * np.log(d / ((c + d) * (1 - share))) if d else 0.0))
-            if ratio > SIGNIFICANT:
-                strength[w] = ratio
-    ranked = sorted(strength, key=lambda w: (-strength[w], -len(w), w))
-    holders: dict[str, list[int]] = {w: [] for w in ranked}
-    for d in np.flatnonzero(toxic):
-        for w in holders.keys() & beginnings(texts[d]):
-            holders[w].append(d)
-    chosen: list[str] = []
-    explained: set[int] = set()
-    for rank, w in enumerate(ranked):
-        if len(chosen) >= m:
-            break
-        new = set(holders[w]) - explained
-        if any(w.startswith(c) or c.startswith(w) for c in chosen) or (rank >= SURE and len(new) < 3):
-            continue
-        chosen.append(w)
-        explained |= new
-    return chosen or ["none"]
+
+@dataclass
+class Sample:
+    """Labelled sentences as numbers of words: sentence i of document owner[i] has words word[first[i]:first[i + 1]]."""
+
+    words: list[str]
+    word: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Sample":
+        known: dict[str, int] = {}
+        word, first, owner = [], [0], []
+        for d, text in enumerate(texts):
+            for s in SENTENCE.split(normal(text)) or [""]:
+                own = {known.setdefault(x, len(known)) for w in set(WORD.findall(s)) for x in windows(word_of(w))}
+                word.append(np.fromiter(own, np.int32, len(own)))
+                first.append(first[-1] + len(own)), owner.append(d)
+        return cls(list(known), np.concatenate(word) if word else np.zeros(0, np.int32), np.array(first), np.array(owner, int))
+
+    def worst(self, part: np.ndarray) -> np.ndarray:
+        """The word with the largest part in each sentence, -1 for sentences without words."""
+        sentence = np.repeat(np.arange(len(self.owner)), np.diff(self.first))
+        order = np.lexsort((self.word, -part[self.word], sentence))
+        out = np.full(len(self.owner), -1)
+        some, at = np.unique(sentence[order], return_index=True)
+        out[some] = self.word[order[at]]
+        return out
+
+
+def choose_landmarks(sample: Sample, toxic: np.ndarray, marks: int, others: int) -> tuple[list[str], list[str]]:
+    """Words whose presence tells toxic documents from others, the strongest first, and words drawn by hash."""
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    doc = np.repeat(sample.owner, np.diff(sample.first))
+    pair = np.unique(doc * len(sample.words) + sample.word)
+    y = toxic[pair // max(1, len(sample.words))]
+    c, d = (np.bincount(pair[y == k] % max(1, len(sample.words)), minlength=len(sample.words)) for k in (1, 0))
+    share = n1 / (n1 + n0)
+    some = np.flatnonzero((c >= 3) & (c / n1 > 4 * d / n0))
+    c, d = c[some].astype(float), d[some].astype(float)
+    ratio = 2 * (c * np.log(c / ((c + d) * share)) + np.where(d > 0, d * np.log(np.maximum(d, 1) / ((c + d) * (1 - share))), 0.0))
+    strength = {sample.words[i]: r for i, r in zip(some, ratio) if r > SIGNIFICANT}
+    chosen = sorted(strength, key=lambda w: (-strength[w], w))[:marks]
+    rest = sorted(set(sample.words) - set(chosen), key=lambda w: (draw(w), w))
+    return chosen, rest[:others]
+
+
+def with_insertion(w: str, seed: int) -> str:
+    """``w`` with one letter set between two of its own."""
+    at = 1 + seed % max(1, len(w) - 1)
+    return w[:at] + "abcdefghijklmnopqrstuvwxyz"[seed // 64 % 26] + w[at:]
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -302,58 +324,86 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tup
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model:
-    """Landmarks, kernel root, SVM on sentences and calibration from labelled documents.
+def inverse_root(gram: np.ndarray) -> np.ndarray:
+    """Inverse square root of a positive semidefinite matrix on the directions that count."""
+    value, vector = np.linalg.eigh(gram)
+    keep = value > 1e-6 * value.max()
+    return (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
+
 
-    A toxic document's sentences carry its label only where they are among its
-    worst or stand out by themselves: the SVM is trained three times, each time
-    on the sentences that the one before found toxic (at first those that hold
-    most of a landmark).
+def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, others: int = OTHERS) -> Model:
+    """Landmarks, Nystroem map, SVM on sentences and calibration from labelled documents.
+
+    A toxic document's sentences carry its label only where they are its worst
+    or stand out by themselves: the SVM is trained three times, each time on the
+    worst words that the one before found, at first those nearest to a word that
+    marks toxic documents. Words that mark them are also learnt with one more
+    letter set in. Without labels of both kinds, or without such words, nothing
+    is toxic: every text scores 0.25.
     """
     toxic = np.asarray(toxic, int)
-    names = choose_landmarks(texts, toxic, landmarks)
-    like = Likeness(names, FIT_WORDS)
-    gram = like.of(names).astype(np.float64)
-    gram = (gram + gram.T) / 2
-    value, vector = np.linalg.eigh(gram)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    rows, owner = [], []
-    told = chain.from_iterable(sentence_features(texts[i : i + 100], like) for i in range(0, len(texts), 100))
-    for d, sentences in enumerate(told):
-        for i, v in sentences or [(np.zeros(0, int), np.zeros(0))]:
-            row = np.zeros(len(names))
-            row[i] = v
-            rows.append(row), owner.append(d)
-    raw, owner = np.array(rows).reshape(-1, len(names)), np.array(owner, int)
-    x = np.hstack([raw @ root, np.ones((len(raw), 1))])
-    label = toxic[owner]
-    margin, least = raw.max(1, initial=0), 0.9
-    w, b = np.zeros(len(names)), 0.0
-    for _ in range(3 if 0 < toxic.sum() < len(toxic) else 0):
-        worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, owner, margin)
-        use = (label == 0) | (margin >= worst[owner] - 1e-9) | (margin >= least)
-        y = 2.0 * label[use] - 1
-        cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * 1000
-        w, b = svm(x[use], y, cost)
-        margin, least = x[:, :-1] @ w + b, 0.0
-    best = np.full(len(texts), b)
-    np.maximum.at(best, owner, x[:, :-1] @ w + b)
-    return Model(names, root, w, b, *calibrate(best, toxic))
-
-
-def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of the label on the margin, with smoothed targets."""
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+    none = Model(["none"], np.zeros(1), 0.0, 0.0, float(np.log(0.25 / 0.75)))
+    if not 0 < toxic.sum() < len(toxic):
+        return none
+    sample = Sample.of(texts)
+    marks, drawn = choose_landmarks(sample, toxic, landmarks, others)
+    if not marks:
+        return none
+    kernel = Kernel(marks)
+    near = np.concatenate([kernel.of(sample.words[i : i + CHUNK_WINDOWS]).max(1) for i in range(0, len(sample.words), CHUNK_WINDOWS)])
+    calm = np.unique(sample.word[np.repeat(toxic[sample.owner] == 0, np.diff(sample.first))])
+    calm = calm[near[calm] < 1 - 1e-9]
+    hard = [sample.words[i] for i in calm[np.lexsort((calm, -near[calm]))[:others]]]
+    names = list(dict.fromkeys([*marks, *hard, *drawn]))
+    kernel = Kernel(names)
+    root = inverse_root(kernel.of(names))
+
+    worst = sample.worst(near)
+    held = np.union1d(worst[worst >= 0], np.flatnonzero(near >= NEAR))  # the others are never worst
+    x_held = kernel.of([sample.words[i] for i in held]) @ root
+    varied = [with_insertion(w, draw(w) + i) for w in marks for i in range(8)]
+    x_varied = kernel.of(varied) @ root
+    part, least, label = near, 0.9, toxic[sample.owner]
+
+    def most(margin: np.ndarray) -> np.ndarray:
+        out = np.full(len(texts), -np.inf)
+        np.maximum.at(out, sample.owner, margin)
+        return out
+
+    for _ in range(3):
+        worst = sample.worst(part)
+        margin = np.where(worst >= 0, part[worst], 0.0)
+        use = (worst >= 0) & ((label == 0) | (margin >= most(margin)[sample.owner] - 1e-9) | (margin >= least))
+        pair, n = np.unique(worst[use] * 2 + label[use], return_counts=True)  # equal instances once, with their number
+        x = np.vstack([x_held[np.searchsorted(held, pair // 2)], x_varied])
+        y = np.append(2.0 * (pair % 2) - 1, np.ones(len(varied)))
+        n = np.append(n, np.full(len(varied), max(1.0, n[pair % 2 == 1].sum() / 4 / len(varied))))
+        cost = n * np.where(y > 0, 0.5 / n[y > 0].sum(), 0.5 / max(1.0, n[y < 0].sum())) * 1000
+        w, b = svm(np.hstack([x, np.ones((len(x), 1))]), y, cost)
+        part, least = np.full(len(near), -np.inf), -b
+        part[held] = x_held @ w
+    worst = sample.worst(part)
+    margin = most(np.where(worst >= 0, part[worst], 0.0)).clip(0.0) + b
+    return Model(names, root @ w, b, *calibrate(np.append(margin, x_varied @ w + b), np.append(toxic, np.ones(len(varied), int)), np.append(np.ones(len(texts)), np.full(len(varied), toxic.sum() / 4 / len(varied)))))
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve that crosses a half where fewest labels are missed; its slope is the likeliest."""
+    order = np.argsort(margin)
+    m, y, weight = margin[order], y[order], weight[order]
+    missed = np.concatenate([[0.0], np.cumsum(weight * y)]) + np.concatenate([np.cumsum((weight * (1 - y))[::-1])[::-1], [0.0]])
+    missed[1:-1][m[1:] == m[:-1]] = np.inf
+    best = np.flatnonzero(missed <= missed.min() + 1e-9)
+    at = best[len(best) // 2]
+    edge = np.concatenate([[m[0] - 1.0], (m[1:] + m[:-1]) / 2, [m[-1] + 1.0]])[at]
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, np.log((n1 + 1) / (n0 + 1))
-    x = np.stack([margin, np.ones_like(margin)], 1)
+    a = 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + np.array([1e-6 * a, 0]))
-        a, b = a - step[0], b - step[1]
-    return (float(a), float(b)) if a > 0 else (1.0, float(np.log((n1 + 1) / (n0 + 1))))
+        d = m - edge
+        p = 1 / (1 + np.exp(-np.clip(a * d, -30, 30)))
+        a = float(np.clip(a - (weight * d * (p - target)).sum() / ((weight * d * d * p * (1 - p)).sum() + 1e-6), a / 2, a * 2))
+    return a, -a * edge
 
 
 def held_out(id_col: str) -> Column:
@@ -361,18 +411,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, landmarks: int = LANDMARKS) -> Model:
-    """Fit on about ``rows`` labelled texts of at most ``chars`` characters, drawn by a hash of their ids, none held out.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
+    """Fit on about ``rows`` whole labelled texts, drawn by a hash of their ids, none held out.
 
-    One task fits on that sample, 2 * rows texts at most whatever the input, and
-    the driver gets the model alone. Null labels and texts are left out; a
-    repeated label counts again.
+    Tasks turn the texts into their sentences' distinct words; one task fits on
+    those of 2 * rows texts at most whatever the input, and the driver gets the
+    model alone. Null labels and texts are left out; a repeated label counts
+    again. Without labels of both kinds the model finds nothing toxic.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, label_col)
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(max(1, n))) < rows).limit(2 * rows)
     ids = F.broadcast(drawn)  # at most 2 * rows
-    sample = docs.select(id_col, text_col).join(ids, id_col).where(F.length(text_col) <= chars)
+    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(ids, id_col)
     sample = sample.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) == 1).cast("int").alias("y"))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
@@ -388,16 +440,18 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null text scores as an empty one. Texts are read whole; other columns and
     repeated rows stay; a column named score is replaced; an empty table gives
-    no rows.
+    no rows. Of the table's columns the text alone goes to Python, and it does
+    not come back.
     """
-    kept = [c for c in df.columns if c != "score"]
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # landmarks x landmarks numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            out = [own.scores(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, "score"])
+            texts = [t if isinstance(t, str) else "" for t in batch]
+            yield pd.Series(np.concatenate([own.scores(part) for part in chunks(texts)]) if texts else np.zeros(0))
+        own._known.clear()
 
-    return df.select(*kept).mapInArrow(run, df.select(*kept).schema.add("score", "double"))
+    return df.drop("score").withColumn("score", told(F.col(text_col)))

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm.toxicity import Likeness, fit, held_out, placed, score, subsequences, train
+from driftgrid.llm.toxicity import DECAY, POWER, SPAN, Kernel, fit, held_out, score, train, windows
 from tests.llm.data import frame, words
 
 INSULTS = ["blockhead", "numbskull", "dimwit"]
@@ -38,16 +39,40 @@ def test_unseen_documents(model):
 
 
 def test_gapped_and_inserted_characters(model):
-    for t in ("you b.l.o.c.k.h.e.a.d now", "you BLOCKHEAD", "d i m w i t there", "a numb-skull", "numbxskull"):
+    for t in ("you b.l.o.c.k.h.e.a.d now", "you BLOCKHEAD", "d i m w i t there", "a numb-skull", "numbxskull", "dimxwit", "dixmwit", "you dim.wit", "bl0ckhead"):
         assert model.scores([t])[0] >= 0.5, t
     for t in ("", "a block of heads", "numb", "y" * 100_000, "blo ckh ead"):
         assert model.scores([t])[0] < 0.5, t[:20]
 
 
-def test_subsequence_weights_by_hand():
-    r, u, v = subsequences(["abcd", "ab"])
-    # start and four letters: C(5, 4) subsequences of the first word, none of the second
-    assert len(u) == 5 and set(r) == {0} and np.allclose(np.sort(v), [0.7, 0.7, 0.7, 1, 1])
+def brute(a: str, b: str) -> float:
+    """The kernel from its definition."""
+
+    def vector(w: str) -> dict:
+        w, out = f"\x01{w}\x02", {}
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i < SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + DECAY ** (k - i - 2)
+        return out
+
+    x, y = vector(a), vector(b)
+    dot = lambda p, q: sum(v * q.get(u, 0) for u, v in p.items())
+    return (dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) ** POWER
+
+
+def test_kernel_by_brute_force():
+    rng = random.Random(4)
+    words_ = ["", "a", "ab", "aaaa", "blockhead", "blxockhead", "蠢货", "dumm\U0001d4b3"] + ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    words_ = [w for w in words_ if w]
+    got = Kernel(words_).of(words_)
+    want = np.array([[brute(a, b) for b in words_] for a in words_])
+    assert np.allclose(got, want, atol=1e-9) and np.allclose(np.diag(got), 1)
+    assert np.linalg.eigvalsh(got).min() > -1e-9
+
+
+def test_landmark_matrix_is_positive_semidefinite(model):
+    gram = model.kernel.of(model.landmarks)
+    assert np.allclose(gram, gram.T) and np.linalg.eigvalsh(gram).min() > -1e-9
 
 
 def test_held_out_labels_are_not_learnt(spark):
@@ -60,7 +85,7 @@ def test_held_out_labels_are_not_learnt(spark):
     labels = [(i, int(y)) for i, y in enumerate(toxic)]
     wrong = [(i, 1 - y if h else y) for (i, y), h in zip(labels, held)]
     a, b = (train(docs.drop("toxic"), spark.createDataFrame(x + [(None, 1), (3, None)], "doc_id long, toxic int")) for x in (labels, wrong))
-    assert a.landmarks == b.landmarks and np.allclose(a.weights, b.weights)
+    assert a.landmarks == b.landmarks and np.allclose(a.alpha, b.alpha)
 
 
 def test_table(spark, model):
@@ -71,43 +96,52 @@ def test_table(spark, model):
     assert score(frame(spark, []), model).count() == 0
 
 
-def test_no_or_one_class():
-    assert fit([], np.zeros(0)).scores(["x"])[0] < 1
-    assert fit(["a b", "c d"], np.zeros(2)).scores(["x", ""]).shape == (2,)
+def test_without_labels_nothing_is_toxic(spark):
+    for m in (fit([], np.zeros(0)), fit(["a b", "c d"], np.zeros(2)), fit(["a b", "c d"], np.ones(2))):
+        assert (m.scores(["x", "", "a b blockhead"]) < 0.5).all()
+    df = frame(spark)
+    m = train(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert score(df, m).where("score >= 0.5").count() == 0
 
 
 def test_known_words_overflow(model):
     texts, _ = corpus(40, seed=3)
     chunks = [texts[i : i + 8] for i in range(0, 40, 8)] * 2
-    like = model.like
     want = np.concatenate([model.scores([t]) for t in texts] * 2)
     try:
         for limit in (1, 60, 200):
-            model._like = Likeness(model.landmarks, limit)
-            assert np.array_equal(np.concatenate([model.scores(c) for c in chunks]), want), limit
+            model.limit, model._known = limit, {}
+            assert np.allclose(np.concatenate([model.scores(c) for c in chunks]), want), limit
     finally:
-        model._like = like
+        model.limit, model._known = 250_000, {}
 
 
 def test_long_runs_are_read_whole(model):
-    for t in ("section/" * 12 + "blockhead", "a" * 70 + "blockhead", "好的天气今天很" * 40 + "numbskull" + "我们去公园" * 30, "x" * 3_000 + "blockhead" + "x" * 3_000):
+    for t in ("section/" * 12 + "blockhead", "a" * 70 + "blockhead", "a" * 10_000 + "blockhead", ",".join(f"item{i}" for i in range(12)) + ",blockhead", "好的天气今天很" * 40 + "numbskull" + "我们去公园" * 30, "x" * 3_000 + "blockhead" + "x" * 3_000):
         assert model.scores([t])[0] >= 0.5, t[:20]
     for t in ("section/" * 200, "好的天气今天很" * 400, "block" + "x" * 200 + "head"):
         assert model.scores([t])[0] < 0.5, t[:20]
 
 
-def test_long_runs_by_brute_force(model, monkeypatch):
+def test_long_runs_by_brute_force(model):
     rng = random.Random(2)
-    like = model.like
     pieces = ["blockhead", "numbskull", "dimwit", "dim", "bloxckhead", "head", "skull"]
-    runs = ["".join(rng.choice(pieces) if rng.random() < 0.3 else rng.choice("abdehiklmnotu") for _ in range(rng.randint(65, 400))) for _ in range(30)]
-    want = np.zeros((len(runs), len(like.landmarks)))
-    for i, run in enumerate(runs):
-        r, at, u, v = placed([run])
-        for s in range(len(run)):
-            on = (at >= s) & (at <= s + 64)
-            want[i] = np.maximum(want[i], (like.values[like.table[u[on]]] * v[on, None]).sum(0))
-    want = np.where(want >= 0.5, np.minimum(want, 1), 0)
-    for size in (1024, 50, 7):
-        monkeypatch.setattr("driftgrid.llm.toxicity.PIECE_CHARS", size)
-        assert np.allclose(like.of_runs(runs), want, atol=1e-5), size
+    for _ in range(2):
+        run = "".join(rng.choice(pieces) if rng.random() < 0.3 else rng.choice("abdehiklmnotu") for _ in range(rng.randint(30, 60)))
+        want = max(sum(a * brute(w, m) for m, a in zip(model.landmarks, model.alpha)) for w in windows(run))
+        assert np.isclose(model.margins([run])[0], max(want, 0) + model.bias)
+    assert windows("蠢货吗") == ["蠢货", "货吗", "蠢货吗"]
+
+
+def test_insults_of_two_ideographs_are_learnt():
+    rng = random.Random(8)
+    letters = "天地人你我他今明好大小上中下来去看听说"
+    texts, toxic = [], []
+    for i in range(240):
+        t = "".join(rng.choice(letters) for _ in range(60))
+        if i % 4 == 0:
+            k = rng.randrange(60)
+            t = t[:k] + "蠢货" + t[k:]
+        texts.append(t), toxic.append(int(i % 4 == 0))
+    m = fit(texts, np.array(toxic))
+    assert ((m.scores(texts) >= 0.5) == np.array(toxic)).mean() > 0.98
