@@ -53,6 +53,7 @@ SENTENCE = re.compile(r"[.!?\n。！？]+")
 WORD = re.compile(r"[^\W_]+")
 #: Scripts without spaces between words: Thai to Khmer, kana, ideographs.
 DENSE = re.compile(r"[฀-໿ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+SCRIPTS = re.compile(f"({DENSE.pattern}+)|[^{DENSE.pattern[1:-1]}]+")
 #: Punctuation inserted between the characters of a word, and words spelt with single characters apart.
 INSERTED = re.compile(r"(?<=[^\W_])[^\w\s](?=[^\W\d_])")
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
