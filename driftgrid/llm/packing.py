@@ -1,23 +1,23 @@
 """Packing of token sequences by reciprocal-capacity (harmonic) classes.
 
-A document is cut into whole sequences, then into halves, quarters and so on of
-a sequence down to ``least`` tokens, and a tail below that. A piece of length n
-is of class k = capacity // n: it lies in (capacity / (k + 1), capacity / k],
-and k pieces of one class fill one sequence. Every worker fills the sequences
-of each class by itself. Only pieces of sequences that a worker leaves open,
-fewer than k for each class, are dealt again by class; what then stays open is
-fewer than k pieces for each class in all, and is laid end to end.
+A document shorter than a sequence is of class k = capacity // length: its
+length lies in (capacity / (k + 1), capacity / k], and k documents of one class
+go whole into one sequence, whatever they are. What such a sequence lacks is
+cut from longer documents, which are cut into whole sequences anyway, or from
+the next document where no cut one is at hand. Every worker fills sequences by
+itself; the fewer than k documents that it has left of each class are laid end
+to end, and its last sequence is cut into powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftgrid.llm.common import cut
+from driftgrid.llm.common import small_batches
 
-CACHE_ENTRIES = 1_000_000
-# Stages of a sequence id (its two top bits) and where the worker's number starts.
-STAGE_BITS, WORKER_BITS = 61, 32
+WORKER_BITS = 32  # the worker's number stands above its sequences' numbers
+CHUNK_ROWS = 2_000  # pieces of a batch
 
 # Fixed value: how byte-level BPE splits text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-_encoders: dict[str, "Encoder"] = {}
+#: White space that is too long for tiktoken's matcher.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 
 def bytes_of_characters() -> dict[str, int]:
@@ -47,16 +46,14 @@ def bytes_of_characters() -> dict[str, int]:
 class Encoder:
     """Token ids of texts by a byte-level BPE file, as little-endian uint32 bytes.
 
-    Byte-level BPE never merges across a space that stands before a non-space
-    character, so a text is cut there and each distinct piece encoded once.
-    Where the file's merges come in the order of their ids, tiktoken encodes the
-    pieces by the same vocabulary, several times faster; else tokenizers does.
+    Where the file's merges come in the order of their ids, tiktoken encodes by
+    the same vocabulary, several times faster than tokenizers; else, and for
+    texts with very long white space, tokenizers does. A special token's string
+    in a text is ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.path, self.slow = path, None
         self.fast = self.by_rank(path)
 
     def by_rank(self, path: str) -> tiktoken.Encoding | None:
@@ -74,161 +71,132 @@ class Encoder:
         ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         return tiktoken.Encoding("vocabulary", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        if self.fast:
-            encode = self.fast.encode_ordinary
-            return [array("I", encode(t)).tobytes() for t in texts]
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.pieces(t) for t in texts]
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = set().union(*pieces)
-        asked = list(new)
-        for at in range(0, len(asked), 20_000):
-            part = asked[at : at + 20_000]
-            self.known.update(zip(part, self.many(part)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Cuts before each space that a non-space character follows."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        out = [parts[0]] if parts[0] else []
-        odd = False
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
+    def encode(self, text: str) -> bytes:
+        if self.fast and not LONG_SPACE.search(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        if self.slow is None:
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class Filler:
+    """Fills the sequences of each class. A piece is (document, start, tokens of the document, ids); full sequences leave."""
+
+    def __init__(self, capacity: int, base: int) -> None:
+        self.capacity, self.next = capacity, base
+        self.held: dict[int, list[tuple]] = {}  # documents of each class, fewer than its number
+        self.lacking: deque[list[tuple]] = deque()  # sequences of a class that lack tokens
+        self.lack = 0
+
+    def leave(self, pieces: list[tuple]) -> Iterator[tuple]:
+        """Rows (document, start, length, tokens of the document, ids, sequence, offset)."""
+        at = 0
+        for doc, start, total, raw in pieces:
+            yield doc, start, len(raw) // 4, total, raw, self.next, at
+            at += len(raw) // 4
+        self.next += 1
+
+    def keep(self, piece: tuple) -> Iterator[tuple]:
+        """A piece below the capacity waits with its class; a full class becomes a sequence."""
+        k = self.capacity // length(piece)
+        held = self.held.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            self.held[k] = []
+            lack = self.capacity - sum(map(length, held))
+            if lack:
+                self.lacking.append(held)
+                self.lack += lack
             else:
-                odd = True
-                break
-        if not odd:
-            return out
-        out = []
-        for p in parts[:1] + [" " + p for p in parts[1:]]:
-            if out and (len(p) < 2 or p[1].isspace() or p[0] != " "):
-                out[-1] += p
-            elif p:
-                out.append(p)
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def cuts(n: int, capacity: int, least: int) -> list[int]:
-    """Piece lengths of a document of n tokens: whole capacities, then halves down to ``least``, then the tail."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    size = capacity // 2
-    while size >= least and n:
-        if n >= size:
-            out.append(size)
-            n -= size
-        size //= 2
-    return out + [n] * (n > 0)
-
-
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, least: int = 64, with_ids: bool = True) -> DataFrame:
+                yield from self.leave(held)
+
+    def cut(self, piece: tuple) -> Iterator[tuple]:
+        """A piece is cut to what sequences lack, then into whole sequences; the rest waits with its class."""
+        queue = deque([piece])
+        while self.lacking and queue:
+            held = self.lacking[0]
+            lack = self.capacity - sum(map(length, held))
+            took = take(queue, lack)
+            held += took
+            self.lack -= sum(map(length, took))
+            if sum(map(length, held)) == self.capacity:
+                yield from self.leave(self.lacking.popleft())
+        while queue and length(queue[0]) >= self.capacity:
+            yield from self.leave(take(queue, self.capacity))
+        if queue:
+            yield from self.keep(queue.popleft())
+
+    def add(self, doc: int | None, raw: bytes) -> Iterator[tuple]:
+        """A document at least as long as a sequence is cut; so is the next one where a whole sequence is lacking."""
+        piece = (doc, 0, len(raw) // 4, raw)
+        yield from self.cut(piece) if length(piece) >= self.capacity or self.lack >= self.capacity else self.keep(piece)
+
+    def finish(self) -> Iterator[tuple]:
+        """What is left goes end to end; the last sequence's tokens become sequences of powers of two."""
+        queue = deque(p for held in [*self.lacking, *(self.held[k] for k in sorted(self.held))] for p in held)
+        total = sum(map(length, queue))
+        bits = range(self.capacity.bit_length() - 2, -1, -1)
+        for size in [self.capacity] * (total // self.capacity) + [1 << b for b in bits if total % self.capacity >> b & 1]:
+            yield from self.leave(take(queue, size))
+        self.__init__(self.capacity, self.next)
+
+
+def length(piece: tuple) -> int:
+    return len(piece[3]) // 4
+
+
+def take(queue: deque[tuple], size: int) -> list[tuple]:
+    """Pieces of ``size`` tokens from the front of the queue, or all; the last is cut."""
+    out = []
+    while queue and size:
+        doc, start, total, raw = queue.popleft()
+        part, rest = raw[: 4 * size], raw[4 * size :]
+        out.append((doc, start, total, part))
+        size -= len(part) // 4
+        if rest:
+            queue.appendleft((doc, start + len(part) // 4, total, rest))
+    return out
+
+
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ``ids`` or ``ids_crc32``.
 
     start and offset count tokens of the document and of the sequence; ``ids``
     are little-endian uint32 bytes. A document is its token ids, then ``end_id``;
-    a null or empty text is that id alone. A sequence holds ``capacity`` tokens
-    at most; padding is needed only where its length is neither the capacity nor
-    a power of two. Repeated rows are packed each; an empty table gives no rows.
-    ``capacity`` must be a power of two.
+    a null or empty text is that id alone. A sequence has ``capacity`` tokens,
+    or, at the end of a worker's share, a smaller power of two, so no padding is
+    needed. A special token's string in a text is encoded as ordinary text.
+
+    Repeated rows are packed each; a null id stays null; other columns, of any
+    name, are ignored; an empty table gives no rows. ``capacity`` must be a
+    power of two. Nothing is shuffled; a worker holds fewer tokens than two
+    sequences for each class that it has met, and one text.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    small_batches(docs.sparkSession)
     what = pa.field("ids", pa.binary()) if with_ids else pa.field("ids_crc32", pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), what, ("k", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-    ddl = f"doc_id long, start long, length long, doc_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}, k int, sequence_id long, offset long"
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer_path), np.uint32(end_id).tobytes()
-        worker = TaskContext.get().partitionId()
-        filler = Filler(capacity, worker << WORKER_BITS)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size < 1 << 20):
-                    size += len(texts[to] or "")
-                    to += 1
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), what, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    ddl = f"doc_id long, start long, length long, doc_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}, sequence_id long, offset long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, tail = Encoder(tokenizer_path), array("I", [end_id]).tobytes()
+        filler = Filler(capacity, TaskContext.get().partitionId() << WORKER_BITS)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text in zip(batch.column(0), batch.column(1)):
+                    yield from filler.add(doc.as_py(), enc.encode(text.as_py() or "") + tail)
+            yield from filler.finish()
+
+        rows: list[tuple] = []
+        for doc, start, n, total, raw, seq, at in pieces():
+            rows.append((doc, start, n, total, raw if with_ids else zlib.crc32(raw), seq, at))
+            if len(rows) == CHUNK_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
-                for doc, raw in zip(ids[at:to], enc.encode([t or "" for t in texts[at:to]])):
-                    raw += tail
-                    n, start = len(raw) // 4, 0
-                    for length in cuts(n, capacity, least):
-                        piece = raw[4 * start : 4 * (start + length)]
-                        filler.add((doc, start, length, n, piece if with_ids else zlib.crc32(piece), capacity // length), rows)
-                        start += length
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                at = to
-        if rows := filler.open_rows():
+        if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    names = [f.name for f in schema]
-
-    def second(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        filler, rows = Filler(capacity, (1 << STAGE_BITS) | (int(key[0]) << WORKER_BITS)), []
-        for r in frame.sort_values(["doc_id", "start"]).itertuples(index=False):
-            filler.add(tuple(r)[:6], rows)
-        return pd.DataFrame(rows + filler.open_rows(), columns=names).astype({"sequence_id": "Int64", "offset": "Int64", "doc_id": "Int64"})
-
-    def third(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(lay_out([tuple(r)[:6] for r in frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True]).itertuples(index=False)], capacity, 2 << STAGE_BITS), columns=names).astype({"doc_id": "Int64"})
-
-    pieces = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(first, ddl))
-    done = pieces.where("sequence_id IS NOT NULL")
-    again = cut(pieces.where("sequence_id IS NULL").groupBy("k").applyInPandas(second, ddl))
-    last = again.where("sequence_id IS NULL").groupBy().applyInPandas(third, ddl)
-    return done.unionByName(again.where("sequence_id IS NOT NULL")).unionByName(last).drop("k")
-
-
-class Filler:
-    """Fills the sequences of each class; rows leave when their sequence is full."""
-
-    def __init__(self, capacity: int, base: int) -> None:
-        self.capacity, self.next, self.open = capacity, base, {}
-
-    def add(self, piece: tuple, rows: list[tuple]) -> None:
-        k = piece[5]
-        held = self.open.setdefault(k, [])
-        held.append(piece)
-        if len(held) == k:
-            at = 0
-            for p in held:
-                rows.append((*p, self.next, at))
-                at += p[2]
-            self.next += 1
-            held.clear()
-
-    def open_rows(self) -> list[tuple]:
-        return [(*p, None, None) for held in self.open.values() for p in held]
-
-
-def lay_out(pieces: list[tuple], capacity: int, base: int) -> list[tuple]:
-    """End to end, longest first; a sequence ends where the next piece doesn't fit."""
-    rows, at, seq = [], 0, base
-    for p in pieces:
-        if at + p[2] > capacity:
-            seq, at = seq + 1, 0
-        rows.append((*p, seq, at))
-        at += p[2]
-    return rows
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ddl)
