@@ -14,16 +14,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) of every node that has an edge.
 
     Each round points a node's larger neighbours, then its smaller ones, at the
-    smallest it knows. Minima are aggregated before they are joined back, so a
-    hub's neighbours never have to meet in one task. Null ends and loops are
-    ignored; repeated edges count once; no edges give no rows.
+    smallest it knows. Minima are aggregated and written before they are joined
+    back, so that a hub's neighbours are an ordinary side of that join, which
+    adaptive execution splits. Null ends and loops are ignored; repeated edges
+    count once; no edges give no rows.
     """
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = cut(now.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     state = None
     for _ in range(MAX_ROUNDS):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         told = large.join(low, "a")

@@ -1,48 +1,61 @@
-"""Near-duplicate join on word n-grams: banded MinHash LSH, then exact verification.
+"""Near-duplicate join on word n-grams: a MinHash LSH forest, then exact verification.
 
 A document is the set of its word n-grams. Documents with equal sets are one
-class and go on as one node. Every node has a MinHash prefix for each of
-``trees`` bands. Two nodes are candidates where they share a prefix in one
-band. All prefixes have one length, the longest up to ``deepest`` whose chance
-to miss a pair at the threshold is below 1 - recall; it follows from the
-parameters alone. This stands in for an LSH forest, which would keep sorted
-tries and shorten prefixes by what it finds.
-
-Candidates are kept as stars (each node and the smallest of its bucket), never
-as pairs. Nodes joined by stars form families, and every pair within a family
-is verified exactly on the whole sets, in tiles of bounded size, so a family of
-any size spreads over many tasks and only counts and a spanning forest of the
-verified links leave a tile.
+class and go on as one node. A node has a signature of eight min-hash bytes in
+each of ``trees`` trees. Sorting a tree's signatures makes it a prefix trie: a
+trie node is a run of signatures with a common prefix, and signatures without a
+neighbour that shares the shortest prefix in question leave at once.
+
+Prefixes start at their full length. Pairs below one trie node are verified
+exactly on the whole sets, each pair in one tree and at one depth only. From
+the similarities of the links found follows how many links prefixes of this
+length have missed; prefixes are shortened byte by byte until the share found
+reaches ``recall``. At the latest that is so where a pair at the threshold
+itself is found with that chance.
+
+No pair is ever a row. The sets below a trie node are dealt into tiles of
+bounded size, so that one of any size spreads over many tasks, and only counts
+and a spanning forest of the verified links leave a pair of tiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.llm.common import Words, cut, mix, ngrams, words
+from driftgrid.llm.common import Words, cut, mix, ngrams, small_batches, words
 from driftgrid.llm.components import components
 
 TREES = 24
-DEEPEST = 8
+DEPTH = 8  # bytes of a signature; it is sorted as one number
 RECALL = 0.999
 TILE = 512
-BATCH = 2000
+TILE_BYTES = 8 << 20
 COLUMNS = 8192
+BINS = 50
+
+
+def found_share(similarity: np.ndarray | float, trees: int, depth: int) -> np.ndarray | float:
+    """The chance that a pair shares a prefix of ``depth`` bytes in one of the trees; unequal minima share a byte once in 256."""
+    return 1 - (1 - (similarity + (1 - similarity) / 256) ** depth) ** trees
 
 
-def depth_for(similarity: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix whose collisions over all trees find a pair at ``similarity`` with ``recall``."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - similarity**depth) ** trees >= recall:
-            return depth
-    return 1
+def shortest(similarity: float, trees: int, recall: float) -> int:
+    """The longest prefix that finds a pair at ``similarity`` itself with the chance ``recall``."""
+    return next((d for d in range(DEPTH, 1, -1) if found_share(similarity, trees, d) >= recall), 1)
+
+
+def estimated_recall(found: np.ndarray, similarity: float, trees: int, depth: int) -> float:
+    """Share of all links found by prefixes of ``depth`` bytes, from the numbers of links found in BINS steps of similarity."""
+    lower = similarity + (1 - similarity) * np.arange(BINS) / BINS
+    return float(found.sum() / (found / found_share(lower, trees, depth)).sum()) if found.sum() else 0.0
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,59 +78,159 @@ def set_keys(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total(x).view(np.int64), total(mix(x + np.uint64(1))).view(np.int64)
 
 
-def labels(x: np.ndarray, first: np.ndarray, trees: int, depth: int, seed: int = 3) -> np.ndarray:
-    """The prefix of every (non-empty) document's signature in every tree, hashed."""
+def signatures(x: np.ndarray, first: np.ndarray, trees: int, seed: int = 3) -> np.ndarray:
+    """A number for every (non-empty) document and tree: DEPTH min-hash bytes, the first the highest."""
     rng = np.random.default_rng(seed)
     low = (x >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(first) - 1, trees), np.uint64)
     for t in range(trees):
-        label = np.zeros(len(first) - 1, np.uint64)
-        for _ in range(depth):
+        for _ in range(DEPTH):
             a, b = (np.uint32(v) for v in rng.integers(0, 1 << 32, 2))
             least = np.minimum.reduceat(low * (a | np.uint32(1)) + b, first[:-1])
-            label = mix(label * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64) + np.uint64(1))
-        out[:, t] = label
+            byte = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            out[:, t] = (out[:, t] << np.uint64(8)) | byte.astype(np.uint64)
     return out.view(np.int64)
 
 
-def verify(ids: np.ndarray, side: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(summed weights of each row's links, spanning forest of the links). side: 0 for all pairs within, else 1 and 2 for pairs across."""
+def bucketed(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, size, tree, sig) sorted by tree and sig those with a neighbour that shares ``floor`` bytes; a partition's ends stay."""
+    shift = np.uint64(8 * (DEPTH - floor))
+    last: tuple | None = None  # prefix of the last row
+    held: pa.RecordBatch | None = None  # the last row, while it has no such neighbour
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, sig = batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64) >> shift
+        like = np.zeros(batch.num_rows + 1, bool)  # whether a row is like the one before
+        like[1:-1] = (tree[1:] == tree[:-1]) & (sig[1:] == sig[:-1])
+        like[0] = last is None or last == (tree[0], sig[0])
+        if held is not None and (like[0] or last is None):
+            yield held
+        keep = like[:-1] | like[1:]
+        keep[-1] = like[-2]
+        yield batch.filter(pa.array(keep))
+        last = (tree[-1], sig[-1])
+        held = None if keep[-1] else batch.slice(batch.num_rows - 1, 1)
+    if held is not None:
+        yield held
+
+
+def fresh(sig: np.ndarray, kept: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """Pairs whose place is this trie node: no earlier tree keeps one for both, and no tree has them together one byte deeper."""
+    m, trees = sig.shape
+    new = np.ones((m, m), bool)
+    at = sig.view(np.uint64) >> np.uint64(8 * (DEPTH - depth))
+    for t in range(tree):
+        if kept[0] >> t & 1 or (kept >> t & 1).any():
+            new &= ~((at[:, t, None] == at[None, :, t]) & (kept >> t & 1).astype(bool)[:, None])
+    if depth < DEPTH:
+        at = sig.view(np.uint64) >> np.uint64(8 * (DEPTH - depth - 1))
+        for t in range(trees):
+            new &= at[:, t, None] != at[None, :, t]
+    return new
+
+
+def verify(new: np.ndarray, side: np.ndarray, ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(summed weights of each row's links, spanning forest of the links, links by similarity) among the pairs of ``new``. side: 0 for all pairs within, else 1 and 2 for pairs across."""
     m = len(ids)
     size = np.array([len(s) for s in sets])
-    x, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(x)
-    x, doc = x[order], doc[order]
-    start = np.append(True, x[1:] != x[:-1])
-    code = np.cumsum(start) - 1
-    shared = np.bincount(code)[code] > 1
-    code, doc = code[shared], doc[shared]
-    code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
-    both = np.zeros((m, m), np.float32)
-    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
-        a, b = np.searchsorted(code, [at, at + COLUMNS])
-        block = np.zeros((m, COLUMNS), np.float32)
-        block[doc[a:b], code[a:b] - at] = 1
-        both += block @ block.T
     p, q = similarity.numerator, similarity.denominator
-    link = both.astype(np.int64) * (p + q) >= p * (size[:, None] + size[None, :])
-    np.fill_diagonal(link, False)
+    new = new & ~np.eye(m, dtype=bool)
     if side.any():
-        link &= side[:, None] != side[None, :]
+        new &= side[:, None] != side[None, :]
+    new &= np.minimum(size[:, None], size[None, :]) * q >= np.maximum(size[:, None], size[None, :]) * p
+    none = np.zeros(BINS, np.int64)
+    if not new.any():
+        return np.zeros(m, np.int64), [], none
+    if m == 2:
+        both = np.full((2, 2), len(np.intersect1d(sets[0], sets[1], assume_unique=True)), np.int64)
+    else:
+        x, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
+        order = np.argsort(x)
+        x, doc = x[order], doc[order]
+        code = np.cumsum(np.append(True, x[1:] != x[:-1])) - 1
+        shared = np.bincount(code)[code] > 1
+        code, doc = code[shared], doc[shared]
+        code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
+        both = np.zeros((m, m), np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            a, b = np.searchsorted(code, [at, at + COLUMNS])
+            block = np.zeros((m, min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
+            block[doc[a:b], code[a:b] - at] = 1
+            both += block @ block.T
+        both = both.astype(np.int64)
+    total = size[:, None] + size[None, :]
+    link = new & (both * (p + q) >= p * total)
+    i, j = np.nonzero(np.triu(link))
+    like = both[i, j] / (total[i, j] - both[i, j])
+    step = np.clip(((like - p / q) / (1 - p / q) * BINS).astype(int), 0, BINS - 1) if p < q else np.zeros(len(i), int)
     forest, seen = [], np.zeros(m, bool)
-    for root in range(m):
+    for root in np.flatnonzero(link.any(1)):
         if not seen[root]:
             seen[root] = True
             todo = [root]
             while todo:
-                i = todo.pop()
-                new = np.flatnonzero(link[i] & ~seen)
-                seen[new] = True
-                todo.extend(new.tolist())
-                forest.extend((int(ids[i]), int(ids[j])) for j in new)
-    return link @ weights, forest
+                k = todo.pop()
+                more = np.flatnonzero(link[k] & ~seen)
+                seen[more] = True
+                todo.extend(more.tolist())
+                forest.extend((int(ids[k]), int(ids[n])) for n in more)
+    return link @ weights, forest, np.bincount(step, minlength=BINS)
+
+
+def prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("sig", 8 * (DEPTH - depth))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: float = 0.8, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST, tile: int = TILE) -> DataFrame:
+def trie_nodes(forest: DataFrame, depth: int, tile: int) -> DataFrame:
+    """tree, prefix, tiles of the trie nodes at ``depth`` that hold pairs of their own; of those with the same members the first."""
+    deeper = prefix(min(depth + 1, DEPTH))
+    own = F.lit(True) if depth == DEPTH else F.col("lo") != F.col("hi")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    each = forest.groupBy("tree", prefix(depth).alias("prefix")).agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min(deeper).alias("lo"), F.max(deeper).alias("hi"), *members).where("n > 1").where(own)
+    first = F.min(F.struct("tree", "prefix")).alias("at")
+    one = each.groupBy("n", "m0", "m1").agg(first, F.first("grams").alias("grams"))
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("grams") * 8 / TILE_BYTES)).cast("int")
+    return cut(one.select("at.tree", "at.prefix", tiles.alias("tiles"), (F.col("grams") * 8 * tiles).alias("bytes")))
+
+
+def links_at(forest: DataFrame, sets: DataFrame, depth: int, exact: Fraction, tile: int) -> DataFrame:
+    """Verified links of the pairs that share ``depth`` bytes and no more: rows (a, links), (a, b) of a spanning forest, and (bin, n)."""
+    small_batches(forest.sparkSession)
+    nodes = trie_nodes(forest, depth, tile)
+    tasks = max(1, (nodes.agg(F.sum("bytes")).first()[0] or 0) // TILE_BYTES)
+    held = cut(forest.withColumn("prefix", prefix(depth)).join(nodes.drop("bytes"), ["tree", "prefix"]).select("node", "tree", "prefix", "tiles"))
+    kept = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("kept"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    placed = held.join(kept, "node").withColumn("own", own).withColumn("other", other)
+    bucket = F.xxhash64("tree", "prefix")
+    placed = placed.select("node", "tree", "prefix", "own", "kept", F.when(F.col("tiles") == 1, F.pmod(bucket, F.lit(tasks))).otherwise(bucket).alias("task"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("tiles") > 1).alias("large"))
+
+    def check(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["tree", "prefix", "node"]).sort_values(["tree", "prefix", "node"])
+        tree, place = frame.tree.to_numpy(), frame.prefix.to_numpy()
+        edges = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (place[1:] != place[:-1]))).tolist() + [len(tree)]
+        ids, copies, own, kept_, raw, sig = frame.node.to_numpy(), frame.copies.to_numpy(), frame.own.to_numpy(), frame.kept.to_numpy(), frame.grams.tolist(), frame.sigs.tolist()
+        a, b, links, counted = [], [], [], np.zeros(BINS, np.int64)
+        for i, j in zip(edges, edges[1:]):
+            if j - i > 1:
+                side = (own[i:j] == key[2]).astype(np.int8) + 1 if key[1] != key[2] else np.zeros(j - i, np.int8)
+                new = fresh(np.array(sig[i:j], np.int64), kept_[i:j], int(tree[i]), depth)
+                n, tied, by = verify(new, side, ids[i:j], copies[i:j], [np.frombuffer(g, np.uint64) for g in raw[i:j]], exact)
+                hit = np.flatnonzero(n)
+                a += ids[i:j][hit].tolist() + [x for x, _ in tied]
+                b += [None] * len(hit) + [y for _, y in tied]
+                links += n[hit].tolist() + [0] * len(tied)
+                counted += by
+        some = np.flatnonzero(counted)
+        rows = {"a": a + [None] * len(some), "b": b + [None] * len(some), "links": links + counted[some].tolist(), "bin": [None] * len(a) + some.tolist()}
+        return pd.DataFrame({k: pd.array(v, "Int64") for k, v in rows.items()})
+
+    return cut(placed.join(sets, "node").groupBy("task", "lo", "hi", "large").applyInPandas(check, "a long, b long, links long, bin long"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: float = 0.8, recall: float = RECALL, trees: int = TREES, tile: int = TILE) -> DataFrame:
     """One row per document: ``id_col``, class_id (smallest id of its class), n_links (documents whose similarity reaches the threshold).
 
     Links join documents whose n-gram sets have a Jaccard similarity of
@@ -125,8 +238,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     than n words are one gram of all their words. Null and empty texts have no
     grams and link to nothing. Rows without an id are left out; repeated rows
     count as documents; an empty table gives no rows; other columns are ignored.
+    Grams are compared by 64-bit hashes, sets by 128 bits.
     """
-    depth = depth_for(similarity, trees, deepest, recall)
+    small_batches(df.sparkSession)
     exact = Fraction(similarity).limit_denominator(1000)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -137,73 +251,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 size = np.diff(first)
                 s1, s2 = set_keys(x, first)
                 full = np.flatnonzero(size)
-                signature = labels(x, np.append(first[:-1][full], len(x)), trees, depth) if len(full) else np.zeros((0, trees), np.int64)
+                sig = signatures(x, np.append(first[:-1][full], len(x)), trees) if len(full) else np.zeros((0, trees), np.int64)
                 at = np.zeros(j - i + 1, np.int32)
                 at[1:] = np.cumsum(size > 0) * trees
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s1), pa.array(s2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(signature.reshape(-1)))], ["id", "s1", "s2", "size", "labels"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s1), pa.array(s2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(sig.reshape(-1)))], ["id", "s1", "s2", "size", "sigs"])
 
-    signed = cut(docs.mapInArrow(sign, "id long, s1 long, s2 long, size int, labels array<long>"))
+    signed = cut(docs.mapInArrow(sign, "id long, s1 long, s2 long, size int, sigs array<long>"))
     full = signed.where("size > 0")
-    nodes = full.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    nodes = full.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sigs").alias("sigs"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    forest = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
-    buckets = forest.groupBy("tree", "label").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = forest.join(buckets, ["tree", "label"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    family = components(stars)
-    sizes = family.groupBy("component").agg(F.count("*").alias("n"))
-    families = cut(family.join(sizes, "component").join(nodes.drop("labels"), "node"))
+    floor = shortest(similarity, trees, recall)
+    every = nodes.select("node", F.col("size").cast("long").alias("size"), F.posexplode("sigs").alias("tree", "sig"))
+    every = every.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig")
+    forest = cut(every.mapInArrow(lambda b: bucketed(b, floor), "node long, size long, tree int, sig long"))
+    some = forest.groupBy("tree", prefix(floor).alias("prefix")).count().where("count > 1")
+    forest = cut(forest.withColumn("prefix", prefix(floor)).join(cut(some.select("tree", "prefix")), ["tree", "prefix"], "left_semi").drop("prefix"))
 
-    # every member's whole set, once for each tile pair that it takes part in
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    batches = max(1, families.count() // BATCH)
-    placed = families.withColumn("tiles", tiles).withColumn("own", own)
-    member = placed.select("id", "s1", "s2", "size", "node", "copies", "component", "tiles", "own")
-
-    def reshingle(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+    def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))
             for i, j, w in words(col("text")):
                 x, first = grams(w, n)
                 s1, s2 = set_keys(x, first)
-                same = (col("s1").slice(i, j - i).to_numpy() == s1) & (col("s2").slice(i, j - i).to_numpy() == s2)
-                pick = pa.array(np.flatnonzero(same))
-                if len(pick):
-                    raw = [x[first[k] : first[k + 1]].tobytes() for k in np.flatnonzero(same)]
-                    yield pa.RecordBatch.from_arrays([*(col(c).slice(i, j - i).take(pick) for c in ("node", "copies", "component", "tiles", "own")), pa.array(raw, pa.binary())], ["node", "copies", "component", "tiles", "own", "grams"])
-
-    texts = docs.join(member, "id").select("text", "s1", "s2", "node", "copies", "component", "tiles", "own")
-    sets = texts.mapInArrow(reshingle, "node long, copies long, component long, tiles int, own int, grams binary")
-    one = F.col("tiles") == 1
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    sets = sets.withColumn("other", other).select(
-        F.when(one, -1 - F.pmod(F.xxhash64("component"), F.lit(batches))).otherwise(F.col("component")).alias("task"),
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "copies", "component", "own", "grams",
-    )
+                same = np.flatnonzero((col("s1").slice(i, j - i).to_numpy() == s1) & (col("s2").slice(i, j - i).to_numpy() == s2))
+                if len(same):
+                    raw = [x[first[k] : first[k + 1]].tobytes() for k in same]
+                    yield pa.RecordBatch.from_arrays([*(col(c).slice(i, j - i).take(pa.array(same)) for c in ("node", "copies", "sigs")), pa.array(raw, pa.binary())], ["node", "copies", "sigs", "grams"])
 
-    def check(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").sort_values(["component", "node"])
-        a, b, c = [], [], []
-        across = key[1] != key[2]
-        part = frame.component.to_numpy()
-        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
-        ids, copies, own, raw = frame.node.to_numpy(), frame.copies.to_numpy(), frame.own.to_numpy(), frame.grams.tolist()
-        for i, j in zip(edges, edges[1:]):
-            side = (own[i:j] == key[2]).astype(np.int8) + 1 if across else np.zeros(j - i, np.int8)
-            links, tree = verify(ids[i:j], side, copies[i:j], [np.frombuffer(g, np.uint64) for g in raw[i:j]], exact)
-            hit = np.flatnonzero(links)
-            a += ids[i:j][hit].tolist() + [x for x, _ in tree]
-            b += [None] * len(hit) + [y for _, y in tree]
-            c += links[hit].tolist() + [0] * len(tree)
-        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": pd.array(c, "Int64")})
-
-    checked = cut(sets.groupBy("task", "lo", "hi").applyInPandas(check, "a long, b long, links long"))
-    counts = checked.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    linked = components(checked.where("b IS NOT NULL"))
+    member = nodes.join(forest.select("node").distinct(), "node", "left_semi").select("id", "s1", "s2", "node", "copies", "sigs")
+    texts = docs.join(cut(member), "id").select("text", "s1", "s2", "node", "copies", "sigs")
+    sets = cut(texts.mapInArrow(reshingle, "node long, copies long, sigs array<long>, grams binary"))
+
+    checked, found = [], np.zeros(BINS, np.int64)
+    for depth in range(DEPTH, floor - 1, -1):
+        checked.append(links_at(forest, sets, depth, exact, tile))
+        for r in checked[-1].where("bin IS NOT NULL").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # BINS rows
+            found[r.bin] += r.n
+        if estimated_recall(found, float(exact), trees, depth) >= recall:
+            break
+    links = reduce(DataFrame.unionByName, checked).where("a IS NOT NULL")
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    linked = components(links.where("b IS NOT NULL"))
     named = linked.join(nodes.select("node", "id"), "node")
     least = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    told = nodes.select("node", "s1", "s2", "size", "copies", "id").join(linked.join(least, "component").select("node", "class_id"), "node", "left").join(counts, "node", "left")
+    told = nodes.select("node", "s1", "s2", "size", "copies", "id").join(linked.join(cut(least), "component").select("node", "class_id"), "node", "left").join(counts, "node", "left")
     told = told.select("s1", "s2", "size", F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = full.select("id", "s1", "s2", "size").join(told, ["s1", "s2", "size"]).select("id", "class_id", "n_links")
     none = signed.where("size = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

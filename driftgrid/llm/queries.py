@@ -157,6 +157,24 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * shared >= 4 * (x.n + y.n)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
+classes AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM ends GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, coalesce(n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN counts k ON k.doc_id = d.doc_id
+"""
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -194,4 +212,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL}
+    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL, "op7_jaccard": OP7_SQL}

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftgrid.llm.components import components
-from driftgrid.llm.near_duplicates import depth_for, keep_one_of_each, near_duplicates
+from driftgrid.llm.near_duplicates import BINS, bucketed, estimated_recall, found_share, keep_one_of_each, near_duplicates, shortest, signatures
 from tests.llm.data import documents, frame, words
 
 
@@ -56,10 +59,57 @@ def test_keeping_one(spark):
     assert set(ids) == classes | {None} and kept.columns == df.columns
 
 
-def test_empty_and_depth(spark):
+def test_empty(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
-    d = depth_for(0.8, 24, 8, 0.999)
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+
+
+def test_prefix_lengths():
+    d = shortest(0.8, 24, 0.999)
+    assert found_share(0.8, 24, d) >= 0.999 > found_share(0.8, 24, d + 1)
+    near, far = np.zeros(BINS), np.zeros(BINS)
+    near[-1], far[0] = 100, 100
+    # links between near copies are all found by long prefixes, links at the threshold are not
+    assert estimated_recall(near, 0.8, 24, 8) > 0.999 > estimated_recall(far, 0.8, 24, 8)
+    assert estimated_recall(far, 0.8, 24, d) >= 0.999 and estimated_recall(np.zeros(BINS), 0.8, 24, 8) == 0
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(0)
+    common, own = rng.integers(0, 1 << 63, 800).astype(np.uint64), rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    x = np.concatenate([np.concatenate([common, own[:100]]), np.concatenate([common, own[100:]])])
+    sig = signatures(x, np.array([0, 900, 1800]), 200).view(np.uint64)
+    byte = lambda s: s[:, None] >> np.arange(0, 64, 8, dtype=np.uint64) & np.uint64(255)
+    share = (byte(sig[0]) == byte(sig[1])).mean()
+    assert abs(share - (0.8 + 0.2 / 256)) < 0.05
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_neighbours_in_a_sorted_trie(size):
+    rng = np.random.default_rng(1)
+    tree = np.sort(rng.integers(0, 3, 200)).astype(np.int32)
+    sig = rng.integers(0, 60, 200).astype(np.uint64) << np.uint64(16)
+    order = np.lexsort((sig, tree))
+    tree, sig = tree[order], sig[order]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array(np.ones(200, np.int64)), pa.array(tree), pa.array(sig.view(np.int64))], ["node", "size", "tree", "sig"])
+    got = [n for b in bucketed((batch.slice(i, size) for i in range(0, 200, size)), 6) for n in b.column(0).to_pylist()]
+    prefixes = Counter(zip(tree.tolist(), (sig >> np.uint64(16)).tolist()))
+    want = [i for i in range(200) if prefixes[int(tree[i]), int(sig[i] >> np.uint64(16))] > 1 or i in (0, 199)]
+    assert got == want
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        base = words(rng, 204)
+        copy = list(base)
+        for k in rng.sample(range(20, 180, 10), 4):  # five grams each: about 180 of 220 are shared
+            copy[k] = f"edit{i}x{k}"
+        rows += [(2 * i, " ".join(base), "en", "s", 0, 0.0, 0, 0, 0, ""), (2 * i + 1, " ".join(copy), "en", "s", 0, 0.0, 0, 0, 0, "")]
+    want = brute(rows)
+    assert sum(n for _, _, n in want) == 300
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sum(r.n_links for r in got) >= 0.99 * 300
 
 
 def test_components(spark):
