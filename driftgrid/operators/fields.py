@@ -110,6 +110,11 @@ def composites(df: DataFrame, *, keys: list[str], value: str = "value") -> DataF
     return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
 
 
+def phase_composites(df: DataFrame, labels: DataFrame, *, on: list[str], label: str = "label", cell: str = "cell_id", value: str = "value") -> DataFrame:
+    """``composites`` of every cell over the steps of each phase; ``labels`` has a row for each member and step, joined by ``on``."""
+    return composites(df.join(labels.select(*on, label), on), keys=[label, cell], value=value)
+
+
 def mean_of_means(df: DataFrame, *, model: list[str], keys: list[str], value: str = "value") -> DataFrame:
     """Composite per model, then the plain mean over models: each model weighs the same."""
     return df.groupBy(*model, *keys).agg(F.avg(F.col(value).cast("double")).alias("v")).groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("v").alias("models"))

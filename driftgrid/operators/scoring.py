@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 EPS = 1e-15
 
 
-def pr_curve(scores: DataFrame, *, keys: list[str], score: str = "y_prob", label: str = "y_true") -> DataFrame:
+def pr_curve(scores: DataFrame, *, keys: list[str], score: str = "y_prob", label: str = "y_true", ranges: int = 1024) -> DataFrame:
     """threshold, precision, recall at every distinct score; tied scores enter together.
 
-    Counts are aggregated per distinct score before they are cumulated.
+    Counts are aggregated per distinct score, then cumulated in two steps: over
+    at most ``ranges`` ranges of scores between 0 and 1 for each key, and within
+    each range, so that no task holds all scores of a key.
     """
-    at = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    place = F.greatest(F.least(F.floor(F.col("threshold") * ranges), F.lit(ranges)), F.lit(-1)).cast("int")
+    at = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")).withColumn("__range", place)
     by = Window.partitionBy(*keys)
-    above = by.orderBy(F.desc("threshold"))
-    out = at.select(*keys, "threshold", "p", "n", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("predicted"), F.sum("p").over(by).alias("positives"), F.sum("n").over(by).alias("total"))
+    before = by.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(*keys, "__range").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select(*keys, "__range", zero(F.sum("__p").over(before)).alias("__tp"), zero(F.sum("__n").over(before)).alias("__all"), F.sum("__p").over(by).alias("positives"), F.sum("__n").over(by).alias("total"))
+    own = Window.partitionBy(*keys, "__range").orderBy(F.desc("threshold"))
+    out = at.join(sums, [*keys, "__range"]).select(*keys, "threshold", "p", "n", (F.col("__tp") + F.sum("p").over(own)).alias("tp"), (F.col("__all") + F.sum("n").over(own)).alias("predicted"), "positives", "total")
     return out.withColumn("precision", F.col("tp") / F.col("predicted")).withColumn("recall", F.coalesce(F.try_divide("tp", F.nullif("positives", F.lit(0))), F.lit(0.0)))
 
 
@@ -39,8 +46,7 @@ def metric_set(scores: DataFrame, *, keys: list[str], score: str = "y_prob", lab
     """Thirteen metrics per key, one column each. Decisions are at the threshold where precision and recall are closest."""
     curve = pr_curve(scores, keys=keys, score=score, label=label)
     best = optimal_thresholds(curve, keys=keys)
-    by = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    prev = F.coalesce(F.lag("recall").over(by), F.lit(0.0))
+    prev = F.coalesce(F.try_divide(F.col("tp") - F.col("p"), F.nullif("positives", F.lit(0))), F.lit(0.0))  # recall at the next higher score
     areas = curve.withColumn("__ap", F.col("precision") * (F.col("recall") - prev))
     below = F.col("total") - F.col("predicted")  # rows with a smaller score
     n0 = F.col("n") - F.col("p")
@@ -66,6 +72,25 @@ def long_metrics(metrics: DataFrame, *, keys: list[str]) -> DataFrame:
     return metrics.unpivot(keys, names, "metric", "value")
 
 
+def side_by_side(metrics: DataFrame, *, keys: list[str], column: str, values: list, value: str = "value") -> DataFrame:
+    """``keys`` and one column for each of ``values`` of ``column``: the metrics of all splits next to each other."""
+    return metrics.groupBy(*keys).agg(*(F.max(F.when(F.col(column) == v, F.col(value))).alias(f"{column}_{v}") for v in values))
+
+
+def voted_years(shares: DataFrame, events: DataFrame, *, on: list[str], least: float = 0.15) -> DataFrame:
+    """Keys that more than ``least`` of the models vote for, and whether each is among the observed events."""
+    held = shares.where(F.col("share") > least)
+    known = events.select(*on).distinct().withColumn("observed", F.lit(1))
+    return held.join(known, on, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+
+
+def sample_table(scores: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
+    """Scores with labels, attributions and indices of the same samples; a sample that one of them lacks is left out."""
+    for other in others:
+        scores = scores.join(other, on)
+    return scores
+
+
 def metric_intervals(metrics: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, median and the 2.5 / 97.5 percentiles over runs."""
     p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

@@ -63,6 +63,20 @@ def aligned(features: DataFrame, labels: DataFrame, *, on: list[str]) -> DataFra
     return features.join(labels, on)
 
 
+def split_samples(cells: DataFrame | None, grid: DataFrame | None, others: DataFrame, *, on: list[str] = ["member", "year"], splits: int = 9, blocks: int = 10, only: list[int] | None = None) -> DataFrame:  # noqa: B006
+    """Samples of every split and part: standardised, land-filled feature vectors with the columns of ``others`` (labels, indices).
+
+    Without cells it is the fast path: ``others`` alone are dealt by the same
+    blocks, and no field is read. Statistics are those of each split's training
+    part over the ocean.
+    """
+    if cells is None:
+        return with_splits(others, splits=splits, blocks=blocks, only=only)
+    held = with_splits(with_grid(cells, grid.select("cell_id", "land")), splits=splits, blocks=blocks, only=only)
+    z = standardized(held, keys=["split"], where=(F.col("part") == "tr") & (F.col("land") == 0)).drop("land")
+    return aligned(feature_vectors(model_input(z, grid), keys=["split", "part", *on]), others, on=on)
+
+
 def class_weights(df: DataFrame, *, keys: list[str], label: str = "label", positive: float = 1.5) -> DataFrame:
     """Balanced weights n / (classes * count), the positive class times ``positive``: keys, label, n, weight."""
     counts = df.groupBy(*keys, label).agg(F.count("*").alias("n"))

@@ -50,6 +50,12 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumns({"area": 1e12 * (F.col("i") + 1), "land": (F.col("cell_id") % 7 == 0).cast("int")})
 
 
+def observed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """member (0), year, month, cell_id, value: one field, the largest value of all members."""
+    c = cells(spark, sf).groupBy("year", "month", "cell_id").agg(F.max(F.col("value").cast("double")).alias("value"))
+    return c.select(F.lit(0).alias("member"), "year", "month", "cell_id", "value")
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, split, run, phase, y_true, y_prob: document quality against a function of length with ties."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
@@ -65,3 +71,4 @@ O = "o AS (SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE)::INT
 C = "c AS (SELECT (vec_id % 10)::INT AS member, (2000 + (vec_id // 10) // 12)::INT AS year, ((vec_id // 10) % 12 + 1)::INT AS month, label, k::INT - 1 AS cell_id, embedding[k]::DOUBLE AS value FROM embeddings, range(1, 65) r(k) WHERE k <= len(embedding))"
 G = "g AS (SELECT k::INT AS cell_id, (k // 8)::INT AS i, (k % 8)::INT AS j, (k // 8) * 20.0 - 70.0 AS lat, (k % 8) * 45.0 AS lon, 1e12 * ((k // 8) + 1) AS area, (k % 7 = 0)::INT AS land FROM range(0, (SELECT max(len(embedding)) FROM embeddings)) r(k))"
 P = "p AS (SELECT d.doc_id, (d.doc_id % 3)::INT AS split, (d.doc_id % 2)::INT AS run, lang AS phase, quality AS y_true, toxic, round(n_chars / (n_chars + 1500.0), 2) AS y_prob FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+OC = "oc AS (SELECT 0 AS member, year, month, cell_id, max(value) AS value FROM c GROUP BY year, month, cell_id)"

@@ -5,7 +5,6 @@ Floating results are rounded alike on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,30 +23,11 @@ from driftgrid.operators.lowpass import lowpass
 from driftgrid.plans import base
 from driftgrid.plans import indices as I
 from driftgrid.plans.base import C, G, L, O, P, S
+from driftgrid.plans.registry import query, rounded
 from driftgrid.plans.trends import ensemble_events
 from driftgrid.session import table
 from driftgrid.sources import catalog
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
-    """Doubles rounded; -0 as 0."""
-    return df.withColumns({c: F.round(c, own.get(c, digits)) + F.lit(0.0) for c, kind in df.dtypes if kind in ("double", "float")})
-
-
 #: Mean prices are decimal fractions; in a prime unit none of them sits on a rounding tie.
 UNIT = 997
 
@@ -395,13 +375,13 @@ def block_splits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.groupBy(F.col("split").cast("long").alias("split"), "part").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total")), 2)
 
 
-@query(f"""WITH {C}, {G}, x AS (SELECT split::INT AS split, CASE WHEN member = split THEN 'te' WHEN member = split + 1 THEN 'va' ELSE 'tr' END AS part, member, year, month, c.cell_id, land, value FROM c JOIN g ON c.cell_id = g.cell_id, range(0, 3) r(split)),
+@query(f"""WITH {C}, {G}, x AS (SELECT split::INT AS split, CASE WHEN member = split THEN 'te' WHEN member = split + 1 THEN 'va' ELSE 'tr' END AS part, member, year, month, c.cell_id, land, value FROM c JOIN g ON c.cell_id = g.cell_id, range(0, 9) r(split)),
 s AS (SELECT split, avg(value) AS mu, stddev_pop(value) AS sigma FROM x WHERE part = 'tr' AND land = 0 GROUP BY split)
 SELECT x.split, part, member, year, month, cell_id, round(CASE WHEN land = 1 THEN -10 ELSE (value - mu) / sigma END, 6) AS z FROM x JOIN s ON x.split = s.split""")
 def standardized_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """Three splits of the cells, standardised by their training part's ocean, land filled."""
+    """Nine splits of the cells, standardised by their training part's ocean, land filled."""
     held = D.with_grid(base.cells(spark, sf), base.grid(spark, sf).select("cell_id", "land"))
-    s = B.with_splits(held, only=[0, 1, 2])
+    s = B.with_splits(held)
     z = B.standardized(s, keys=["split"], where=(F.col("part") == "tr") & (F.col("land") == 0)).withColumn("z", K.fill_land(F.col("z"), F.col("land")))
     return rounded(z.select("split", "part", "member", "year", "month", "cell_id", "z"))
 
@@ -484,12 +464,12 @@ def hexagon_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {JOINT}, s0 AS (SELECT count(*) AS n, var_samp(a) * count(*) ** (-1.0 / 3) AS vx, var_samp(b) * count(*) ** (-1.0 / 3) AS vy, covar_samp(a, b) * count(*) ** (-1.0 / 3) AS c,
  quantile_cont(a, 0.005) AS x0, quantile_cont(a, 0.995) AS x1, quantile_cont(b, 0.005) AS y0, quantile_cont(b, 0.995) AS y1 FROM j),
-q AS (SELECT i::INT AS gi, k::INT AS gj, x0 + (x1 - x0) * i / 19 AS x, y0 + (y1 - y0) * k / 19 AS y, n, vx, vy, c, vx * vy - c * c AS det FROM s0, range(0, 20) r(i), range(0, 20) r2(k))
-SELECT gi, gj, round(x, 4) AS x, round(y, 4) AS y, round(1e9 * sum(exp(-0.5 * (vy * (x - a) ** 2 - 2 * c * (x - a) * (y - b) + vx * (y - b) ** 2) / det)) / (2 * pi() * sqrt(any_value(det)) * any_value(n)), 4) AS density FROM q, j GROUP BY gi, gj, x, y""")
+q AS (SELECT i::INT AS gi, k::INT AS gj, x0 + (x1 - x0) * i / 199 AS x, y0 + (y1 - y0) * k / 199 AS y, n, vx, vy, c, vx * vy - c * c AS det FROM s0, range(0, 200) r(i), range(0, 200) r2(k))
+SELECT gi, gj, round(x / 997, 6) AS x, round(y / 997, 6) AS y, round(1e9 * sum(exp(-0.5 * (vy * (x - a) ** 2 - 2 * c * (x - a) * (y - b) + vx * (y - b) ** 2) / det)) / (2 * pi() * sqrt(any_value(det)) * any_value(n)), 4) AS density FROM q, j GROUP BY gi, gj, x, y""")
 def density_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Kernel density of two series on 20 x 20 points, per 1e9."""
-    out = Q.kernel_density(joint(spark, sf), "a", "b", points=20)
-    return rounded(out.withColumn("density", F.col("density") * 1e9), 4)
+    """Kernel density of two series on 200 x 200 points, per 1e9."""
+    out = Q.kernel_density(joint(spark, sf), "a", "b")
+    return rounded(out.withColumns({"density": F.col("density") * 1e9, "x": F.col("x") / UNIT, "y": F.col("y") / UNIT}), 4, x=6, y=6)
 
 
 @query(f"WITH {JOINT} SELECT member, round(corr(a, b), 6) AS r, count(*) AS n, round(regr_slope(b, a), 6) AS slope, round(regr_intercept(b, a), 4) AS intercept, round(regr_r2(b, a), 6) AS r2 FROM j GROUP BY member")

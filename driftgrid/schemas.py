@@ -12,6 +12,7 @@ SCHEMAS = {
     "samples": "split INT, part STRING, member INT, year INT, label TINYINT, features ARRAY<FLOAT>",
     "scores": "split INT, run INT, part STRING, member INT, year INT, y_prob FLOAT, y_true TINYINT",
     "attributions": "split INT, run INT, member INT, year INT, cell_id INT, relevance FLOAT",
+    "split_stats": "split INT, mu DOUBLE, sigma DOUBLE",
     "metrics": "split INT, part STRING, run INT, metric STRING, value DOUBLE",
     "history": "split INT, run INT, loss ARRAY<DOUBLE>, val_loss ARRAY<DOUBLE>",
     "manifest": "member_code STRING, member_group STRING, variable STRING, scenario STRING, start_year INT, end_year INT, file STRING",

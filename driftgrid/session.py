@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,16 @@ def local_session(app: str = "driftgrid", cpus: int | str = 8, partitions: int =
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; in a temporary one where that is unset, which only a local master may leave so."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    base = folder if urlparse(folder).scheme else f"file://{folder}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import missing, unless_month, wrap_longitude
+from driftgrid.operators.fields import season_means
 from driftgrid.schemas import SCHEMAS
 
 
@@ -24,12 +26,59 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
+def read_typed(spark: SparkSession, name: str, path: str, **equal: object) -> DataFrame:
+    """The table ``name`` of SCHEMAS: its columns and types, missing numbers NULL.
+
+    ``equal`` gives a value or a list of values for columns; partitions and row
+    groups without them aren't read, and a value that no partition has gives no
+    rows. A column that the files lack is an error.
+    """
+    df = spark.read.parquet(path)
+    for on, want in equal.items():
+        df = df.where(F.col(on).isin(want) if isinstance(want, list | tuple) else F.col(on) == want)
+    kinds = spark.createDataFrame([], SCHEMAS[name]).schema
+    number = ("float", "double")
+    return df.select(*((missing(F.col(f.name)) if f.dataType.typeName() in number else F.col(f.name)).cast(f.dataType).alias(f.name) for f in kinds))
+
+
+def read_where_present(spark: SparkSession, name: str, paths: list[str]) -> DataFrame:
+    """The tables at ``paths``, one below the other; a path that doesn't exist is skipped."""
+    out = spark.createDataFrame([], SCHEMAS[name])
+    for path in paths:
+        try:
+            one = read_typed(spark, name, path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        out = out.unionByName(one)
+    return out
+
+
+def seasonal_indices(indices: DataFrame, names: list[str], season: str) -> DataFrame:
+    """member, year, index, value: season means of the named indices; one that isn't there has no rows."""
+    return season_means(indices.where(F.col("index").isin(names)), season, keys=["member", "year", "index"])
+
+
 def read_chunks(spark: SparkSession, path: str, *, pattern: str = "*.parquet", name: str = r"\.([0-9]{4}\.[0-9]{3})\.(\w+)\.") -> DataFrame:
     """Raw chunks of many files with member_code and variable taken from their names; floats and NULLs at rest."""
     df = spark.read.option("pathGlobFilter", pattern).parquet(path).withColumn("__file", F.input_file_name())
     return df.withColumns({"member_code": F.regexp_extract("__file", name, 1), "variable": F.regexp_extract("__file", name, 2)}).withColumn("value", missing(F.col("value")).cast("float")).drop("__file")
 
 
+def process_variable(spark: SparkSession, raw: str, out: str, *, keys: list[str]) -> DataFrame:
+    """Combine the chunks of ``raw`` and write them by variable and month to ``out``; a step that two chunks hold is an error.
+
+    Returns the table as it is read back.
+    """
+    cells = read_chunks(spark, raw)
+    twice = cells.groupBy("member_code", "variable", *keys).agg(F.count("*").alias("n")).where("n > 1")
+    if twice.limit(1).count():
+        raise ValueError("chunks overlap")
+    write_table(cells, out, by=["variable", "month"])
+    return spark.read.parquet(out)
+
+
 def read_observed(spark: SparkSession, path: str, *, epoch: str = "1800-01-01", drop_last: int = 6, fill_below: float = -9e3, years: tuple[int, int] | None = None) -> DataFrame:
     """Observed cells: day offsets to dates, the last steps dropped, fill values missing."""
     df = spark.read.parquet(path)
