@@ -69,11 +69,15 @@ def plan(df: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], *
     leaves = cut(leaves.select(*levels, "supply", F.col("budget").alias("share"), F.expr("budget div supply").alias("epochs"), F.expr("budget % supply").alias("__rest")))
     # the cut of the unfinished epoch: hash ranges first, then the rows of one range
     some = attach(rows, leaves.where("__rest > 0"), levels).withColumn("__h", order_hash("__id", F.col("epochs"), seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
-    ranges = some.groupBy(*levels, "__b").agg(F.sum("__t").alias("__bt"), F.first("__rest").alias("__rest"))
-    before = F.sum("__bt").over(Window.partitionBy(*levels).orderBy("__b"))
-    ranges = ranges.withColumn("__to", before).withColumn("__from", F.col("__to") - F.col("__bt"))
-    edge = ranges.where("__from <= __rest AND __rest < __to").select(*levels, "__b", "__from")
-    edge = cut(edge.groupBy(*levels).agg(F.min_by("__b", "__from").alias("__b"), F.min("__from").alias("__from")))
+    ranges = cut(some.groupBy(*levels, "__b").agg(F.sum("__t").alias("__bt")))
+    edge = leaves.where("__rest > 0").select(*levels, "__rest", F.lit("").alias("__at"), F.lit(0).cast("long").alias("__from"))
+    for depth in range(1, PREFIX + 1):  # one digit of the range after the other, so a window has 16 rows
+        own = attach(ranges, edge, levels).where(F.col("__b").startswith(F.col("__at")))
+        digit = own.groupBy(*levels, F.substring("__b", 1, depth).alias("__next"), "__rest", "__from").agg(F.sum("__bt").alias("__bt"))
+        digit = digit.withColumn("__to", F.col("__from") + F.sum("__bt").over(Window.partitionBy(*levels).orderBy("__next")))
+        digit = digit.withColumn("__from", F.col("__to") - F.col("__bt")).where("__from <= __rest AND __rest < __to")
+        edge = cut(digit.groupBy(*levels).agg(F.max("__rest").alias("__rest"), F.min_by("__next", "__from").alias("__at"), F.min("__from").alias("__from")))
+    edge = edge.select(*levels, F.col("__at").alias("__b"), "__from")
     inside = attach(some, edge.withColumnRenamed("__b", "__cut_b"), levels).where("__b = __cut_b")
     running = F.sum("__t").over(Window.partitionBy(*levels).orderBy("__h").rangeBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("__sum", F.col("__from") + running).where("__sum <= __rest").groupBy(*levels).agg(F.max("__h").alias("__last"))

@@ -1,9 +1,11 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Candidates are held in vertical layout. Products are accumulated block of
-dimensions by block; after each block a candidate stays only if its partial
-product plus the most that the remaining dimensions can add (Cauchy-Schwarz on
-the remaining mass) reaches the k-th best certain product.
+Candidates are held in vertical layout, the dimensions with the most mass
+first. Products are accumulated block of dimensions by block. After the first
+block the most promising candidates are finished, which gives a floor for the
+k-th best; after each block a candidate stays only if its partial product plus
+the most that the remaining dimensions can add (Cauchy-Schwarz on the remaining
+mass) reaches the floor.
 """
 
 from __future__ import annotations
@@ -14,14 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 8
+PROMISING = 4  # so many times k candidates are finished after the first block
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, product) of each query's k best; ties to the smaller id. Integer components."""
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK, alive_after: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, product) of each query's k best; ties to the smaller id. Integer components.
+
+    ``alive_after`` gets the number of candidates left after each block, over all queries.
+    """
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-    columns = np.ascontiguousarray(vectors.T.astype(kind))
+    order = np.argsort(-(vectors.astype(np.float64) ** 2).sum(0), kind="stable")
+    queries, columns = queries[:, order], np.ascontiguousarray(vectors[:, order].T.astype(kind))
     edges = list(range(0, columns.shape[0], block)) + [columns.shape[0]]
+    if alive_after is not None:
+        alive_after[:] = [0] * (len(edges) - 1)
     square = columns.astype(np.float64) ** 2
     mass = np.zeros((len(edges), columns.shape[1]))
     for b in range(len(edges) - 2, -1, -1):
@@ -31,17 +40,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     for qi, q in enumerate(queries.astype(kind)):
         rest = np.sqrt(np.concatenate([np.cumsum((q.astype(np.float64) ** 2)[::-1])[::-1], [0.0]])) * (1 + 1e-9)
         alive = np.flatnonzero(ids != query_ids[qi])
-        part = np.zeros(len(alive), kind)
+        part, floor = np.zeros(len(alive), kind), -np.inf
         for b in range(len(edges) - 1):
             rows = columns[edges[b] : edges[b + 1]]
             part = part + q[edges[b] : edges[b + 1]] @ (rows if len(alive) == columns.shape[1] else rows[:, alive])
-            if len(alive) <= k or b == len(edges) - 2:
-                continue
-            slack = rest[edges[b + 1]] * mass[b + 1][alive]
-            floor = np.partition(part - slack, len(alive) - k)[len(alive) - k]
-            keep = part + slack >= floor - 1e-6 * (1 + abs(floor))
-            if not keep.all():
-                alive, part = alive[keep], part[keep]
+            if b == 0 and len(alive) > k:
+                some = np.argpartition(-part, min(PROMISING * k, len(alive)) - 1)[: PROMISING * k]
+                whole = part[some] + q[edges[1] :] @ columns[edges[1] :, alive[some]]
+                floor = float(np.partition(whole, len(some) - k)[len(some) - k])
+            if len(alive) > k and b < len(edges) - 2:
+                keep = part + rest[edges[b + 1]] * mass[b + 1][alive] >= floor - 1e-6 * (1 + abs(floor))
+                if not keep.all():
+                    alive, part = alive[keep], part[keep]
+            if alive_after is not None:
+                alive_after[b] += len(alive)
         if len(alive) > k:
             bar = np.partition(part, len(part) - k)[len(part) - k]
             keep = part >= bar

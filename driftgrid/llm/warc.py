@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm.common import cut, shared_dir
+from driftgrid.llm.common import cut, shared_dir, small_batches
 
 # Magic number of the skippable frame that carries a dictionary, and WARC line ends.
 SKIPPABLE = 0x184D2A5D
@@ -39,15 +39,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def train_dictionary(df: DataFrame, payload_col: str, id_col: str, records: int = SAMPLE_RECORDS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from about ``records`` payloads drawn by hash, twice as many at most, ``chars`` characters of each.
+def train_dictionary(df: DataFrame, records: int = SAMPLE_RECORDS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary from about ``records`` records of rows (page_id, url, html) drawn by hash, twice as many at most, ``chars`` characters of each payload.
 
-    Raw content where there is too little to train on.
+    Zstandard can't train on a few samples: below 50, or 100,000 bytes, the
+    records themselves are the dictionary.
     """
     rows = df.count()
-    near = F.pmod(F.xxhash64(id_col, payload_col), F.lit(max(1, rows))) < records
-    some = df.where(F.length(payload_col) > 0).where(near).select(F.substring(payload_col, 1, chars).alias("p")).limit(2 * records)
-    samples = sorted(r.p.encode() for r in some.collect())
+    near = F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, rows))) < records
+    some = df.where(F.length("html") > 0).where(near).select("page_id", "url", F.substring("html", 1, chars).alias("html")).limit(2 * records)
+    samples = sorted(record("response", r.page_id, r.url, r.html.encode(), r.html.encode(), None) for r in some.collect())
     total = sum(map(len, samples))
     if len(samples) < 50 or total < 100_000:
         return b"".join(samples)[:size]
@@ -88,15 +89,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_first(df: DataFrame, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """``df`` with ``__first``: the smallest id that has an equal payload; null where the payload is below ``least_bytes``.
+    """``df`` with ``__first``: the smallest id that has an equal payload; null where the payload is below ``least_bytes`` or the row itself is that.
 
-    Payloads are counted by digest before any is moved, and only the digests
-    that repeat are joined back, so a common payload never meets in one task.
+    Ids and digests alone are joined on the digest, so a common payload's rows
+    are narrow there. Payloads are joined with what was found by id and digest
+    and spread evenly, however often one occurs.
     """
     body = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
-    keyed = df.withColumn("__key", F.when(F.octet_length(body) >= least_bytes, F.sha2(body, 256)))
+    keyed = df.withColumn("__key", F.when(F.octet_length(body) >= least_bytes, F.unhex(F.sha2(body, 256))))
     again = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return keyed.join(again, "__key", "left")
+    later = keyed.select(F.col(id_col).alias("__id"), "__key").join(cut(again), "__key").where(~F.col("__id").eqNullSafe(F.col("__first"))).distinct()
+    later = later.withColumnRenamed("__key", "__same")
+    return keyed.join(later, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__same")), "left").drop("__id", "__same")
 
 
 def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
@@ -111,8 +115,10 @@ def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_c
     rows with the smallest id each is a response. An empty table gives no archive.
     Columns other than the three named ones are ignored.
     """
-    raw = train_dictionary(df, payload_col, id_col)
-    rows = with_first(df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")), "page_id", "html", least_bytes)
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
+    raw = train_dictionary(rows)
+    rows = with_first(rows, "page_id", "html", least_bytes)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)

@@ -54,3 +54,16 @@ def test_large_components_are_exact():
     for i in range(5):
         best = sorted((-int(sum(int(a) * int(b) for a, b in zip(v[i], v[j]))), j) for j in range(200) if j != i)[:7]
         assert [(-int(x), int(y)) for x, y in zip(s[q == i], c[q == i])] == best
+
+
+def test_half_of_the_candidates_go_by_half_of_the_blocks():
+    rng = np.random.default_rng(3)
+    scale = 0.9 ** rng.permutation(64)  # mass in a few dimensions, in no order
+    v = np.floor(64 * rng.normal(size=(4000, 64)) * scale).astype(np.int64)
+    alive: list[int] = []
+    q, c, s = search(v[:50], np.arange(50), v, np.arange(4000), 20, alive_after=alive)
+    assert alive[len(alive) // 2 - 1] < 0.5 * 50 * 4000 and alive == sorted(alive, reverse=True)
+    for i in range(50):
+        score = v @ v[i]
+        score[i] = score.min() - 1
+        assert s[q == i].tolist() == np.sort(score)[::-1][:20].tolist()
