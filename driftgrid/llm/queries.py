@@ -144,6 +144,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h, body, min(page_id) OVER (PARTITION BY body) AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * k) // 4 + 1, 2))::INTEGER >> (3 - (5 * k) % 4)) & 31) + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM d
+"""
+
+
 def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -196,6 +206,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(0, len(w) - 19)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda k: array_to_string(w[k:k + 19], ' '))) AS g FROM t WHERE len(w) >= 20
+), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, range(0, 20) x(j)),
+each AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM t),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS text, count(*) AS n FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard,
@@ -212,4 +234,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL, "op7_jaccard": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_repeats": OP10_SQL}

@@ -1,16 +1,18 @@
-"""Removal of repeated passages by hashes of word windows, in place of relative Lempel-Ziv parsing.
+"""Removal of repeated passages by relative Lempel-Ziv parsing, with word windows as seeds.
 
 The reference is all earlier text (a smaller document id, or the same document
-further up), indexed in blocks: every window of ``window`` words is a seed, and
-a block of the index holds the seeds whose hashes fall into its range. A factor
-is a maximal run of words whose windows all occur earlier, perhaps in different
-documents. Nothing is parsed: there is no reference text, no greedy longest
-match and no source position. Every window is looked up, those across the end
-of a factor too, so factors are the repeated passages up to hash collisions.
-
-Seeds travel packed: sorted hashes as differences, with document and position.
-A task sends a repeated hash once, so a passage that a third of all documents
-share arrives once from each task.
+further up). Its index holds every window of ``window`` words with the place
+where it occurs first, in blocks by hash. Looking up a document's windows gives
+the source of each that occurs earlier. The document is then parsed from left
+to right: a factor begins at the first window that has a source, and goes on as
+long as the next window has the next place of the same source; so a factor is
+(start, length, source document, source start), at least ``window`` words long.
+The windows across the end of a factor are looked up like all others, and where
+one has another source, the next factor overlaps the end.
+
+Windows are compared by 64-bit hashes. Seeds travel packed: sorted hashes as
+differences, with document and position. A task sends a repeated hash once, so a
+passage that a third of all documents share arrives once from each task.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm.common import ngrams, words
+from driftgrid.llm.common import cut, ngrams, small_batches, words
 
 FLUSH_WINDOWS = 2_000_000
 BLOCK_WINDOWS = 2_000_000
 BYTES_PER_WORD = 7
-LAST_ID = (1 << 63) - 1
+MOST_TEXTS = (1 << 16) - 1  # numbers of texts that share an id travel in 16 bits
+NULL_ID = 1 << 62  # rows without an id come after all others
 SEED_SCHEMA = "key int, ids binary, tags binary, a binary, b binary, c binary"
 
 
@@ -73,21 +76,20 @@ def unpack_ids(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], np.int64), np.frombuffer(raw, np.uint32, offset=9).astype(np.int64)]))
 
 
-def later(ids: np.ndarray, pos: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Entries of sorted groups (``start`` marks the first of each) that come strictly after their group's first."""
-    first = np.flatnonzero(start)[np.cumsum(start) - 1]
-    return (ids != ids[first]) | (pos != pos[first])
+def firsts(start: np.ndarray) -> np.ndarray:
+    """For each entry of sorted groups (``start`` marks the first of each) where its group begins."""
+    return np.flatnonzero(start)[np.cumsum(start) - 1]
 
 
-def by_document(group: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
-    """Rows (key, ids, tags, counts, positions, nothing) of found windows, one for each group of documents."""
+def by_document(group: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, source: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+    """Rows (key, ids, tags, counts, positions, sources) of found windows, one for each group of documents."""
     order = np.lexsort((pos, tags, ids, group))
-    group, ids, tags, pos = group[order], ids[order], tags[order], pos[order]
+    group, ids, tags, pos, source, at = (x[order] for x in (group, ids, tags, pos, source, at))
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
     for a, b in zip(edges, np.append(edges[1:], len(group))):
         i, t, p = ids[a:b], tags[a:b], pos[a:b]
         doc = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
-        yield -1 - int(group[a]), pack_ids(i[doc]), t[doc].astype(np.uint16).tobytes(), whole(np.diff(np.append(doc, b - a)), np.uint16, np.uint32), whole(p, np.uint16, np.uint32), b""
+        yield -1 - int(group[a]), pack_ids(i[doc]), t[doc].astype(np.uint16).tobytes(), whole(np.diff(np.append(doc, b - a)), np.uint16, np.uint32), whole(p, np.uint16, np.uint32), source[a:b].tobytes() + (at[a:b] - p).astype(np.int32).tobytes()
 
 
 def spread(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -107,10 +109,12 @@ def seeds(batches: Iterator[pa.RecordBatch], window: int, bits: int, groups: int
         take = np.repeat(begin[order] - (np.cumsum(counts[order]) - counts[order]), counts[order]) + np.arange(len(h))
         ids, tags, rank = ids[order], tags[order], np.repeat(np.arange(len(ids), dtype=np.int32), counts[order])
         h, pos = h[take], pos[take]
-        s = np.argsort(h, kind="stable")
+        s = np.lexsort((pos, ids[rank], h)) if tags.any() else np.argsort(h, kind="stable")
         h, pos, rank = h[s], pos[s], rank[s]
-        again = later(ids[rank], pos, np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        rows = list(by_document(spread(ids[rank[again]], groups), ids[rank[again]], tags[rank[again]], pos[again]))
+        first = firsts(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
+        again = (ids[rank] != ids[rank[first]]) | (pos != pos[first])
+        own = rank[again]
+        rows = list(by_document(spread(ids[own], groups), ids[own], tags[own], pos[again], ids[rank[first[again]]], pos[first[again]]))
         h, pos, rank = h[~again], pos[~again], rank[~again]
         block = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(h) else np.zeros(0, int)
@@ -158,43 +162,69 @@ def look_up(key: tuple, frame: pd.DataFrame, groups: int) -> pd.DataFrame:
     s = s[np.lexsort((pos[s], ids[s], h[s]))]
     if not len(s):
         return frame.iloc[:0]
-    again = s[later(ids[s], pos[s], np.append(True, h[s][1:] != h[s][:-1]))]
-    return pd.DataFrame(list(by_document(spread(ids[again], groups), ids[again], tags[again], pos[again])), columns=names)
+    first = s[firsts(np.append(True, h[s][1:] != h[s][:-1]))]
+    hit = (ids[s] != ids[first]) | (pos[s] != pos[first])
+    again, first = s[hit], first[hit]
+    return pd.DataFrame(list(by_document(spread(ids[again], groups), ids[again], tags[again], pos[again], ids[first], pos[first])), columns=names)
 
 
 def factors(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Factors of every document of a group: runs of found windows, in words."""
-    ids, tags, pos = [], [], []
+    """Factors of every document of a group: runs of windows whose sources run on too, in words."""
+    ids, tags, pos, source, shift = [], [], [], [], []
     for r in frame.itertuples(index=False):
         one = unpack_ids(r.ids)
         n = read(r.a, len(one))
-        ids.append(np.repeat(one, n)), tags.append(np.repeat(np.frombuffer(r.tags, np.uint16).astype(np.int64), n)), pos.append(read(r.b, int(n.sum())))
-    ids, tags, pos = map(np.concatenate, (ids, tags, pos))
+        total = int(n.sum())
+        ids.append(np.repeat(one, n)), tags.append(np.repeat(np.frombuffer(r.tags, np.uint16).astype(np.int64), n)), pos.append(read(r.b, total))
+        source.append(np.frombuffer(r.c, np.int64, total)), shift.append(np.frombuffer(r.c, np.int32, total, 8 * total))
+    ids, tags, pos, source, shift = map(np.concatenate, (ids, tags, pos, source, shift))
     order = np.lexsort((pos, tags, ids))
-    ids, tags, pos = ids[order], tags[order], pos[order]
+    ids, tags, pos, source, shift = (x[order] for x in (ids, tags, pos, source, shift))
     new = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))
-    head = np.flatnonzero(new | np.append(True, pos[1:] > pos[:-1] + 1))
+    head = np.flatnonzero(new | np.append(True, (pos[1:] > pos[:-1] + 1) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])))
     tail = np.append(head[1:], len(ids)) - 1
     start, length = pos[head].astype(np.int32), (pos[tail] - pos[head] + window).astype(np.int32)
     doc = np.flatnonzero(new[head])
     cuts = doc[1:]
-    return pd.DataFrame({"__id": ids[head[doc]], "__tag": tags[head[doc]].astype(np.int32), "__starts": np.split(start, cuts), "__lengths": np.split(length, cuts)})
+    at = start + shift[head]
+    return pd.DataFrame({"__id": ids[head[doc]], "__tag": tags[head[doc]].astype(np.int32), "__starts": np.split(start, cuts), "__lengths": np.split(length, cuts), "__sources": np.split(source[head], cuts), "__source_starts": np.split(at, cuts)})
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """A document's id (null comes last) and 16 bits of its text's hash, which tell apart rows that share an id."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("__tag")
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with __id and __tag, which tell its distinct (id, text) apart.
+
+    A row without an id gets one from its text's hash, above all others. Texts
+    that share an id are numbered; where ids are unique all numbers are 0 and
+    nothing is joined.
+    """
+    text = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID) + F.shiftrightunsigned(text, 2))
+    rows = df.withColumn("__id", own)
+    known = rows.select("__id", text.alias("__text")).distinct()
+    shared = known.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    if not shared.limit(1).count():
+        return rows.withColumn("__tag", F.lit(0))
+    number = F.row_number().over(Window.partitionBy("__id").orderBy("__text")) - 1
+    numbered = known.join(cut(shared), "__id").withColumn("__tag", number)
+    if numbered.where(F.col("__tag") > MOST_TEXTS).limit(1).count():
+        raise ValueError(f"more than {MOST_TEXTS + 1} texts share an id")
+    return rows.withColumn("__text", text).join(numbered, ["__id", "__text"], "left").drop("__text").withColumn("__tag", F.coalesce("__tag", F.lit(0)))
 
 
 def repeated_factors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """__id, __tag, __starts, __lengths: the factors, in words, of every document that has one. They overlap where their windows do."""
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    """The factors of every document that has one: __id, __tag (see ``keyed``), __starts, __lengths (words), __sources (ids), __source_starts."""
+    return factors_of(keyed(df, id_col, text_col), text_col, window)
+
+
+def factors_of(rows: DataFrame, text_col: str, window: int) -> DataFrame:
+    small_batches(rows.sparkSession)
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / BYTES_PER_WORD / BLOCK_WINDOWS)))))
     groups = 1 << bits
-    packed = df.select(*keyed(df, id_col, text_col), F.col(text_col)).mapInArrow(lambda b: seeds(b, window, bits, groups), SEED_SCHEMA)
-    parts = 2 * groups
-    found = packed.repartition(parts, "key").groupBy("key").applyInPandas(lambda k, f: look_up(k, f, groups), SEED_SCHEMA)
-    return found.repartition(groups, "key").groupBy("key").applyInPandas(lambda f: factors(f, window), "__id long, __tag int, __starts array<int>, __lengths array<int>")
+    packed = rows.select("__id", "__tag", text_col).mapInArrow(lambda b: seeds(b, window, bits, groups), SEED_SCHEMA)
+    found = packed.repartition(2 * groups, "key").groupBy("key").applyInPandas(lambda k, f: look_up(k, f, groups), SEED_SCHEMA)
+    schema = "__id long, __tag int, __starts array<int>, __lengths array<int>, __sources array<long>, __source_starts array<int>"
+    return found.repartition(groups, "key").groupBy("key").applyInPandas(lambda f: factors(f, window), schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -204,13 +234,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier: in a document with a smaller id or further up in the same one. The
     windows are those of the input, not of what is left.
 
-    A null text has no words and becomes empty. Null ids come after all others.
-    Repeated rows are one document; rows that share an id but not the text are
+    A null text has no words and becomes empty. Null ids come after all others,
+    in the order of their texts' hashes; ids are below 2**62. Repeated rows are one document; rows that share an id but not the text are
     not earlier than each other at the same position. Other columns stay;
     columns named n_words or n_removed are replaced. An empty table gives no rows.
     """
-    found = repeated_factors(df, id_col, text_col, window)
-    rows = df.drop("n_words", "n_removed").withColumns({"__k": F.struct(*keyed(df, id_col, text_col))}).withColumns({"__id": F.col("__k.__id"), "__tag": F.col("__k.__tag")}).drop("__k")
+    rows = keyed(df.drop("n_words", "n_removed"), id_col, text_col)
+    found = factors_of(rows, text_col, window).drop("__sources", "__source_starts")
     joined = rows.join(found, ["__id", "__tag"], "left").drop("__id", "__tag")
     kept = [c for c in df.columns if c not in ("n_words", "n_removed")]
 

@@ -65,3 +65,29 @@ def test_packed_ids():
     for ids in ([5], [-(2**63), -3, 0, 0, 2**63 - 1], [1, 2, 2, 2**32 + 1], list(range(100))):
         x = np.array(ids, np.int64)
         assert (unpack_ids(pack_ids(x)) == x).all()
+
+
+def test_factors_copy_earlier_words(spark):
+    rows = [r for r in documents() if r[0] is not None and r[1]]
+    rng = random.Random(3)
+    tail = words(rng, 60)
+    rows += [(100 + i, " ".join(tail[:40] + words(rng, 2) + tail[20:] + tail[:30]), "en", "s", 0, 0.0, 0, 0, 0, "") for i in range(12)]
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], r[1].encode().split())
+    n = 0
+    for r in substrings.repeated_factors(frame(spark, rows).repartition(4)).collect():
+        last = -1
+        for start, length, source, at in zip(r["__starts"], r["__lengths"], r["__sources"], r["__source_starts"]):
+            assert length >= 20 and start > last and (source, at) < (r["__id"], start)
+            assert texts[r["__id"]][start : start + length] == texts[source][at : at + length]
+            last, n = start, n + 1
+    assert n > 30
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(7)
+    passage = " ".join(words(rng, 30))
+    rows = [(1, f"{passage} a", "en", "s", 0, 0.0, 0, 0, 0, ""), (1, f"b {passage}", "en", "s", 0, 0.0, 0, 0, 0, ""), (1, f"b {passage}", "en", "s", 0, 0.0, 0, 0, 0, ""), (2, passage, "en", "s", 0, 0.0, 0, 0, 0, "")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 31, 0), (1, 31, 30), (1, 31, 30), (2, 30, 30)]
