@@ -2,9 +2,11 @@
 
 A validated value is permuted within its own format: a card number becomes
 another number of the same length, brand digit and valid check digit, a date
-another date of 1900-2099. The permutation depends on the key and the kind of
-value, so equal values get equal pseudonyms in all documents and different
-values of one kind never meet.
+another date of 1900-2099, a social security number another valid one. The
+permutation depends on the key and the kind of value, so equal values get equal
+pseudonyms in all documents, however they are spaced, and different values of
+one kind never meet. A permutation may map one value in its whole domain to
+itself.
 """
 
 from __future__ import annotations
@@ -15,14 +17,22 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # What each kind looks like.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}\b(?!\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b"
+DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|(?<![\d.])\d{2}\.\d{2}\.\d{4}\b(?!\.\d)"
 CARD = r"\b\d(?:[ -]?\d){11,17}[ -]?\d\b"
 ANY = "|".join([EMAIL, DATE, SSN, IPV4, PHONE, CARD])
 
+# Country calling codes of one and two digits; all others have three.
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+# Social security numbers have areas 1-665 and 667-899, groups 1-99 and serial numbers 1-9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+
 # Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 DATE_LEFT, DATE_RIGHT = 17, 4297
 
@@ -53,16 +63,41 @@ def permute(key: str, kind: Column, text: Column, base: int) -> Column:
     """A string of digits of ``base`` (10 or 36), at most 20 of them, permuted within its length."""
 
     def halves(n: Column) -> Column:
+        # one digit is split into two smaller ones
+        one = 2 if base == 10 else 6
         a = F.floor(n / 2).cast("int")
         size = lambda k: F.pow(F.lit(float(base)), k).cast("long")
         value = lambda s: F.conv(F.concat(F.lit("0"), s), base, 10).cast("long")
         digits = lambda x, k: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), k, F.lit("0"))
-        done = feistel(key, F.concat(kind, n.cast("string")), value(F.substring(text, F.lit(1), a)), value(F.substring(text, a + 1, n - a)), size(a), size(n - a))
-        return then(done, lambda s: F.concat(digits(s.l, a), digits(s.r, n - a)))
+        single, whole = n == 1, value(text)
+        left = F.when(single, F.floor(whole / (base // one))).otherwise(value(F.substring(text, F.lit(1), a)))
+        right = F.when(single, whole % (base // one)).otherwise(value(F.substring(text, a + 1, n - a)))
+        done = feistel(key, F.concat(kind, n.cast("string")), left, right, F.when(single, one).otherwise(size(a)), F.when(single, base // one).otherwise(size(n - a)))
+        return then(done, lambda s: F.when(single, digits(s.l * (base // one) + s.r, F.lit(1))).otherwise(F.concat(digits(s.l, a), digits(s.r, n - a))))
 
     return then(F.length(text), halves)
 
 
+def permute_long(key: str, kind: Column, text: Column) -> Column:
+    """A string of any length over ALPHABET, permuted within its length: each half in turn is shifted, character by character, by keyed numbers of the other."""
+
+    def shifted(s: Column, i: Column, other: Column, n: Column) -> Column:
+        def one(j: Column) -> Column:
+            number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, n.cast("string"), i.cast("string"), other, j.cast("string")), 256), 1, 8), 16, 10).cast("long")
+            at = (F.instr(F.lit(ALPHABET), F.substring(s, j, F.lit(1))) - 1 + number) % 36
+            return F.substring(F.lit(ALPHABET), (at + 1).cast("int"), F.lit(1))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")
+
+    def step(s: Column, i: Column) -> Column:
+        n = F.length(s.l) + F.length(s.r)
+        return F.when(i % 2 == 0, F.struct(shifted(s.l, i, s.r, n).alias("l"), s.r.alias("r"))).otherwise(F.struct(s.l.alias("l"), shifted(s.r, i, s.l, n).alias("r")))
+
+    a = F.floor(F.length(text) / 2).cast("int")
+    start = F.struct(F.substring(text, F.lit(1), a).alias("l"), F.substring(text, a + 1, F.length(text)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s.l, s.r))
+
+
 def refill(shape: Column, digits: Column, kind: str) -> Column:
     """``shape`` with its characters of class ``kind`` replaced by those of ``digits`` in turn."""
 
@@ -90,10 +125,10 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """The country code stays; the national number is permuted."""
+    """The country code stays; the national number is permuted, with or without it, whatever the separators."""
 
     def known(d: Column) -> Column:
-        code = F.when(m.startswith("+"), F.greatest(F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)), F.lit(1))).otherwise(F.lit(0))
+        code = F.when(m.startswith("+"), F.length(F.regexp_extract(d, CALLING, 0))).otherwise(F.lit(0))
         whole = then(code, lambda c: F.concat(F.substring(d, F.lit(1), c), permute(key, F.lit("phone"), F.substring(d, c + 1, F.length(d) - c), 10)))
         return F.when(F.length(d).between(7, 15), then(whole, lambda w: refill(m, w, "0-9"))).otherwise(m)
 
@@ -101,8 +136,12 @@ def phone(key: str, m: Column) -> Column:
 
 
 def ssn(key: str, m: Column) -> Column:
+    """Valid numbers are numbered by area, and by group and serial number, and permuted among themselves."""
     valid = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    return F.when(valid, then(permute(key, F.lit("ssn"), F.regexp_replace(m, "-", ""), 10), lambda w: refill(m, w, "0-9"))).otherwise(m)
+    area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    done = feistel(key, F.lit("ssn"), area - 1 - (area > 666).cast("int"), (group - 1) * SERIALS + serial - 1, F.lit(AREAS), F.lit(GROUPS * SERIALS))
+    text = lambda s: F.format_string("%03d-%02d-%04d", s.l + 1 + (s.l >= 665).cast("int"), F.floor(s.r / SERIALS) + 1, s.r % SERIALS + 1)
+    return F.when(valid, then(done, text)).otherwise(m)
 
 
 def ipv4(key: str, m: Column) -> Column:
@@ -115,31 +154,26 @@ def ipv4(key: str, m: Column) -> Column:
 
 
 def date(key: str, m: Column) -> Column:
-    iso = m.contains("-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "MM/dd/yyyy"))
+    """Dates of one day have one pseudonym in all three notations."""
+    by = lambda iso, slash, dot: F.when(m.contains("-"), iso).when(m.contains("/"), slash).otherwise(dot)
+    day = by(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "MM/dd/yyyy"), F.try_to_date(m, "dd.MM.yyyy"))
 
     def known(n: Column) -> Column:
         done = feistel(key, F.lit("date"), F.floor(n / DATE_RIGHT), n % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT))
         to = lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s.l * DATE_RIGHT + s.r).cast("int"))
-        text = then(done, lambda s: F.when(iso, F.date_format(to(s), "yyyy-MM-dd")).otherwise(F.date_format(to(s), "MM/dd/yyyy")))
+        text = then(then(done, to), lambda d: by(F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "dd.MM.yyyy")))
         return F.when(n.between(0, DATE_LEFT * DATE_RIGHT - 1), text).otherwise(m)
 
     return then(F.datediff(day, F.lit("1900-01-01").cast("date")), known)
 
 
 def email(key: str, m: Column) -> Column:
-    """Letters and digits of the local part are permuted as one base-36 number; the domain stays.
-
-    Beyond 20 of them, those before the last 20 are replaced by keyed hash digits.
-    """
+    """Letters and digits of the local part are permuted as one string; the domain stays."""
     local = F.lower(F.substring_index(m, "@", 1))
 
     def known(z: Column) -> Column:
-        n = F.length(z)
-        lead = F.greatest(n - 20, F.lit(0))
-        first = F.substring(F.repeat(F.sha2(F.concat(F.lit(key + "|email|"), F.substring(z, F.lit(1), lead)), 256), 1 + F.floor(n / 64).cast("int")), F.lit(1), lead)
-        last = permute(key, F.concat(F.lit("email"), F.substring(z, F.lit(1), lead)), F.substring(z, lead + 1, n - lead), 36)
-        return then(F.concat(first, last), lambda w: F.concat(refill(local, w, "a-z0-9"), F.lit("@"), F.substring_index(m, "@", -1)))
+        whole = F.when(F.length(z) <= 20, permute(key, F.lit("email"), z, 36)).otherwise(permute_long(key, F.lit("email"), z))
+        return then(whole, lambda w: F.concat(refill(local, w, "a-z0-9"), F.lit("@"), F.substring_index(m, "@", -1)))
 
     return then(F.regexp_replace(local, "[^a-z0-9]", ""), known)
 
@@ -157,7 +191,8 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str
 
     Kinds: e-mail, card numbers with a valid check digit, phone numbers of 7 to
     15 digits, social security numbers, IPv4 addresses, and dates of 1900-2099
-    as yyyy-MM-dd or MM/dd/yyyy. A candidate that isn't valid stays as it is.
+    as yyyy-MM-dd, MM/dd/yyyy or dd.MM.yyyy. A candidate that isn't valid stays
+    as it is. Columns named __found or __new are replaced and don't stay.
     Null stays null (count 0) and an empty text empty; other columns and
     repeated rows are untouched. A column named ``count_col`` is replaced.
     """

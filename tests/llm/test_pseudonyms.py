@@ -91,3 +91,33 @@ def test_many_values_in_one_text(spark, n):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     row = pseudonymize(df, "k", count_col="n").first()
     assert len(set(row.text.split())) == n and row.n >= n - n // 20
+
+
+def test_phones_are_linked_however_they_are_written(spark):
+    out = run(spark, ["+441234567890", "+44 1234567890", "+44 1234 567890", "+15559882485", "+1 (555) 988-2485", "555-988-2485"])
+    digits = [re.sub(r"\D", "", x) for x in out]
+    assert digits[0] == digits[1] == digits[2] and digits[0].startswith("44") and digits[0] != "441234567890"
+    assert digits[3] == digits[4] == "1" + digits[5] != "15559882485"
+
+
+def test_security_numbers_stay_valid_and_apart(spark):
+    valid = spark.range(4000).select(F.format_string("%03d-%02d-%04d", F.expr("1 + id % 665"), F.expr("1 + id % 99"), F.expr("1 + id * 2 % 9999")).alias("text"))
+    out = [r.text for r in pseudonymize(valid, "k").collect()]
+    assert len(set(out)) == 4000 and not any(re.match(r"000|666|9|\d{3}-00|.*-0000", x) for x in out)
+
+
+def test_mailboxes_of_any_length_are_permuted(spark):
+    one = run(spark, [f"{c}@x.org" for c in "0123456789abcdefghijklmnopqrstuvwxyz"])
+    assert len(set(one)) == 36 and all(re.fullmatch(r"[0-9a-z]@x\.org", x) for x in one)
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
+    assert len({(alphabet.index(x[0]) - i) % 36 for i, x in enumerate(one)}) > 5  # no constant shift
+    long = [f"{'a' * 25}{i:03d}@x.org" for i in range(300)] + [f"{i:03d}{'a' * 25}@x.org" for i in range(1, 300)]
+    out = run(spark, long)
+    assert len(set(out)) == len(set(long)) and all(re.fullmatch(r"[0-9a-z]{28}@x\.org", x) for x in out)
+    assert run(spark, ["x" * 5000 + "@x.org"])[0].endswith("@x.org")
+
+
+def test_dates_in_three_notations(spark):
+    iso, us, dot, ip = run(spark, ["1990-05-12", "05/12/1990", "12.05.1990", "12.05.19.90"])
+    day = datetime.date.fromisoformat(iso)
+    assert day != datetime.date(1990, 5, 12) and us == day.strftime("%m/%d/%Y") and dot == day.strftime("%d.%m.%Y") and re.fullmatch(r"\d+(\.\d+){3}", ip)
