@@ -1,12 +1,16 @@
 """Document fingerprints by invertible Bloom lookup sketches. DataFrame functions only.
 
-A text is a set of paragraph digests: its lines, long ones in pieces. A digest
+A text is a set of paragraph digests: its lines, long ones in pieces that end
+where their content says so, so that an insertion moves few of them. A digest
 has 40 bits and 24 check bits computed from them. It is added, by xor, to one
 cell of each of three parts of the sketch. The cells of two versions are
 subtracted (xor again); what they share cancels out, and peeling (a cell whose
 check bits are right holds one digest; taking it out frees others) recovers the
-digests that differ. If that stalls, both sketches are made again four times
-larger.
+digests that differ. That is tried with few cells first; if it stalls, both
+sketches are made again four times larger.
+
+A fingerprint has as many cells as its own digests need, so that it can be
+peeled by itself: two fingerprints alone tell how alike their texts are.
 """
 
 from __future__ import annotations
@@ -15,7 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = 256
-SIZES = (8, 32, 128, 512, 2048)
+LEAST_PIECE = 96
+SIZES = (8, 32, 128, 512, 2048, 8192)
+#: So many digests a sketch of each size holds and still peels by itself.
+HOLDS = (8, 32, 192, 768, 4000, 18000)
+QUANTILES = 1000
 ROUNDS = 16
 BLOCK_ROWS = 4000
 BROADCAST_BLOCKS = 100_000
@@ -27,9 +35,15 @@ def check(k: Column) -> Column:
     return F.xxhash64(F.shiftrightunsigned(k, CHECK_BITS), F.lit(1)).bitwiseAND(F.lit(CHECK_MASK))
 
 
-def digests(text: Column, piece: int = PIECE) -> Column:
-    """Distinct digests of the lines of a text; a line is cut every ``piece`` characters."""
-    lines = F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{piece}}}+\n?+|\n"), F.lit(0))
+def digests(text: Column, piece: int = PIECE, least: int = LEAST_PIECE) -> Column:
+    """Distinct digests of the lines of a text.
+
+    A line of more than ``least`` characters is cut after its first sentence
+    end, or before its first word with g to k, beyond so many, at the latest
+    after ``piece`` characters.
+    """
+    short, long = f"[^\n]{{0,{least}}}\n", f"[^\n]{{{least},{piece - 1}}}?(?:[.!?] |(?= [g-k]))"
+    lines = F.regexp_extract_all(text, F.lit(f"{short}|{long}|[^\n]{{1,{piece}}}+\n?+"), F.lit(0))
 
     def digest(x: Column) -> Column:
         bits = F.shiftleft(F.shiftrightunsigned(F.xxhash64(x), CHECK_BITS), CHECK_BITS)
@@ -102,6 +116,14 @@ def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.element_at(F.transform(F.array(d), lambda x: (both - x) / (both + x).cast("double")), 1))
 
 
+def own_cells(items: Column) -> Column:
+    """The cells of the smallest size that holds all items."""
+    out = build(items, SIZES[-1])
+    for size, most in list(zip(SIZES, HOLDS))[-2::-1]:
+        out = F.when(F.size(items) <= most, build(items, size)).otherwise(out)
+    return out
+
+
 def text_of(digest_set: Column, cells: Column) -> Column:
     """Fingerprint as text: how many digests, then every cell in hex."""
     return F.lower(F.concat(F.hex(F.size(digest_set).cast("long")), F.lit(":"), F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
@@ -110,14 +132,25 @@ def text_of(digest_set: Column, cells: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, carried: dict[str, Column]) -> DataFrame:
     """``df`` with columns of the next row by descending id; after the last comes the first.
 
-    Ids are cut into ranges of about BLOCK_ROWS rows; the first rows of each
-    range are also guests at the end of the range before it, so every row finds
-    its successor within its own range and no task sees more than one.
+    Ids are cut at quantiles, and between these evenly, into ranges of about
+    BLOCK_ROWS rows; the first rows of each range are also guests at the end of
+    the range before it, so every row finds its successor within its own range
+    and no task sees more than one. Rows that share an id are in one range.
     """
-    lo, hi, n = df.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, -(-(hi - lo + 2) // max(1, -(-n // BLOCK_ROWS))))
-    rows = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(lo - 1))).withColumn("__block", F.expr(f"({hi} - __id) div {width}"))
+    n = df.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    cuts = min(blocks, QUANTILES)
+    own = F.col(id_col).cast("long")
+    shares = F.array(*[F.lit(k / cuts) for k in range(cuts, -1, -1)])
+    edges = df.agg(F.percentile_approx(own, shares, 10_000), F.min(own)).first()
+    tops = sorted(set(edges[0] or [0]), reverse=True)  # the largest id of each part, from the top
+    lowest = (tops[-1] if edges[1] is None else edges[1]) - 1  # null ids come last
+    each = -(-blocks // len(tops))
+    widths = [max(1, -(-(top - low) // each)) for top, low in zip(tops, [*tops[1:], lowest - 1])]
+    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    rows = df.withColumn("__id", F.coalesce(own, F.lit(lowest))).withColumn("__part", F.greatest(F.size(F.filter(array(tops), lambda x: x >= F.col("__id"))), F.lit(1)))
+    inside = F.floor((F.element_at(array(tops), F.col("__part")) - F.col("__id")) / F.element_at(array(widths), F.col("__part")))
+    rows = rows.withColumn("__block", F.col("__part") * F.lit(each).cast("long") + F.least(F.greatest(inside, F.lit(0)), F.lit(each - 1))).drop("__part")
     blocks = rows.groupBy("__block").agg(F.max("__id").alias("__id"))
     ring = Window.partitionBy(F.lit("ring")).orderBy("__block")
     last = F.max("__block").over(Window.partitionBy(F.lit("ring")))
@@ -139,7 +172,9 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or all of them if it has fewer. Columns: ``id_col``, n_chars, edited_text,
     fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts are empty. Null ids come last; repeated ids keep one order by
+    near_* is the Jaccard likeness of the digest sets; they are recovered from
+    the two fingerprints alone up to 18,000 digests a text (above, sets are
+    compared). Null texts are empty. Null ids come last; repeated ids keep one order by
     their contents. Other columns are ignored. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -151,4 +186,5 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = out.withColumn(f"__{name}", digests(F.col(text)))
     out = out.withColumns({f"__{n}c": build(F.col(f"__{n}"), SIZES[0]) for n in "aex"})
     near = lambda n: likeness(F.col("__a"), F.col(f"__{n}"), F.col("__ac"), F.col(f"__{n}c"))
-    return out.select(id_col, "n_chars", "edited_text", text_of(F.col("__a"), F.col("__ac")).alias("fingerprint"), text_of(F.col("__e"), F.col("__ec")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
+    told = lambda n: text_of(F.col(f"__{n}"), own_cells(F.col(f"__{n}")))
+    return out.select(id_col, "n_chars", "edited_text", told("a").alias("fingerprint"), told("e").alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from driftgrid.llm import fingerprints
 from driftgrid.llm.fingerprints import SIZES, build, digests, differing, fingerprint_edits
-from tests.llm.data import documents, frame
+from tests.llm.data import documents, frame, words
 
 
 def edited(rows):
@@ -53,6 +54,68 @@ def test_likeness(spark):
     assert (out.near_edited[same] == 1.0).all()
 
 
+def peeled(fingerprint: str) -> set[int]:
+    """The digests of a fingerprint, from its text alone. The check of a digest is that it peels."""
+    n, cells = fingerprint.split(":")
+    cells = [int(cells[i : i + 16], 16) for i in range(0, len(cells), 16)]
+    size = len(cells) // 3
+    at = lambda k: [p * size + (k >> 24 + 13 * p & size - 1) for p in range(3)]
+    found: set[int] = set()
+
+    def go() -> bool:
+        if not any(cells):
+            return len(found) == int(n, 16)
+        for c, k in enumerate(cells):
+            if k and c in at(k) and CHECK[k >> 24] == k & 0xFFFFFF:
+                found.add(k)
+                for i in at(k):
+                    cells[i] ^= k
+                return go()
+        return False
+
+    assert go()
+    return found
+
+
+class Checks(dict):
+    """Check bits of digests, as the engine computes them."""
+
+    def __missing__(self, k):  # noqa: ANN001, ANN204
+        return None
+
+
+CHECK = Checks()
+
+
+def test_two_fingerprints_tell_the_likeness(spark):
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(f"line {int(k)} of some words" for k in rng.integers(0, 60, int(n))) for n in rng.integers(0, 90, 40)]
+    df = frame(spark, [(i, t, "en", "s", 0, 0.0, 0, 0, 0, "") for i, t in enumerate(texts)])
+    out = fingerprint_edits(df).toPandas().sort_values("doc_id", ascending=False)
+    sets = df.select(digests(F.col("text")).alias("d")).unionByName(fingerprint_edits(df).select(digests(F.col("edited_text")).alias("d"))).collect()
+    for r in sets:
+        CHECK.update({(k % 2**64) >> 24: k & 0xFFFFFF for k in r.d})
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    own = [peeled(f) for f in out.fingerprint]
+    for i, (near_e, near_x, edited_) in enumerate(zip(out.near_edited, out.near_next, out.edited_fingerprint)):
+        assert abs(near_e - likeness(own[i], peeled(edited_))) < 1e-12
+        assert abs(near_x - likeness(own[i], own[(i + 1) % len(own)])) < 1e-12
+
+
+def test_an_insertion_moves_few_pieces(spark):
+    text = " ".join(words(random.Random(6), 900))
+    df = spark.createDataFrame([(text, "inserted " + text)], "a string, b string")
+    a, b, both = df.select(F.size(digests(F.col("a"))), F.size(digests(F.col("b"))), F.size(F.array_intersect(digests(F.col("a")), digests(F.col("b"))))).first()
+    assert a > 20 and both > 0.6 * max(a, b)
+
+
+def test_one_far_id_leaves_the_ranges_even(spark):
+    df = spark.range(20_000).unionByName(spark.createDataFrame([(2**60,), (None,)], "id long")).withColumn("t", F.col("id").cast("string"))
+    out = fingerprints.with_next(df, "id", {"next": F.col("id")})
+    got = {r.id: r.next for r in out.collect()}
+    assert got[2**60] == 19_999 and got[5] == 4 and got[0] is None and got[None] == 2**60
+
+
 def test_repeats_nulls_and_empty(spark):
     out = fingerprint_edits(frame(spark))
     assert out.count() == len(documents()) and out.where("doc_id IS NULL").count() == 1
