@@ -40,7 +40,9 @@ DECAY = 0.7
 WEIGHTS = DECAY ** np.arange(SPAN)
 POWER = 3
 NEAR = 0.01  # words further from all marking words are worst in no sentence that matters
-SIGNIFICANT = 24.0  # least log-likelihood ratio of a landmark that marks toxic texts
+SLACK = 0.02  # so many more labels, as a share of the toxic ones, may be missed to stay clear of both kinds
+SIGNIFICANT = 48.0  # least log-likelihood ratio of a landmark that marks toxic texts
+STEM = (3, 10)
 RUN = 24  # a longer run of letters is a word in each of its windows
 RUN_WINDOWS = (6, 9, 12)
 DENSE_WINDOWS = (2, 3, 4)  # of scripts that set no spaces
@@ -286,19 +288,36 @@ class Sample:
         return out
 
 
+def stems(w: str) -> list[str]:
+    """A word and its beginnings of three characters or more: inflected words have one in common."""
+    return [w, *(w[:k] for k in range(STEM[0], min(len(w), STEM[1] + 1)))]
+
+
 def choose_landmarks(sample: Sample, toxic: np.ndarray, marks: int, others: int) -> tuple[list[str], list[str]]:
-    """Words whose presence tells toxic documents from others, the strongest first, and words drawn by hash."""
+    """Words and stems whose presence tells toxic documents from others, the strongest first and none the beginning of another, and words drawn by hash."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    doc = np.repeat(sample.owner, np.diff(sample.first))
-    pair = np.unique(doc * len(sample.words) + sample.word)
-    y = toxic[pair // max(1, len(sample.words))]
-    c, d = (np.bincount(pair[y == k] % max(1, len(sample.words)), minlength=len(sample.words)) for k in (1, 0))
-    share = n1 / (n1 + n0)
-    some = np.flatnonzero((c >= 3) & (c / n1 > 4 * d / n0))
-    c, d = c[some].astype(float), d[some].astype(float)
-    ratio = 2 * (c * np.log(c / ((c + d) * share)) + np.where(d > 0, d * np.log(np.maximum(d, 1) / ((c + d) * (1 - share))), 0.0))
-    strength = {sample.words[i]: r for i, r in zip(some, ratio) if r > SIGNIFICANT}
-    chosen = sorted(strength, key=lambda w: (-strength[w], w))[:marks]
+    size = max(1, len(sample.words))
+    pair = np.unique(np.repeat(sample.owner, np.diff(sample.first)) * size + sample.word)
+    edges = np.searchsorted(pair, np.arange(len(toxic) + 1) * size)
+    held = lambda d: {x for i in pair[edges[d] : edges[d + 1]] % size for x in stems(sample.words[i])}
+    seen1: Counter = Counter()
+    for d in np.flatnonzero(toxic):
+        seen1.update(held(d))
+    some = {w for w, c in seen1.items() if c >= 3}
+    seen0: Counter = Counter()
+    for d in np.flatnonzero(toxic == 0):
+        seen0.update(some & held(d))
+    share, strength = n1 / (n1 + n0), {}
+    for w in some:
+        c, d = seen1[w], seen0[w]
+        if c / n1 > 4 * d / n0:
+            ratio = 2 * (c * np.log(c / ((c + d) * share)) + (d * np.log(d / ((c + d) * (1 - share))) if d else 0.0))
+            if ratio > SIGNIFICANT:
+                strength[w] = ratio
+    chosen: list[str] = []
+    for w in sorted(strength, key=lambda w: (-strength[w], -len(w), w)):
+        if len(chosen) < marks and not any(w.startswith(c) or c.startswith(w) for c in chosen):
+            chosen.append(w)
     rest = sorted(set(sample.words) - set(chosen), key=lambda w: (draw(w), w))
     return chosen, rest[:others]
 
@@ -389,15 +408,14 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, others:
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve that crosses a half where fewest labels are missed; its slope is the likeliest."""
+    """Slope and offset of a logistic curve that crosses a half amid the margins where hardly more labels are missed than need be; its slope is the likeliest."""
     order = np.argsort(margin)
     m, y, weight = margin[order], y[order], weight[order]
     missed = np.concatenate([[0.0], np.cumsum(weight * y)]) + np.concatenate([np.cumsum((weight * (1 - y))[::-1])[::-1], [0.0]])
     missed[1:-1][m[1:] == m[:-1]] = np.inf
-    best = np.flatnonzero(missed <= missed.min() + 1e-9)
-    at = best[len(best) // 2]
-    edge = np.concatenate([[m[0] - 1.0], (m[1:] + m[:-1]) / 2, [m[-1] + 1.0]])[at]
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
+    best = np.flatnonzero(missed <= missed.min() + SLACK * n1)
+    edge = np.concatenate([[m[0] - 1.0], (m[1:] + m[:-1]) / 2, [m[-1] + 1.0]])[best].take([0, -1]).mean()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a = 1.0
     for _ in range(50):
