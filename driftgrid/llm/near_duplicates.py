@@ -36,8 +36,9 @@ from driftgrid.llm.components import components
 TREES = 24
 DEPTH = 8  # bytes of a signature; it is sorted as one number
 RECALL = 0.999
-TILE = 512
+TILE = 1024
 TILE_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20  # sets below small trie nodes that one group holds
 COLUMNS = 8192
 BINS = 50
 
@@ -158,9 +159,9 @@ def verify(new: np.ndarray, side: np.ndarray, ids: np.ndarray, weights: np.ndarr
             block = np.zeros((m, min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
             block[doc[a:b], code[a:b] - at] = 1
             both += block @ block.T
-        both = both.astype(np.int64)
-    total = size[:, None] + size[None, :]
-    link = new & (both * (p + q) >= p * total)
+            both = both.astype(np.int32)
+    total = (size[:, None] + size[None, :]).astype(np.int32)
+    link = new & (both.astype(np.int64) * (p + q) >= p * total.astype(np.int64))
     i, j = np.nonzero(np.triu(link))
     like = both[i, j] / (total[i, j] - both[i, j])
     step = np.clip(((like - p / q) / (1 - p / q) * BINS).astype(int), 0, BINS - 1) if p < q else np.zeros(len(i), int)
@@ -198,7 +199,7 @@ def links_at(forest: DataFrame, sets: DataFrame, depth: int, exact: Fraction, ti
     """Verified links of the pairs that share ``depth`` bytes and no more: rows (a, links), (a, b) of a spanning forest, and (bin, n)."""
     small_batches(forest.sparkSession)
     nodes = trie_nodes(forest, depth, tile)
-    tasks = max(1, (nodes.agg(F.sum("bytes")).first()[0] or 0) // TILE_BYTES)
+    tasks = max(1, (nodes.agg(F.sum("bytes")).first()[0] or 0) // BATCH_BYTES)
     held = cut(forest.withColumn("prefix", prefix(depth)).join(nodes.drop("bytes"), ["tree", "prefix"]).select("node", "tree", "prefix", "tiles"))
     kept = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("kept"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
