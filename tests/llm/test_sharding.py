@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from driftgrid.llm.queries import op1_shard
 from driftgrid.llm.sharding import cell_sizes, hypergeometric, matrix_row, shuffle_into_shards
-from tests.llm.data import frame
+from tests.llm.data import documents, frame
 
 
 def test_matrix_has_exact_margins():
@@ -42,9 +46,29 @@ def test_more_shards_than_rows_and_empty(spark):
         shuffle_into_shards(frame(spark, []), 0)
 
 
-def test_uniform(spark):
-    hits = np.zeros(4)
-    df = spark.range(40).repartition(4).cache()
-    for seed in range(12):
-        hits += shuffle_into_shards(df.where("true"), 4, seed=seed).where("id < 10").groupBy("shard").count().toPandas().set_index("shard")["count"].reindex(range(4), fill_value=0).to_numpy()
-    assert hits.sum() == 120 and (np.abs(hits - 30) < 20).all()
+def test_uniform_over_partitions_shards_and_slots(spark):
+    df = spark.range(40, numPartitions=4).withColumn("part", F.spark_partition_id()).cache()
+    pairs, slots, seeds = np.zeros((4, 4)), np.zeros((4, 10)), 40
+    for seed in range(seeds):
+        for r in shuffle_into_shards(df, 4, seed=seed).collect():
+            pairs[r.part, r.shard] += 1
+            slots[r.part, r.slot] += 1
+    chi2 = lambda x, e: ((x - e) ** 2 / e).sum()
+    # 99.9 % quantiles for 9 and 27 degrees of freedom; both margins are fixed
+    assert (pairs.sum(0) == 10 * seeds).all() and chi2(pairs, 2.5 * seeds) < 27.9
+    assert (slots.sum(0) == 4 * seeds).all() and chi2(slots, seeds) < 55.5
+    assert chi2(pairs, 2.5 * seeds) > 0.5 and chi2(slots, seeds) > 5  # nor too even
+
+
+def test_query_by_brute_force(spark, tmp_path):
+    rows = documents()
+    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_shard(spark, str(tmp_path)).toPandas()
+    want = sorted((str(r[0]), len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    ids = [str(None) if np.isnan(x) else str(int(x)) for x in got.doc_id]
+    assert sorted(zip(ids, got["size"], got.text_crc32)) == want
+    assert set(got.law) == {"rows"} and got.grown_shard.isna().all() and got.shard.between(0, 39).all()
+    counts = got.groupby("shard").size().reindex(range(40), fill_value=0)
+    assert counts.max() - counts.min() <= 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
