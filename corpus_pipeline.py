@@ -1,13 +1,16 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. Rows with null texts or ids pass the filters.
+return the columns of documents, and other columns are left out. Rows with null
+texts or ids pass the filters, repeated rows share their fate, texts are read
+whole, and an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +61,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over documents.
+
+    What a stage returns is written to the shared folder and read again; then
+    what the stage before it has written is removed.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = f"{folder}/{k}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                fs, place = FileSystem.from_uri(before)
+                fs.delete_dir(place)
+            before = path
     return docs
