@@ -86,8 +86,8 @@ def phase_label(c: Column, cut: float, inclusive: bool = True) -> Column:
 
 
 def two_phase_label(c: Column) -> Column:
-    """+1 above zero, else -1."""
-    return F.when(c > 0, 1).otherwise(-1).cast("tinyint")
+    """+1 above zero, else -1; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.when(c > 0, 1).otherwise(-1)).cast("tinyint")
 
 
 def binarize(score: Column, threshold: Column | float) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -17,6 +19,8 @@ from driftgrid.operators.fields import percentile_scaled
 from driftgrid.operators.splits import class_weights
 
 
+TRAINED_AT_ONCE = 4
+
 # Fixed value: 97.5 % quantile of the normal law.
 Z95 = 1.959963984540054
 
@@ -35,16 +39,21 @@ def scored(model, samples: DataFrame, *, keys: list[str], label: str = "label",
 
 
 def train_all(samples: DataFrame, splits: list[int], *, part: str = "part", split: str = "split", keys: list[str], existing: dict | None = None, **settings: float) -> tuple[dict, DataFrame]:
-    """A model per split, trained on its training part, and the scores of every part. Models in ``existing`` are reused."""
+    """A model per split, trained on its training part, and the scores of every part. Models in ``existing`` are reused.
+
+    The samples are cached once and the splits' jobs run side by side.
+    """
     models = dict(existing or {})
-    scores = None
-    for k in splits:
-        own = samples.where(F.col(split) == k)
-        if k not in models:
-            models[k] = train_classifier(own.where(F.col(part) == "tr"), **settings)
-        some = scored(models[k], own, keys=[split, part, *keys])
-        scores = some if scores is None else scores.unionByName(some)
-    return models, scores
+    held = samples.cache()
+    try:
+        missing = [k for k in splits if k not in models]
+        with ThreadPoolExecutor(TRAINED_AT_ONCE) as pool:
+            trained = pool.map(lambda k: train_classifier(held.where((F.col(split) == k) & (F.col(part) == "tr")), **settings), missing)
+            models |= dict(zip(missing, trained))
+    finally:
+        held.unpersist()
+    told = [scored(models[k], samples.where(F.col(split) == k), keys=[split, part, *keys]) for k in splits]
+    return models, reduce(DataFrame.unionByName, told)
 
 
 def linear_relevance(model, samples: DataFrame, *, keys: list[str], features: str = "features") -> DataFrame:  # noqa: ANN001
@@ -102,7 +111,10 @@ def map_features(one_map: DataFrame, grid: DataFrame, *, coordinates: bool = Fal
 def clusters(features: DataFrame, k: int, *, cell: str = "cell_id", seeds: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, float]:
     """cell, cluster of the best of several k-means runs, and its cost."""
     held = features.select(cell, array_to_vector("features").alias("features")).cache()
-    fits = [KMeans(k=k, seed=s, maxIter=50).fit(held) for s in seeds]
+    try:
+        fits = [KMeans(k=k, seed=s, maxIter=50).fit(held) for s in seeds]
+    finally:
+        held.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(held).select(cell, F.col("prediction").alias("cluster")), best.summary.trainingCost
 

@@ -6,6 +6,8 @@ and joined to any number of time steps.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,27 @@ def regridded(cells: DataFrame, weights: DataFrame, *, keys: list[str], value: s
     return out.select(*keys, F.col("target_id").alias("cell_id"), total.alias("value"))
 
 
+def regridded_valid(cells: DataFrame, target: DataFrame, source: DataFrame, *, keys: list[str], value: str = "value", k: int = 1, **settings: float) -> DataFrame:
+    """keys, cell_id, value on the target grid from each step's present cells only: where a cell is missing, the next present one steps in.
+
+    Steps with the same cells present share one weight table, known by a hash of
+    their ids. There are as many tables as different masks, usually few.
+    """
+    held = cells.where(F.col(value).isNotNull())
+    masks = held.groupBy(*keys).agg(F.bit_xor(F.xxhash64("cell_id")).alias("__mask"), F.count("*").alias("__n"))
+    chosen = masks.groupBy("__mask", "__n").agg(F.min(F.struct(*keys)).alias("__at"))
+    tables = None
+    for r in chosen.collect():  # a row for each mask
+        own = held.where(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(r["__at"][c])) for c in keys))).select("cell_id")
+        w = nearest_weights(target, source.join(own, "cell_id", "left_semi"), k=k, **settings).withColumns({"__mask": F.lit(r["__mask"]), "__n": F.lit(r["__n"]).cast("long")})
+        tables = w if tables is None else tables.unionByName(w)
+    if tables is None:
+        return held.select(*keys, "cell_id", F.col(value).cast("double").alias("value"))
+    w = tables.select("__mask", "__n", F.col("source_id").alias("cell_id"), "target_id", F.col("weight").alias("__w"))
+    out = held.join(masks, keys).join(w, ["__mask", "__n", "cell_id"]).groupBy(*keys, F.col("target_id").alias("__to")).agg(F.sum(F.col(value).cast("double") * F.col("__w")).alias("value"))
+    return out.select(*keys, F.col("__to").alias("cell_id"), "value")
+
+
 def overlap_join(a: DataFrame, b: DataFrame, *, t: str = "t", names: tuple[str, str] = ("a", "b"), value: str = "value") -> DataFrame:
     """Rows of the common time span of two series; raises if there is none."""
     both = a.select(t, F.col(value).alias(names[0])).join(b.select(t, F.col(value).alias(names[1])), t)

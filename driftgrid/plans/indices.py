@@ -64,7 +64,7 @@ def arctic_observed(cells: DataFrame, grid: DataFrame, forced: DataFrame, *, bas
     """Observed index: the corrected forced series (year, month, value) is taken out over the months both have."""
     s = regional_series(cells, grid, boxes, ensemble=False)
     f = forced.withColumn("t", month_index(F.col("year"), F.col("month"))).select("t", "value")
-    f = f.join(s.select("member").distinct())  # observations have one member
+    f = s.select("member", "t").join(f, "t")  # the forced series for each observed member
     r = forced_corrected(s, f, keys=["member"], name="value").join(s.select("member", "t", "year", "month", "region"), ["member", "t"])
     if not r.limit(1).count():
         raise ValueError("the observed and forced series don't overlap")

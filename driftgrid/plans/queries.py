@@ -225,8 +225,7 @@ SELECT j.member, t, round(o - ((f - mf - sf * (t - mx)) + (mo + so * (t - mx))),
 def forced_corrected(spark: SparkSession, sf: str) -> DataFrame:
     """Each member as an observation, corrected by the ensemble mean shifted to its mean and trend."""
     s = base.series(spark, sf)
-    mean = s.groupBy("t").agg(F.avg("value").alias("value"))
-    forced = s.select("member").distinct().join(mean)
+    forced = s.select("member", "t").join(s.groupBy("t").agg(F.avg("value").alias("value")), "t")
     return rounded(T.forced_corrected(s, forced, keys=["member"]), 4)
 
 

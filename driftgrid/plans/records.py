@@ -392,6 +392,18 @@ def common_span(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.select("t", (F.col("orders") / UNIT).alias("orders"), (F.col("shipped") / UNIT).alias("shipped")), 5)
 
 
+@query(f"""WITH {C}, {G}, tg AS (SELECT cell_id, lat * 0.8 + 1.25 AS lat, lon * 0.7 + 3.5 AS lon FROM g), h AS (SELECT member, year, month, cell_id, value FROM c WHERE (cell_id + month % 2) % 5 <> 0),
+d AS (SELECT month % 2 AS odd, t.cell_id AS tid, g.cell_id AS sid, sqrt((t.lat - g.lat) ** 2 + (t.lon - g.lon) ** 2) AS d FROM tg t, g, (SELECT unnest([0, 1]) AS month) WHERE (g.cell_id + month % 2) % 5 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY odd, tid ORDER BY d, sid) AS r FROM d)
+SELECT member, year, month, tid AS cell_id, round(value, 6) AS value FROM h JOIN n ON h.cell_id = n.sid AND h.month % 2 = n.odd WHERE r = 1""")
+def masked_regrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest neighbours among the cells that each step has; two masks, by odd and even months."""
+    c = base.cells(spark, sf).drop("label").withColumn("value", F.when((F.col("cell_id") + F.col("month") % 2) % 5 != 0, F.col("value")))
+    g = base.grid(spark, sf)
+    off = g.select("cell_id", (F.col("lat") * 0.8 + 1.25).alias("lat"), (F.col("lon") * 0.7 + 3.5).alias("lon"))
+    return rounded(X.regridded_valid(c, off, g, keys=["member", "year", "month"], bin_degrees=25.0))
+
+
 # The p value of r is a finite series; its terms are quotients of gamma functions.
 @query(f"""WITH {JOINT}, k AS (SELECT member, corr(a, b) AS r, count(*) AS n FROM j GROUP BY member), q AS (SELECT *, n - 2 AS f, atan(abs(r * sqrt(n - 2) / sqrt(1 - r * r)) / sqrt(n - 2)) AS h FROM k),
 e AS (SELECT member, r, n, f, h, sum(CASE WHEN f % 2 = 1 THEN cos(h) ** (2 * i) * exp(lgamma(i + 1) + lgamma(1.5) - lgamma(i + 1.5)) ELSE cos(h) ** (2 * i) * exp(lgamma(i + 0.5) - lgamma(0.5) - lgamma(i + 1)) END) AS s FROM q, range(0, 200) x(i) WHERE i <= CASE WHEN f % 2 = 1 THEN (f - 3) / 2 ELSE (f - 2) / 2 END GROUP BY ALL)
