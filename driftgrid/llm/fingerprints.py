@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 256
-LEAST_PIECE = 96
+PIECE = 400
+LEAST_PIECE = 160
 SIZES = (8, 32, 128, 512, 2048, 8192)
 #: So many digests a sketch of each size holds and still peels by itself.
 HOLDS = (8, 32, 192, 768, 4000, 18000)
