@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from driftgrid.functions import columns as K
@@ -336,3 +337,52 @@ def test_sources(spark, tmp_path, grid):
     sheets = {k: spark.createDataFrame([(1979, 1.0), (1980, float("nan"))], "year int, extent double") for k in (1, 2)}
     monthly = tables.read_monthly(sheets, "extent", {1: (1979, 1980), 2: (1980, 1980)})
     assert monthly.count() == 3 and monthly.where("value IS NULL").count() == 2
+
+
+def test_overlapping_chunks_and_absent_tables(spark, tmp_path):
+    raw = f"{tmp_path}/raw"
+    rows = [("ens.hist.0001.001.sst.1", 2000, 1, 0, 1.5), ("ens.hist.0001.001.sst.2", 2001, 1, 0, float("nan")), ("ens.hist.0002.001.sst.1", 2000, 1, 0, 2.5)]
+    df = spark.createDataFrame(rows, "chunk string, year int, month int, cell_id int, value double")
+    df.write.partitionBy("chunk").parquet(raw)
+    got = tables.process_variable(spark, raw, f"{tmp_path}/out", keys=["year", "month", "cell_id"])
+    assert sorted((r.member_code, r.year, r.value) for r in got.collect()) == [("0001.001", 2000, 1.5), ("0001.001", 2001, None), ("0002.001", 2000, 2.5)]
+    df.where("year = 2000").withColumn("chunk", F.lit("ens.hist.0001.001.sst.9")).write.mode("append").partitionBy("chunk").parquet(raw)
+    with pytest.raises(ValueError):
+        tables.process_variable(spark, raw, f"{tmp_path}/out2", keys=["year", "month", "cell_id"])
+    assert tables.read_where_present(spark, "series", [f"{tmp_path}/nothing"]).count() == 0
+
+
+def test_typed_tables_refuse_missing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 2.0)], "member int, value double").write.parquet(f"{tmp_path}/short")
+    with pytest.raises(AnalysisException):
+        tables.read_typed(spark, "series", f"{tmp_path}/short").collect()
+
+
+def test_next_present_cell_steps_in(spark):
+    source = spark.createDataFrame([(i, 0.0, 10.0 * i) for i in range(5)], "cell_id int, lat double, lon double")
+    target = spark.createDataFrame([(0, 1.0, 21.0)], "cell_id int, lat double, lon double")
+    cells = spark.createDataFrame([(t, i, None if (t, i) in {(1, 2), (2, 2), (2, 3)} else float(10 * t + i)) for t in range(3) for i in range(5)], "t int, cell_id int, value double")
+    out = X.regridded_valid(cells, target, source, keys=["t"])
+    assert sorted((r.t, r.value) for r in out.collect()) == [(0, 2.0), (1, 13.0), (2, 21.0)]
+    assert X.regridded_valid(cells.where("t > 9"), target, source, keys=["t"]).count() == 0
+
+
+def test_curve_over_ranges_is_the_plain_one(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([rng.random(), round(rng.random(), 1), 0.0, 1.0]), int(rng.random() < 0.3)) for k in (0, 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "split int, y_prob double, y_true int")
+    one, many = ({(r.split, r.threshold): (r.tp, r.predicted, r.positives, r.total) for r in R.pr_curve(df, keys=["split"], ranges=n).collect()} for n in (1, 1024))
+    assert one == many
+    for (k, th), (tp, predicted, _, _) in many.items():
+        assert tp == sum(y for s, p, y in rows if s == k and p >= th) and predicted == sum(p >= th for s, p, _ in rows if s == k)
+
+
+def test_student_p(spark):
+    known = [(2.228138851, 10, 0.05), (12.70620474, 1, 0.05), (3.182446305, 3, 0.05), (2.0, 4, 0.116117), (0.0, 7, 1.0), (1.96, 1001, 0.050274)]
+    df = spark.createDataFrame([(t, f) for t, f, _ in known], "t double, f int").select(Q.student_p(F.col("t"), F.col("f")).alias("p"))
+    assert all(abs(r.p - p) < 2e-5 for r, (_, _, p) in zip(df.collect(), known))
+
+
+def test_two_phase_label_keeps_missing(spark):
+    df = spark.createDataFrame([(1.0,), (0.0,), (None,)], "v double").select(K.two_phase_label(F.col("v")).alias("l"))
+    assert [r.l for r in df.collect()] == [1, -1, None]
