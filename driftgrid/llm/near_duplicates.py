@@ -122,8 +122,9 @@ def fresh(sig: np.ndarray, kept: np.ndarray, tree: int, depth: int) -> np.ndarra
     new = np.ones((m, m), bool)
     at = sig.view(np.uint64) >> np.uint64(8 * (DEPTH - depth))
     for t in range(tree):
-        if kept[0] >> t & 1 or (kept >> t & 1).any():
-            new &= ~((at[:, t, None] == at[None, :, t]) & (kept >> t & 1).astype(bool)[:, None])
+        held = (kept >> t & 1).astype(bool)
+        if held.any():
+            new &= ~((at[:, t, None] == at[None, :, t]) & held[:, None])
     if depth < DEPTH:
         at = sig.view(np.uint64) >> np.uint64(8 * (DEPTH - depth - 1))
         for t in range(trees):
