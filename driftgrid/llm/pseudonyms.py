@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # What each kind looks like.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A mailbox starts where its run of characters does, so a run is read once, however long; a domain has at most
+# 126 labels of at most 63 characters, as names have, which bounds the depth of the matcher.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}\b(?!\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -78,34 +80,46 @@ def permute(key: str, kind: Column, text: Column, base: int) -> Column:
     return then(F.length(text), halves)
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def permute_long(key: str, kind: Column, text: Column) -> Column:
-    """A string of any length over ALPHABET, permuted within its length: each half in turn is shifted, character by character, by keyed numbers of the other."""
+    """A string of any length over ALPHABET, permuted within its length: each half in turn is shifted, character by character, by numbers keyed by the other."""
 
     def shifted(s: Column, i: Column, other: Column, n: Column) -> Column:
-        def one(j: Column) -> Column:
-            number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, n.cast("string"), i.cast("string"), other, j.cast("string")), 256), 1, 8), 16, 10).cast("long")
-            at = (F.instr(F.lit(ALPHABET), F.substring(s, j, F.lit(1))) - 1 + number) % 36
+        seed = F.sha2(F.concat_ws("|", F.lit(key), kind, n.cast("string"), i.cast("string"), F.array_join(other, "")), 256)
+
+        def one(h: Column, c: Column, j: Column) -> Column:
+            number = F.conv(F.substring(F.sha2(F.concat_ws("|", h, j.cast("string")), 256), 1, 8), 16, 10).cast("long")
+            at = (F.instr(F.lit(ALPHABET), c) - 1 + number) % 36
             return F.substring(F.lit(ALPHABET), (at + 1).cast("int"), F.lit(1))
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")
+        return then(seed, lambda h: F.transform(s, lambda c, j: one(h, c, j)))
 
     def step(s: Column, i: Column) -> Column:
-        n = F.length(s.l) + F.length(s.r)
+        n = F.size(s.l) + F.size(s.r)
         return F.when(i % 2 == 0, F.struct(shifted(s.l, i, s.r, n).alias("l"), s.r.alias("r"))).otherwise(F.struct(s.l.alias("l"), shifted(s.r, i, s.l, n).alias("r")))
 
-    a = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substring(text, F.lit(1), a).alias("l"), F.substring(text, a + 1, F.length(text)).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s.l, s.r))
+    def halves(c: Column) -> Column:
+        a = F.floor(F.size(c) / 2).cast("int")
+        start = F.struct(F.slice(c, F.lit(1), a).alias("l"), F.slice(c, a + 1, F.size(c)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.array_join(F.concat(s.l, s.r), ""))
+
+    return then(characters(text), halves)
 
 
 def refill(shape: Column, digits: Column, kind: str) -> Column:
-    """``shape`` with its characters of class ``kind`` replaced by those of ``digits`` in turn."""
+    """``shape`` with its characters of class ``kind`` replaced by those of ``digits`` in turn; linear in its length but for one sort."""
+    placed = F.transform(characters(shape), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
 
-    def step(s: Column, c: Column) -> Column:
-        hit = c.rlike(f"[{kind}]")
-        return F.struct(F.concat(s.o, F.when(hit, F.substring(digits, s.i, F.lit(1))).otherwise(c)).alias("o"), (s.i + hit.cast("int")).alias("i"))
+    def merged(all_: Column) -> Column:
+        hits = F.filter(all_, lambda x: x.c.rlike(f"[{kind}]"))
+        new = F.zip_with(hits, characters(digits), lambda h, d: F.struct(h.i.alias("i"), F.coalesce(d, F.lit("")).alias("c")))
+        rest = F.filter(all_, lambda x: ~x.c.rlike(f"[{kind}]"))
+        return F.array_join(F.transform(F.array_sort(F.concat(rest, new)), lambda x: x.c), "")
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")), step, lambda s: s.o)
+    return then(placed, merged)
 
 
 def luhn(digits: Column) -> Column:
@@ -192,7 +206,8 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str
     Kinds: e-mail, card numbers with a valid check digit, phone numbers of 7 to
     15 digits, social security numbers, IPv4 addresses, and dates of 1900-2099
     as yyyy-MM-dd, MM/dd/yyyy or dd.MM.yyyy. A candidate that isn't valid stays
-    as it is. Columns named __found or __new are replaced and don't stay.
+    as it is. A mailbox may have any length; runs of characters that come close
+    to a value, of any length, are read once. Columns named __found or __new are replaced and don't stay.
     Null stays null (count 0) and an empty text empty; other columns and
     repeated rows are untouched. A column named ``count_col`` is replaced.
     """

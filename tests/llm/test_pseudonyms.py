@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm.pseudonyms import DATE_LEFT, DATE_RIGHT, ROUNDS, feistel, permute, pseudonymize
+from driftgrid.llm.pseudonyms import ANY, CALLING, DATE, DATE_LEFT, DATE_RIGHT, IPV4, PHONE, ROUNDS, SSN, feistel, permute, pseudonymize
 from tests.llm.data import frame
 
 
@@ -121,3 +122,112 @@ def test_dates_in_three_notations(spark):
     iso, us, dot, ip = run(spark, ["1990-05-12", "05/12/1990", "12.05.1990", "12.05.19.90"])
     day = datetime.date.fromisoformat(iso)
     assert day != datetime.date(1990, 5, 12) and us == day.strftime("%m/%d/%Y") and dot == day.strftime("%d.%m.%Y") and re.fullmatch(r"\d+(\.\d+){3}", ip)
+
+
+def digits_by_hand(key, kind, text, base=10):
+    """permute() in Python."""
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
+    value = lambda t: int(t or "0", base)
+
+    def written(x, k):
+        out = ""
+        for _ in range(k):
+            x, d = divmod(x, base)
+            out = alphabet[d] + out
+        return out
+
+    n, one = len(text), 2 if base == 10 else 6
+    if n == 1:
+        left, right = feistel_by_hand(key, f"{kind}{n}", *divmod(value(text), base // one), one, base // one)
+        return written(left * (base // one) + right, 1)
+    a = n // 2
+    left, right = feistel_by_hand(key, f"{kind}{n}", value(text[:a]), value(text[a:]), base**a, base ** (n - a))
+    return written(left, a) + written(right, n - a)
+
+
+def long_by_hand(key, text):
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
+    sides, n = [text[: len(text) // 2], text[len(text) // 2 :]], len(text)
+    for i in range(ROUNDS):
+        seed = hashlib.sha256("|".join([key, "email", str(n), str(i), sides[1 - i % 2]]).encode()).hexdigest()
+        sides[i % 2] = "".join(alphabet[(alphabet.index(c) + int(hashlib.sha256(f"{seed}|{j}".encode()).hexdigest()[:8], 16)) % 36] for j, c in enumerate(sides[i % 2]))
+    return "".join(sides)
+
+
+def filled(shape, new, kind):
+    it = iter(new)
+    return re.sub(f"[{kind}]", lambda _: next(it), shape)
+
+
+def by_hand(key, m):
+    day0, d = datetime.date(1900, 1, 1), re.sub(r"\D", "", m)
+    whole = lambda p: re.fullmatch(p, m, re.ASCII)
+    if "@" in m:
+        local, domain = m.split("@")
+        z = re.sub("[^a-z0-9]", "", local.lower())
+        return filled(local.lower(), digits_by_hand(key, "email", z, 36) if len(z) <= 20 else long_by_hand(key, z), "a-z0-9") + "@" + domain
+    if whole(DATE):
+        form = "%Y-%m-%d" if "-" in m else "%m/%d/%Y" if "/" in m else "%d.%m.%Y"
+        try:
+            n = (datetime.datetime.strptime(m, form).date() - day0).days
+        except ValueError:
+            return m
+        if not 0 <= n < DATE_LEFT * DATE_RIGHT:
+            return m
+        a, b = feistel_by_hand(key, "date", *divmod(n, DATE_RIGHT), DATE_LEFT, DATE_RIGHT)
+        return (day0 + datetime.timedelta(a * DATE_RIGHT + b)).strftime(form)
+    if whole(SSN):
+        a, g, s = map(int, m.split("-"))
+        if a in (0, 666) or a >= 900 or not g or not s:
+            return m
+        a, r = feistel_by_hand(key, "ssn", a - 1 - (a > 666), (g - 1) * 9999 + s - 1, 898, 99 * 9999)
+        return f"{a + 1 + (a >= 665):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    if whole(IPV4):
+        o = list(map(int, m.split(".")))
+        if max(o) > 255:
+            return m
+        a, b = feistel_by_hand(key, "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if whole(PHONE):
+        if not 7 <= len(d) <= 15:
+            return m
+        c = len(re.match(CALLING, d).group()) if m[0] == "+" else 0
+        return filled(m, d[:c] + digits_by_hand(key, "phone", d[c:]), "0-9")
+    if not luhn(d) or not int(d):
+        return m
+    body = d[0] + digits_by_hand(key, f"card{d[0]}", d[1:-1])
+    return filled(m, body + next(c for c in "0123456789" if luhn(body + c)), "0-9")
+
+
+def test_whole_texts_by_hand(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda n: "".join(rng.choice("abcXYZ019._+-") for _ in range(n))
+    makers = [
+        lambda: f"{name(rng.randint(1, 90))}@{rng.choice(['mail', 'a-b', 'x1'])}.{rng.choice(['org', 'co.uk', 'c', 'de1', 'com.'])}",
+        lambda: f"{rng.randint(1880, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}",
+        lambda: f"{rng.randint(1, 13):02d}/{rng.randint(1, 31):02d}/{rng.randint(1890, 2110)}",
+        lambda: f"{rng.randint(1, 31):02d}.{rng.randint(1, 13):02d}.{rng.randint(1890, 2110)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: ".".join(str(rng.randint(0, 270)) for _ in range(4)),
+        lambda: f"+{rng.randint(1, 999)} {digits(3)} {digits(rng.randint(2, 4))}-{digits(4)}",
+        lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: next(c for c in iter(lambda: digits(rng.randint(13, 19)), "") if luhn(c)),
+        lambda: " ".join(digits(4) for _ in range(4)),
+        lambda: name(rng.randint(1, 12)), lambda: "word", lambda: "\n",
+    ]
+    texts = [" ".join(rng.choice(makers)() for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    want = [re.sub(ANY, lambda m: by_hand("k", m.group()), t, flags=re.ASCII) for t in texts]
+    assert run(spark, texts) == want and sum(a != b for a, b in zip(texts, want)) > 200
+
+
+@pytest.mark.parametrize("text", ["a@" + "a." * 500_000 + "1", "a@" + "1." * 500_000, "a" * 1_000_000, "a." * 500_000, "._%+-" * 200_000, "a@" * 500_000, "1-" * 500_000, "+1 " * 333_000, "1.1.1." * 170_000, "a@" + "a" * 1_000_000 + ".com", "(1" * 500_000])
+def test_near_misses_of_any_length(spark, text):
+    assert run(spark, [text]) == [text]
+
+
+def test_mailboxes_of_a_million_characters(spark):
+    whole = run(spark, ["say " + "ab.c" * 250_000 + "@mail.example.org, " + "-" * 1000 + "b" * 70 + "@x.org"])[0]
+    first, second = whole.split()[1:]
+    assert len(first) == 1_000_000 + len("@mail.example.org,") and first.endswith("@mail.example.org,")
+    assert second.startswith("-" * 1000) and second.endswith("@x.org") and "bbb" not in second and "abc" not in first[:200]
