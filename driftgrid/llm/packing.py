@@ -49,11 +49,13 @@ class Encoder:
     Where the file's merges come in the order of their ids, tiktoken encodes by
     the same vocabulary, several times faster than tokenizers; else, and for
     texts with very long white space, tokenizers does. A special token's string
-    in a text is ordinary text.
+    in a text becomes that token's id, as tokenizers encode it; with
+    ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self.slow = path, None
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
+        self.path, self.slow, self.special_as_text = path, None, special_as_text
+        self.added: re.Pattern | None = None
         self.fast = self.by_rank(path)
 
     def by_rank(self, path: str) -> tiktoken.Encoding | None:
@@ -68,15 +70,17 @@ class Encoder:
             return None
         of = bytes_of_characters()
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        if special and not self.special_as_text:
+            self.added = re.compile("|".join(map(re.escape, special)))
         ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         return tiktoken.Encoding("vocabulary", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.fast and not LONG_SPACE.search(text):
+        if self.fast and not LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
         if self.slow is None:
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = self.special_as_text
         return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -159,14 +163,15 @@ def take(queue: deque[tuple], size: int) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = True, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ``ids`` or ``ids_crc32``.
 
     start and offset count tokens of the document and of the sequence; ``ids``
     are little-endian uint32 bytes. A document is its token ids, then ``end_id``;
     a null or empty text is that id alone. A sequence has ``capacity`` tokens,
     or, at the end of a worker's share, a smaller power of two, so no padding is
-    needed. A special token's string in a text is encoded as ordinary text.
+    needed. A special token's string in a text becomes that token's id; with
+    ``special_as_text`` it is encoded as ordinary text.
 
     Repeated rows are packed each; a null id stays null; other columns, of any
     name, are ignored; an empty table gives no rows. ``capacity`` must be a
@@ -181,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     ddl = f"doc_id long, start long, length long, doc_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = Encoder(tokenizer_path), array("I", [end_id]).tobytes()
+        enc, tail = Encoder(tokenizer_path, special_as_text), array("I", [end_id]).tobytes()
         filler = Filler(capacity, TaskContext.get().partitionId() << WORKER_BITS)
 
         def pieces() -> Iterator[tuple]:

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftgrid.llm.packing import Encoder, Filler, pack
@@ -14,15 +15,23 @@ from tests.llm.data import documents, frame
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
-ENCODER = Encoder(PATH)
+AS_TEXT = Tokenizer.from_file(PATH)
+AS_TEXT.encode_special_tokens = True
+ENCODER, TEXT_ENCODER = Encoder(PATH), Encoder(PATH, special_as_text=True)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"ab Z9.!'\n\t\r é漢𝒳 _-|<>\u00a0\u3000\x1c", "'s", "'ll", "<|endoftext|>", "  ", " \n", "the", "word"]), max_size=40).map("".join))
 def test_ids_are_those_of_tokenizers(text):
-    got = np.frombuffer(ENCODER.encode(text), np.uint32).tolist()
-    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+    for encoder, tokenizer in ((ENCODER, TOKENIZER), (TEXT_ENCODER, AS_TEXT)):
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens(spark):
+    df = spark.createDataFrame([(1, "hello <|endoftext|> world")], "doc_id long, text string")
+    ids = lambda **kw: np.frombuffer(pack(df, PATH, **kw).orderBy("start").agg(F.array_join(F.collect_list(F.hex("ids")), "").alias("x")).select(F.unhex("x")).first()[0], np.uint32).tolist()
+    assert ids() == [31373, 220, 50256, 995, 1]
+    assert ids(special_as_text=True) == [31373, 1279, 91, 437, 1659, 5239, 91, 29, 995, 1]
 
 
 @pytest.mark.parametrize("text", [" " * 50_000, "x" * 50_000, "word " * 20_000 + "\n" * 3_000, "a" + " " * 5_000 + "b"])
