@@ -154,13 +154,12 @@ def verify(new: np.ndarray, side: np.ndarray, ids: np.ndarray, weights: np.ndarr
         shared = np.bincount(code)[code] > 1
         code, doc = code[shared], doc[shared]
         code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
-        both = np.zeros((m, m), np.float32)
+        both = np.zeros((m, m), np.int32)
         for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
             a, b = np.searchsorted(code, [at, at + COLUMNS])
             block = np.zeros((m, min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
             block[doc[a:b], code[a:b] - at] = 1
-            both += block @ block.T
-            both = both.astype(np.int32)
+            both += (block @ block.T).astype(np.int32)  # a block's counts are exact in float32
     total = (size[:, None] + size[None, :]).astype(np.int32)
     link = new & (both.astype(np.int64) * (p + q) >= p * total.astype(np.int64))
     i, j = np.nonzero(np.triu(link))

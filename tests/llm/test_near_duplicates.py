@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftgrid.llm.components import components
 from driftgrid.llm.near_duplicates import BINS, bucketed, estimated_recall, found_share, keep_one_of_each, near_duplicates, shortest, signatures
@@ -123,3 +124,21 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted(top.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("copies", "length", "tile"), [(3, 12_000, 1024), (5, 20_000, 1024), (5, 20_000, 2)])
+def test_near_copies_of_long_texts(spark, copies, length, tile):
+    rng = random.Random(11)
+    base = words(rng, length)
+    rows = [(i, " ".join([*base[:-1], f"last{i}"]), "en", "s", 0, 0.0, 0, 0, 0, "") for i in range(copies)]
+    rows += [(100 + i, " ".join(words(rng, length)), "en", "s", 0, 0.0, 0, 0, 0, "") for i in range(2)]
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), tile=tile).collect())) == brute(rows)
+
+
+def test_two_thousand_near_copies_of_long_texts(spark):
+    rng = random.Random(12)
+    base = words(rng, 20_000)
+    head, ids = " ".join(base[:-1]), spark.range(2000).select(F.col("id").alias("doc_id"))
+    df = ids.select("doc_id", F.concat(F.lit(head + " last"), F.col("doc_id").cast("string")).alias("text"))
+    got = near_duplicates(df)
+    assert {tuple(r) for r in got.select("class_id", "n_links").distinct().collect()} == {(0, 1999)} and got.count() == 2000
