@@ -13,6 +13,12 @@ length have missed; prefixes are shortened byte by byte until the share found
 reaches ``recall``. At the latest that is so where a pair at the threshold
 itself is found with that chance.
 
+Near copies are sent as what tells them from one of them: a family is a trie
+node of the full length, its base one member's set, and each member is held as
+the symmetric difference from it. The size of an intersection follows exactly
+from those of two sets and of their differences' intersection, so what is sent
+for a family grows with its edits, not with its texts.
+
 No pair is ever a row. The sets below a trie node are dealt into tiles of
 bounded size, so that one of any size spreads over many tasks, and only counts
 and a spanning forest of the verified links leave a pair of tiles.
@@ -36,7 +42,10 @@ from driftgrid.llm.components import components
 TREES = 24
 DEPTH = 8  # bytes of a signature; it is sorted as one number
 RECALL = 0.999
-TILE = 1024
+TILE = 4096
+SQUARE = 1024  # rows of a block of pairs that is checked at a time
+FAMILY = 8  # members that make near copies a family
+BASES_BYTES = 32 << 20
 TILE_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20  # sets below small trie nodes that one group holds
 COLUMNS = 8192
@@ -132,36 +141,57 @@ def fresh(sig: np.ndarray, kept: np.ndarray, tree: int, depth: int) -> np.ndarra
     return new
 
 
-def verify(new: np.ndarray, side: np.ndarray, ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """(summed weights of each row's links, spanning forest of the links, links by similarity) among the pairs of ``new``. side: 0 for all pairs within, else 1 and 2 for pairs across."""
+def differences(sets: list[np.ndarray], base: list[int | None], bases: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Differences from each row's own base as differences from the base that most rows have; no base is the empty set."""
+    main = max(dict.fromkeys(base), key=base.count)
+    from_main = {}
+    for b in dict.fromkeys(base):
+        if b != main:
+            mine, its = (bases[k] if k is not None else np.zeros(0, np.uint64) for k in (b, main))
+            from_main[b] = np.setxor1d(mine, its, assume_unique=True)
+    return [s if b == main else np.setxor1d(s, from_main[b], assume_unique=True) for s, b in zip(sets, base)]
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two sets, in blocks of COLUMNS grams that occur more than once."""
+    m, size = len(sets), [len(s) for s in sets]
+    x, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
+    order = np.argsort(x)
+    x, doc = x[order], doc[order]
+    code = np.cumsum(np.append(True, x[1:] != x[:-1])[: len(x)]) - 1
+    shared = np.bincount(code, minlength=1)[code] > 1
+    code, doc = code[shared], doc[shared]
+    code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
+    both = np.zeros((m, m), np.int32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [at, at + COLUMNS])
+        block = np.zeros((m, min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
+        block[doc[a:b], code[a:b] - at] = 1
+        both += (block @ block.T).astype(np.int32)  # a block's counts are exact in float32
+    return both
+
+
+def verify(new: np.ndarray, ids: np.ndarray, weights: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(summed weights of each row's links, spanning forest of the links, links by similarity) among the pairs of ``new``.
+
+    ``sets`` are differences from one base, ``size`` the sizes of the sets
+    themselves: what two sets share is half of what their sizes exceed the size
+    of the difference between them, which is that of their two differences.
+    """
     m = len(ids)
-    size = np.array([len(s) for s in sets])
     p, q = similarity.numerator, similarity.denominator
-    new = new & ~np.eye(m, dtype=bool)
-    if side.any():
-        new &= side[:, None] != side[None, :]
-    new &= np.minimum(size[:, None], size[None, :]) * q >= np.maximum(size[:, None], size[None, :]) * p
+    new = new & (np.minimum(size[:, None], size[None, :]) * q >= np.maximum(size[:, None], size[None, :]) * p)
     none = np.zeros(BINS, np.int64)
     if not new.any():
         return np.zeros(m, np.int64), [], none
+    apart = np.array([len(s) for s in sets])
     if m == 2:
-        both = np.full((2, 2), len(np.intersect1d(sets[0], sets[1], assume_unique=True)), np.int64)
+        met = np.full((2, 2), len(np.intersect1d(sets[0], sets[1], assume_unique=True)), np.int64)
     else:
-        x, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
-        order = np.argsort(x)
-        x, doc = x[order], doc[order]
-        code = np.cumsum(np.append(True, x[1:] != x[:-1])) - 1
-        shared = np.bincount(code)[code] > 1
-        code, doc = code[shared], doc[shared]
-        code = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1 if len(code) else code
-        both = np.zeros((m, m), np.int32)
-        for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
-            a, b = np.searchsorted(code, [at, at + COLUMNS])
-            block = np.zeros((m, min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
-            block[doc[a:b], code[a:b] - at] = 1
-            both += (block @ block.T).astype(np.int32)  # a block's counts are exact in float32
-    total = (size[:, None] + size[None, :]).astype(np.int32)
-    link = new & (both.astype(np.int64) * (p + q) >= p * total.astype(np.int64))
+        met = shared_counts(sets).astype(np.int64)
+    total = size[:, None] + size[None, :]
+    both = (total - (apart[:, None] + apart[None, :] - 2 * met)) // 2
+    link = new & (both * (p + q) >= p * total)
     i, j = np.nonzero(np.triu(link))
     like = both[i, j] / (total[i, j] - both[i, j])
     step = np.clip(((like - p / q) / (1 - p / q) * BINS).astype(int), 0, BINS - 1) if p < q else np.zeros(len(i), int)
@@ -179,56 +209,101 @@ def verify(new: np.ndarray, side: np.ndarray, ids: np.ndarray, weights: np.ndarr
     return link @ weights, forest, np.bincount(step, minlength=BINS)
 
 
+def spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that join two parts for the first time."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := top.setdefault(x, x)) != x:
+            top[x] = top[y]
+            x = y
+        return x
+
+    out = []
+    for a, b in edges:
+        if (ra := root(a)) != (rb := root(b)):
+            top[rb] = ra
+            out.append((a, b))
+    return out
+
+
 def prefix(depth: int) -> Column:
     return F.shiftrightunsigned("sig", 8 * (DEPTH - depth))
 
 
 def trie_nodes(forest: DataFrame, depth: int, tile: int) -> DataFrame:
-    """tree, prefix, tiles of the trie nodes at ``depth`` that hold pairs of their own; of those with the same members the first."""
+    """tree, prefix, tiles, bytes of the trie nodes at ``depth`` that hold pairs of their own; of those with the same members the first."""
     deeper = prefix(min(depth + 1, DEPTH))
     own = F.lit(True) if depth == DEPTH else F.col("lo") != F.col("hi")
     members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    each = forest.groupBy("tree", prefix(depth).alias("prefix")).agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min(deeper).alias("lo"), F.max(deeper).alias("hi"), *members).where("n > 1").where(own)
-    first = F.min(F.struct("tree", "prefix")).alias("at")
-    one = each.groupBy("n", "m0", "m1").agg(first, F.first("grams").alias("grams"))
-    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("grams") * 8 / TILE_BYTES)).cast("int")
-    return cut(one.select("at.tree", "at.prefix", tiles.alias("tiles"), (F.col("grams") * 8 * tiles).alias("bytes")))
+    based = forest.groupBy("tree", prefix(depth).alias("prefix"), "base").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("base_bytes").alias("base_bytes"), F.min(deeper).alias("lo"), F.max(deeper).alias("hi"), *members)
+    whole = [F.bit_xor(m).alias(m) for m in ("m0", "m1")]
+    each = based.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("base_bytes").alias("base_bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *whole).where("n > 1").where(own)
+    one = each.groupBy("n", "m0", "m1").agg(F.min(F.struct("tree", "prefix")).alias("at"), F.first("bytes").alias("bytes"), F.first("base_bytes").alias("base_bytes"))
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    return cut(one.select("at.tree", "at.prefix", tiles.alias("tiles"), (F.col("bytes") * tiles + F.col("base_bytes")).alias("bytes")))
+
+
+def squares(own: np.ndarray, within: bool, square: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Rows of a node in blocks: (block, None) for the pairs within one, (block, block) for those between two."""
+    sides = [np.arange(len(own))] if within else [np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())]
+    blocks = [[rows[i : i + square] for i in range(0, len(rows), square)] for rows in sides]
+    if within:
+        for k, a in enumerate(blocks[0]):
+            yield a, None
+            yield from ((a, b) for b in blocks[0][k + 1 :])
+    else:
+        yield from ((a, b) for a in blocks[0] for b in blocks[1])
 
 
-def links_at(forest: DataFrame, sets: DataFrame, depth: int, exact: Fraction, tile: int) -> DataFrame:
+def links_at(forest: DataFrame, sets: DataFrame, bases: DataFrame, depth: int, exact: Fraction, tile: int, square: int = SQUARE) -> DataFrame:
     """Verified links of the pairs that share ``depth`` bytes and no more: rows (a, links), (a, b) of a spanning forest, and (bin, n)."""
     small_batches(forest.sparkSession)
     nodes = trie_nodes(forest, depth, tile)
     tasks = max(1, (nodes.agg(F.sum("bytes")).first()[0] or 0) // BATCH_BYTES)
-    held = cut(forest.withColumn("prefix", prefix(depth)).join(nodes.drop("bytes"), ["tree", "prefix"]).select("node", "tree", "prefix", "tiles"))
+    held = cut(forest.withColumn("prefix", prefix(depth)).join(nodes.drop("bytes"), ["tree", "prefix"]).select("node", "tree", "prefix", "tiles", "base"))
     kept = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("kept"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     placed = held.join(kept, "node").withColumn("own", own).withColumn("other", other)
     bucket = F.xxhash64("tree", "prefix")
-    placed = placed.select("node", "tree", "prefix", "own", "kept", F.when(F.col("tiles") == 1, F.pmod(bucket, F.lit(tasks))).otherwise(bucket).alias("task"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("tiles") > 1).alias("large"))
+    task = ["task", "lo", "hi", "large"]
+    placed = placed.select("node", "tree", "prefix", "own", "kept", "base", F.when(F.col("tiles") == 1, F.pmod(bucket, F.lit(tasks))).otherwise(bucket).alias("task"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("tiles") > 1).alias("large"))
+    needed = placed.where("base IS NOT NULL").select("base", *task).distinct().join(bases, "base").select(*task, F.col("base").alias("node"), F.col("grams"))
+    rows = placed.join(sets.drop("base"), "node").unionByName(needed, allowMissingColumns=True)  # a base has no copies
 
     def check(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["tree", "prefix", "node"]).sort_values(["tree", "prefix", "node"])
-        tree, place = frame.tree.to_numpy(), frame.prefix.to_numpy()
+        own_rows = frame.copies.notna()
+        bases_ = {int(n): np.frombuffer(g, np.uint64) for n, g in zip(frame.node[~own_rows], frame.grams[~own_rows])}
+        frame = frame[own_rows].drop_duplicates(["tree", "prefix", "node"]).sort_values(["tree", "prefix", "node"])
+        tree, place = frame.tree.to_numpy(np.int64), frame.prefix.to_numpy(np.int64)
         edges = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (place[1:] != place[:-1]))).tolist() + [len(tree)]
-        ids, copies, own, kept_, raw, sig = frame.node.to_numpy(), frame.copies.to_numpy(), frame.own.to_numpy(), frame.kept.to_numpy(), frame.grams.tolist(), frame.sigs.tolist()
-        a, b, links, counted = [], [], [], np.zeros(BINS, np.int64)
+        ids, copies, own, kept_, size = (frame[c].to_numpy(np.int64) for c in ("node", "copies", "own", "kept", "size"))
+        raw, sig, base = frame.grams.tolist(), frame.sigs.tolist(), [None if pd.isna(b) else int(b) for b in frame.base]
+        linked, tied, counted = np.zeros(len(ids), np.int64), [], np.zeros(BINS, np.int64)
         for i, j in zip(edges, edges[1:]):
-            if j - i > 1:
-                side = (own[i:j] == key[2]).astype(np.int8) + 1 if key[1] != key[2] else np.zeros(j - i, np.int8)
-                new = fresh(np.array(sig[i:j], np.int64), kept_[i:j], int(tree[i]), depth)
-                n, tied, by = verify(new, side, ids[i:j], copies[i:j], [np.frombuffer(g, np.uint64) for g in raw[i:j]], exact)
-                hit = np.flatnonzero(n)
-                a += ids[i:j][hit].tolist() + [x for x, _ in tied]
-                b += [None] * len(hit) + [y for _, y in tied]
-                links += n[hit].tolist() + [0] * len(tied)
+            if j - i < 2 or (key[1] != key[2] and (own[i:j] == own[i]).all()):
+                continue
+            sets_, sigs, within = None, np.array(sig[i:j], np.int64), key[1] == key[2]
+            for some, others in squares(own[i:j], within, square):
+                rows_ = some if others is None else np.concatenate([some, others])
+                side = np.arange(len(rows_)) < len(some)
+                new = fresh(sigs[rows_], kept_[i:j][rows_], int(tree[i]), depth) & ~np.eye(len(rows_), dtype=bool)
+                new &= True if others is None else side[:, None] != side[None, :]
+                if not new.any():
+                    continue
+                sets_ = sets_ or differences([np.frombuffer(g, np.uint64) for g in raw[i:j]], base[i:j], bases_)
+                n, forest_, by = verify(new, ids[i:j][rows_], copies[i:j][rows_], size[i:j][rows_], [sets_[k] for k in rows_], exact)
+                linked[i + rows_] += n
+                tied += forest_
                 counted += by
-        some = np.flatnonzero(counted)
-        rows = {"a": a + [None] * len(some), "b": b + [None] * len(some), "links": links + counted[some].tolist(), "bin": [None] * len(a) + some.tolist()}
-        return pd.DataFrame({k: pd.array(v, "Int64") for k, v in rows.items()})
+        hit, some, tied = np.flatnonzero(linked), np.flatnonzero(counted), spanning(tied)
+        a, b = ids[hit].tolist() + [x for x, _ in tied], [None] * len(hit) + [y for _, y in tied]
+        links = linked[hit].tolist() + [0] * len(tied)
+        told = {"a": a + [None] * len(some), "b": b + [None] * len(some), "links": links + counted[some].tolist(), "bin": [None] * len(a) + some.tolist()}
+        return pd.DataFrame({k: pd.array(v, "Int64") for k, v in told.items()})
 
-    return cut(placed.join(sets, "node").groupBy("task", "lo", "hi", "large").applyInPandas(check, "a long, b long, links long, bin long"))
+    return cut(rows.groupBy(*task).applyInPandas(check, "a long, b long, links long, bin long"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: float = 0.8, recall: float = RECALL, trees: int = TREES, tile: int = TILE) -> DataFrame:
@@ -269,24 +344,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = forest.groupBy("tree", prefix(floor).alias("prefix")).count().where("count > 1")
     forest = cut(forest.withColumn("prefix", prefix(floor)).join(cut(some.select("tree", "prefix")), ["tree", "prefix"], "left_semi").drop("prefix"))
 
+    held = ["node", "copies", "sigs", "size", "base"]
+
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))
+            bases_ = {k: v.as_py() for k, v in dict(zip(col("base").to_pylist(), col("of_base"))).items()}
             for i, j, w in words(col("text")):
                 x, first = grams(w, n)
                 s1, s2 = set_keys(x, first)
                 same = np.flatnonzero((col("s1").slice(i, j - i).to_numpy() == s1) & (col("s2").slice(i, j - i).to_numpy() == s2))
                 if len(same):
-                    raw = [x[first[k] : first[k + 1]].tobytes() for k in same]
-                    yield pa.RecordBatch.from_arrays([*(col(c).slice(i, j - i).take(pa.array(same)) for c in ("node", "copies", "sigs")), pa.array(raw, pa.binary())], ["node", "copies", "sigs", "grams"])
-
-    member = nodes.join(forest.select("node").distinct(), "node", "left_semi").select("id", "s1", "s2", "node", "copies", "sigs")
-    texts = docs.join(cut(member), "id").select("text", "s1", "s2", "node", "copies", "sigs")
-    sets = cut(texts.mapInArrow(reshingle, "node long, copies long, sigs array<long>, grams binary"))
+                    raw = []
+                    for k, b in zip(same, col("base").slice(i, j - i).take(pa.array(same)).to_pylist()):
+                        one = x[first[k] : first[k + 1]]
+                        raw.append((one if bases_[b] is None else np.setxor1d(one, np.frombuffer(bases_[b], np.uint64), assume_unique=True)).tobytes())
+                    yield pa.RecordBatch.from_arrays([*(col(c).slice(i, j - i).take(pa.array(same)) for c in held), pa.array(raw, pa.binary())], [*held, "grams"])
+
+    def shingled(member: DataFrame) -> DataFrame:
+        return cut(docs.join(member, "id").select("text", "s1", "s2", *held, "of_base").mapInArrow(reshingle, "node long, copies long, sigs array<long>, size int, base long, grams binary"))
+
+    families = forest.groupBy("tree", "sig").agg(F.count("*").alias("n"), F.min("node").alias("base")).where(F.col("n") >= FAMILY)
+    largest = forest.join(cut(families), ["tree", "sig"]).groupBy("node").agg(F.max(F.struct("n", "tree", "sig", "base")).alias("f"))
+    member = nodes.join(forest.select("node").distinct(), "node", "left_semi").join(largest.select("node", "f.base"), "node", "left")
+    member = cut(member.select("id", "s1", "s2", *held))
+    of_base = F.lit(None).cast("binary").alias("of_base")
+    sources = member.join(member.where("base IS NOT NULL").select(F.col("base").alias("node")).distinct(), "node", "left_semi")
+    bases = shingled(sources.withColumns({"base": F.lit(None).cast("long"), "of_base": of_base})).select(F.col("node").alias("base"), "grams").dropDuplicates(["base"])
+    few = (bases.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) <= BASES_BYTES
+    known = bases.withColumnRenamed("grams", "of_base")
+    sets = shingled(member.join(F.broadcast(known) if few else known, "base", "left"))
+    bytes_ = sets.select("node", "base", F.octet_length("grams").cast("long").alias("bytes")).dropDuplicates(["node"]).join(bases.select("base", F.octet_length("grams").cast("long").alias("base_bytes")), "base", "left")
+    forest = cut(forest.select("node", "tree", "sig").join(bytes_, "node").withColumn("base_bytes", F.coalesce("base_bytes", F.lit(0).cast("long"))))
 
     checked, found = [], np.zeros(BINS, np.int64)
     for depth in range(DEPTH, floor - 1, -1):
-        checked.append(links_at(forest, sets, depth, exact, tile))
+        checked.append(links_at(forest, sets, bases, depth, exact, tile))
         for r in checked[-1].where("bin IS NOT NULL").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # BINS rows
             found[r.bin] += r.n
         if estimated_recall(found, float(exact), trees, depth) >= recall:
