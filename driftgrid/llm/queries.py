@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgrid.llm import quality
+from driftgrid.llm.alignment import alignment_scores
+from driftgrid.llm.fill_in_middle import fill_in_middle, restored
 from driftgrid.llm.fingerprints import fingerprint_edits
 from driftgrid.llm.mixing import mix_sources
 from driftgrid.llm.near_duplicates import near_duplicates
@@ -218,6 +221,43 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>' || substr(t, i + 1, j - i)
+                      ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>' || substr(t, i + 1, j - i) END AS output FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN i::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (j - i)::BIGINT END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
+def pieces_path() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), pieces_path(), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard,
@@ -230,8 +270,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": op8_fingerprint,
         "op9_toxicity": op9_toxicity,
         "op10_repeats": op10_repeats,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_align": op12_align,
+        "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_repeats": OP10_SQL}
+    return {"op2_topk": OP2_SQL, "op3_mix": OP3_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_repeats": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
