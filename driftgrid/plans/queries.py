@@ -263,14 +263,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY d, sid) AS r FROM d
 
 @query(f"WITH {NEAR} SELECT member, year, month, tid AS cell_id, round(value, 6) AS value FROM c JOIN n ON c.cell_id = n.sid WHERE r = 1")
 def nearest_regrid(spark: SparkSession, sf: str) -> DataFrame:
-    w = X.nearest_weights(target(spark, sf), base.grid(spark, sf), k=1, bin_degrees=25.0)
+    w = X.nearest_weights(target(spark, sf), base.grid(spark, sf))
     return rounded(X.regridded(base.cells(spark, sf), w, keys=["member", "year", "month"]))
 
 
 @query(f"""WITH {NEAR}, w AS (SELECT tid, sid, (1 / (d + 1e-10)) / sum(1 / (d + 1e-10)) OVER (PARTITION BY tid) AS w FROM n WHERE r <= 4)
 SELECT member, year, month, tid AS cell_id, round(sum(value * w) / sum(w), 6) AS value FROM c JOIN w ON c.cell_id = w.sid GROUP BY member, year, month, tid""")
 def inverse_distance_regrid(spark: SparkSession, sf: str) -> DataFrame:
-    w = X.nearest_weights(target(spark, sf), base.grid(spark, sf), k=4, bin_degrees=25.0)
+    w = X.nearest_weights(target(spark, sf), base.grid(spark, sf), k=4)
     return rounded(X.regridded(base.cells(spark, sf), w, keys=["member", "year", "month"]))
 
 

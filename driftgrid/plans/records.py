@@ -23,7 +23,7 @@ from driftgrid.plans.queries import INDEX_BASE, INDEX_BOXES, JOINT, UNIT, joint,
 from driftgrid.plans.registry import query, rounded
 from driftgrid.plans.trends import observed_series, observed_thresholds, warming_events
 from driftgrid.session import scratch, table
-from driftgrid.sources import catalog, tables
+from driftgrid.sources import catalog, ingest, tables
 
 # Sources and sinks
 
@@ -48,10 +48,52 @@ def variable_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     c = base.cells(spark, sf).drop("label")
     chunk = F.format_string("ens.hist.%04d.001.sst.%d", "member", "year")
     c.withColumn("chunk", chunk).drop("member").write.partitionBy("chunk").parquet(raw)
-    tables.process_variable(spark, raw, out, keys=["year", "month", "cell_id"])
+    ingest.process_variable(spark, raw, out)
     return rounded(tables.read_cells(spark, out, variable="sst", months=[6, 7]).select("member_code", "variable", "year", "month", "cell_id", "value"), 5)
 
 
+@query(f"""WITH {C} SELECT variable, member, year, month, cell_id, round((CASE WHEN variable = 'aice' THEN value * value WHEN month = 6 THEN value + 1 ELSE value END)::FLOAT, 5) AS value
+FROM c, (SELECT unnest(['sst', 'aice']) AS variable)""")
+def rewritten_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two variables written one after the other to one table, then one month of the first again: all else stays."""
+    out = scratch(spark, "cells")
+    c = base.cells(spark, sf).drop("label").withColumn("variable", F.lit("sst"))
+    tables.write_table(c, out, by=["variable", "month"])
+    tables.write_table(c.withColumns({"variable": F.lit("aice"), "value": F.col("value") * F.col("value")}), out, by=["variable", "month"])
+    for _ in range(2):  # again changes nothing
+        tables.write_table(c.where("month = 6").withColumn("value", F.col("value") + 1), out, by=["variable", "month"])
+    return rounded(tables.read_cells(spark, out).select("variable", "member", "year", "month", "cell_id", F.col("value").cast("float").alias("value")), 5)
+
+
+def chunk_table(spark: SparkSession, sf: str, path: str, years: tuple[int, int]) -> None:
+    """The cells of some years as chunks of a member and two years each, added to ``path``."""
+    c = base.cells(spark, sf).drop("label").where(F.col("year").between(*years))
+    first = F.col("year") - F.col("year") % 2
+    c.withColumn("chunk", F.format_string("ens.hist.%04d.001.sst.%d01-%d12", "member", first, first + 1)).drop("member").write.mode("append").partitionBy("chunk").parquet(path)
+
+
+@query(f"WITH {C} SELECT printf('%04d.001', member) AS member_code, year, month, cell_id, round(value::FLOAT, 5) AS value FROM c")
+def resumed_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks taken in by three runs: those of the first years, those of later ones, and none."""
+    raw, out = scratch(spark, "chunks"), scratch(spark, "ingested")
+    chunk_table(spark, sf, raw, (0, 2001))
+    ingest.ingest(spark, raw, out)
+    chunk_table(spark, sf, raw, (2002, 9999))
+    ingest.ingest(spark, raw, out)
+    return rounded(ingest.ingest(spark, raw, out).select("member_code", "year", "month", "cell_id", "value"), 5)
+
+
+@query(f"""WITH {C}, h AS (SELECT printf('ens.hist.%04d.001.sst.%d01-%d12', member, year - year % 2, year - year % 2 + 1) AS file, year * 12 + month - 1 AS t FROM c)
+SELECT file, min(t)::INT AS "first", max(t)::INT AS "last", count(*) AS "rows" FROM h GROUP BY file""")
+def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the manifest says of every chunk that was taken in: its time range and rows."""
+    raw, out = scratch(spark, "chunks"), scratch(spark, "ingested")
+    chunk_table(spark, sf, raw, (0, 9999))
+    files = ingest.chunk_files(spark, raw)
+    ingest.ingest(spark, raw, out, expected=files.select("file").distinct())
+    return ingest.known_chunks(spark, out).select("file", "first", "last", "rows")
+
+
 @query(f"WITH {C} SELECT member, year, month, cell_id, round(value::FLOAT, 5) AS value FROM c WHERE member = 3 AND year BETWEEN 2000 AND 2001")
 def member_cells(spark: SparkSession, sf: str) -> DataFrame:
     """One member's cells of two years from a table partitioned by variable, month and member."""
@@ -401,7 +443,20 @@ def masked_regrid(spark: SparkSession, sf: str) -> DataFrame:
     c = base.cells(spark, sf).drop("label").withColumn("value", F.when((F.col("cell_id") + F.col("month") % 2) % 5 != 0, F.col("value")))
     g = base.grid(spark, sf)
     off = g.select("cell_id", (F.col("lat") * 0.8 + 1.25).alias("lat"), (F.col("lon") * 0.7 + 3.5).alias("lon"))
-    return rounded(X.regridded_valid(c, off, g, keys=["member", "year", "month"], bin_degrees=25.0))
+    return rounded(X.regridded_valid(c, off, g, keys=["member", "year", "month"]))
+
+
+@query(f"""WITH {C}, {G}, tg AS (SELECT cell_id, lat * 0.8 + 1.25 AS lat, lon * 0.7 + 3.5 AS lon FROM g), h AS (SELECT member, year * 12 + month - 1 AS t, cell_id, value FROM c WHERE (cell_id * 7 + (year * 12 + month - 1) * (3 + cell_id % 5)) % 11 > (year + month) % 11),
+m AS (SELECT DISTINCT t, cell_id FROM h), n AS (SELECT m.t, tg.cell_id AS tid, g.cell_id AS sid, sqrt((tg.lat - g.lat) ** 2 + (tg.lon - g.lon) ** 2) AS d, row_number() OVER (PARTITION BY m.t, tg.cell_id ORDER BY sqrt((tg.lat - g.lat) ** 2 + (tg.lon - g.lon) ** 2), g.cell_id) AS r FROM m JOIN g ON m.cell_id = g.cell_id, tg),
+w AS (SELECT t, tid, sid, 1 / (d + 1e-10) / sum(1 / (d + 1e-10)) OVER (PARTITION BY t, tid) AS w FROM n WHERE r <= 4)
+SELECT member, h.t::INT AS t, tid AS cell_id, round(sum(w * value), 6) AS value FROM h JOIN w ON h.t = w.t AND h.cell_id = w.sid GROUP BY ALL""")
+def drifting_mask_regrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverse-distance means of the four nearest cells that each step has; every step has a mask of its own."""
+    c = base.cells(spark, sf).withColumn("t", K.month_index(F.col("year"), F.col("month")))
+    there = (F.col("cell_id") * 7 + F.col("t") * (3 + F.col("cell_id") % 5)) % 11 > (F.col("year") + F.col("month")) % 11
+    g = base.grid(spark, sf)
+    off = g.select("cell_id", (F.col("lat") * 0.8 + 1.25).alias("lat"), (F.col("lon") * 0.7 + 3.5).alias("lon"))
+    return rounded(X.regridded_valid(c.select("member", "t", "cell_id", F.when(there, F.col("value").cast("double")).alias("value")), off, g, keys=["member", "t"], k=4))
 
 
 # The p value of r is a finite series; its terms are quotients of gamma functions.

@@ -33,14 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; in a temporary one where that is unset, which only a local master may leave so."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset, which only a local master may leave so."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    base = folder if urlparse(folder).scheme else f"file://{folder}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder if urlparse(folder).scheme else f"file://{folder}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once: its lineage is cut through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

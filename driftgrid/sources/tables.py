@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import missing, unless_month, wrap_longitude
+from driftgrid.functions.columns import missing, wrap_longitude
 from driftgrid.operators.fields import season_means
 from driftgrid.schemas import SCHEMAS
 
@@ -60,25 +60,6 @@ def seasonal_indices(indices: DataFrame, names: list[str], season: str) -> DataF
     return season_means(indices.where(F.col("index").isin(names)), season, keys=["member", "year", "index"])
 
 
-def read_chunks(spark: SparkSession, path: str, *, pattern: str = "*.parquet", name: str = r"\.([0-9]{4}\.[0-9]{3})\.(\w+)\.") -> DataFrame:
-    """Raw chunks of many files with member_code and variable taken from their names; floats and NULLs at rest."""
-    df = spark.read.option("pathGlobFilter", pattern).parquet(path).withColumn("__file", F.input_file_name())
-    return df.withColumns({"member_code": F.regexp_extract("__file", name, 1), "variable": F.regexp_extract("__file", name, 2)}).withColumn("value", missing(F.col("value")).cast("float")).drop("__file")
-
-
-def process_variable(spark: SparkSession, raw: str, out: str, *, keys: list[str]) -> DataFrame:
-    """Combine the chunks of ``raw`` and write them by variable and month to ``out``; a step that two chunks hold is an error.
-
-    Returns the table as it is read back.
-    """
-    cells = read_chunks(spark, raw)
-    twice = cells.groupBy("member_code", "variable", *keys).agg(F.count("*").alias("n")).where("n > 1")
-    if twice.limit(1).count():
-        raise ValueError("chunks overlap")
-    write_table(cells, out, by=["variable", "month"])
-    return spark.read.parquet(out)
-
-
 def read_observed(spark: SparkSession, path: str, *, epoch: str = "1800-01-01", drop_last: int = 6, fill_below: float = -9e3, years: tuple[int, int] | None = None) -> DataFrame:
     """Observed cells: day offsets to dates, the last steps dropped, fill values missing."""
     df = spark.read.parquet(path)
@@ -111,15 +92,36 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["history"]).json(path)
 
 
-def write_table(df: DataFrame, path: str, *, by: list[str], mode: str = "overwrite", codec: str = "zstd", units: dict[str, str] | None = None, sort: list[str] | None = None) -> None:
-    """Partitioned Parquet; units go to column metadata. Rows are dealt by partition first, so a partition is a few files."""
+def as_at(df: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """``df`` with the value types of the table at ``path``, if there is one; other columns than the table has are an error."""
+    try:
+        held = df.sparkSession.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return df
+    if set(held.names) != set(df.columns):
+        raise ValueError(f"{path} has the columns {sorted(held.names)}, the rows {sorted(df.columns)}")
+    return df.select(*(F.col(f.name) if f.name in by else F.col(f.name).cast(f.dataType).alias(f.name) for f in held))
+
+
+def write_table(df: DataFrame, path: str, *, by: list[str], mode: str = "overwrite", whole: bool = False, codec: str = "zstd", units: dict[str, str] | None = None, sort: list[str] | None = None) -> None:
+    """Partitioned Parquet; units go to column metadata.
+
+    Overwriting replaces the partitions that ``df`` has rows of and leaves the
+    others, so writing the same rows again changes nothing; values take the
+    types that the table has. With ``whole`` the table is replaced. Rows are rebalanced by partition: small ones become one
+    file, and one with very many rows as many as its size asks for.
+    """
+    if by and not whole:
+        df = as_at(df, path, by)
     for name, unit in (units or {}).items():
         df = df.withMetadata(name, {"units": unit})
     if by:
-        df = df.repartition(*by, *(sort[:1] if sort else []))
+        df = df.hint("rebalance", *by)
     if sort:
         df = df.sortWithinPartitions(*by, *sort)
-    df.write.mode(mode).option("compression", codec).partitionBy(*by).parquet(path)
+    df.write.mode(mode).option("compression", codec).option("partitionOverwriteMode", "static" if whole or not by else "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_complete(df: DataFrame, path: str, *, keys: list[str], years: int, by: list[str]) -> None:
@@ -128,8 +130,3 @@ def write_complete(df: DataFrame, path: str, *, keys: list[str], years: int, by:
     if bad:
         raise ValueError(f"a series doesn't have {12 * years} months")
     write_table(df, path, by=by)
-
-
-def masked_months(df: DataFrame, gaps: dict[int, tuple[int, ...]], value: Column | None = None) -> DataFrame:
-    """Observed series with the months before its start and after its end missing."""
-    return df.withColumn("value", unless_month(F.col("value") if value is None else value, F.col("year"), F.col("month"), gaps))

@@ -22,7 +22,7 @@ from driftgrid.operators import statistics as Q
 from driftgrid.operators.lowpass import chebyshev, lowpass, zero_phase
 from driftgrid.plans import indices as I
 from driftgrid.plans.trends import ensemble_events, observed_series, observed_thresholds, warming_events
-from driftgrid.sources import catalog, tables
+from driftgrid.sources import catalog, ingest, tables
 
 
 def yearly(spark, values, member=0, first=2000):
@@ -233,7 +233,7 @@ def test_nearest_equals_brute_force(spark):
     t = [(i, rng.uniform(-90, 90), rng.uniform(0, 360)) for i in range(60)]
     schema = "cell_id int, lat double, lon double"
     for size in (5.0, 40.0):
-        got = X.nearest_weights(spark.createDataFrame(t, schema), spark.createDataFrame(s, schema), k=3, bin_degrees=size, max_rings=64).collect()
+        got = X.nearest_weights(spark.createDataFrame(t, schema), spark.createDataFrame(s, schema), k=3, bin_degrees=size).collect()
         want = {(i, j) for i, a, b in t for j, _, _ in sorted(s, key=lambda r: (math.hypot(r[1] - a, r[2] - b), r[0]))[:3]}
         assert {(r.target_id, r.source_id) for r in got} == want
     with pytest.raises(ValueError):
@@ -344,11 +344,11 @@ def test_overlapping_chunks_and_absent_tables(spark, tmp_path):
     rows = [("ens.hist.0001.001.sst.1", 2000, 1, 0, 1.5), ("ens.hist.0001.001.sst.2", 2001, 1, 0, float("nan")), ("ens.hist.0002.001.sst.1", 2000, 1, 0, 2.5)]
     df = spark.createDataFrame(rows, "chunk string, year int, month int, cell_id int, value double")
     df.write.partitionBy("chunk").parquet(raw)
-    got = tables.process_variable(spark, raw, f"{tmp_path}/out", keys=["year", "month", "cell_id"])
+    got = ingest.process_variable(spark, raw, f"{tmp_path}/out")
     assert sorted((r.member_code, r.year, r.value) for r in got.collect()) == [("0001.001", 2000, 1.5), ("0001.001", 2001, None), ("0002.001", 2000, 2.5)]
     df.where("year = 2000").withColumn("chunk", F.lit("ens.hist.0001.001.sst.9")).write.mode("append").partitionBy("chunk").parquet(raw)
     with pytest.raises(ValueError):
-        tables.process_variable(spark, raw, f"{tmp_path}/out2", keys=["year", "month", "cell_id"])
+        ingest.process_variable(spark, raw, f"{tmp_path}/out2")
     assert tables.read_where_present(spark, "series", [f"{tmp_path}/nothing"]).count() == 0
 
 
@@ -367,6 +367,63 @@ def test_next_present_cell_steps_in(spark):
     assert X.regridded_valid(cells.where("t > 9"), target, source, keys=["t"]).count() == 0
 
 
+def test_any_number_of_masks_is_one_plan(spark):
+    rng = random.Random(3)
+    source = [(i, rng.uniform(-60, 60), rng.uniform(0, 300)) for i in range(150)]
+    target = [(i, rng.uniform(-70, 70), rng.uniform(-20, 320)) for i in range(40)]
+    at = lambda rows: spark.createDataFrame(rows, "cell_id int, lat double, lon double")
+    share = [rng.choice([0.01, 0.05, 0.5, 0.9, 1.0]) for _ in range(1000)]
+    rows = [(t, i, rng.uniform(-1, 1) if rng.random() < share[t] else None) for t in range(1000) for i in range(150)]
+    cells = spark.createDataFrame(rows, "t int, cell_id int, value double").repartition(8).cache()
+
+    def brute(k):
+        out = {}
+        held = {}
+        for t, i, v in rows:
+            if v is not None:
+                held.setdefault(t, []).append((i, v))
+        xy = np.array([(b, c) for _, b, c in source])
+        for t, some in held.items():
+            ids, v = np.array([i for i, _ in some]), np.array([x for _, x in some])
+            for j, lat, lon in target:
+                d = np.hypot(xy[ids, 0] - lat, xy[ids, 1] - lon)
+                near = np.lexsort((ids, d))[:k]
+                w = 1 / (d[near] + 1e-10)
+                out[t, j] = (w * v[near]).sum() / w.sum()
+        return out
+
+    plans = []
+    for k in (1, 4):
+        got = X.regridded_valid(cells, at(target), at(source), keys=["t"], k=k)
+        want = brute(k)
+        have = {(r.t, r.cell_id): r["value"] for r in got.collect()}
+        assert have.keys() == want.keys() and all(abs(have[x] - want[x]) < 1e-9 for x in want)
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert all(p.count("Join Inner") == 2 and p.count("LogicalRDD") <= 6 for p in plans)  # rounds, whatever the number of masks
+
+
+def test_default_bins_find_the_nearest(spark):
+    rng = random.Random(9)
+    for s, t in [(300, 50), (5, 40), (1, 3)]:
+        source = [(i, rng.gauss(0, 20), rng.choice([0.0, rng.uniform(0, 360)])) for i in range(s)]
+        target = [(i, rng.uniform(-90, 90), rng.uniform(-60, 400)) for i in range(t)]
+        frames = [spark.createDataFrame(x, "cell_id int, lat double, lon double") for x in (target, source)]
+        got = {}
+        for r in X.nearest_weights(*frames, k=3).collect():
+            got.setdefault(r.target_id, []).append((r["rank"], r.source_id))
+        for i, lat, lon in target:
+            want = [j for _, j in sorted((math.hypot(b - lat, c - lon), j) for j, b, c in source)[:3]]
+            assert [j for _, j in sorted(got[i])] == want
+
+
+def test_irregular_source_is_refused(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.random()) for i in range(50)]
+    df = spark.createDataFrame(rows, "cell_id int, lat double, lon double")
+    with pytest.raises(ValueError):
+        X.bilinear_weights(df, df)
+
+
 def test_curve_over_ranges_is_the_plain_one(spark):
     rng = random.Random(4)
     rows = [(k, rng.choice([rng.random(), round(rng.random(), 1), 0.0, 1.0]), int(rng.random() < 0.3)) for k in (0, 1) for _ in range(300)]
