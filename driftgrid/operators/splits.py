@@ -17,8 +17,14 @@ def block_parts(spark: SparkSession, splits: int = 9, blocks: int = 10) -> DataF
     return out.withColumn("part", F.when(F.col("block") == F.col("split"), "te").when(F.col("block") == F.col("split") + 1, "va").otherwise("tr"))
 
 
-def with_splits(df: DataFrame, *, member: str = "member", splits: int = 9, blocks: int = 10, only: list[int] | None = None) -> DataFrame:
-    """Rows of ``df`` once for each split with split and part; ``only`` prunes splits. A member's block is its position modulo ``blocks``."""
+def with_splits(df: DataFrame, *, member: str = "member", splits: int = 9, blocks: int = 10, only: list[int] | None = None, members: int | None = None) -> DataFrame:
+    """Rows of ``df`` once for each split with split and part; ``only`` prunes splits. A member's block is its position modulo ``blocks``.
+
+    With ``members``, a table of other members than so many, numbered from 0, is
+    an error.
+    """
+    if members is not None:
+        check_members(df, members, member=member)
     parts = block_parts(df.sparkSession, splits, blocks)
     if only is not None:
         parts = parts.where(F.col("split").isin(only))
@@ -32,6 +38,23 @@ def check_members(df: DataFrame, members: int, *, member: str = "member") -> Non
         raise ValueError(f"expected members 0..{members - 1}, found {n} from {low} to {high}")
 
 
+def split_statistics(df: DataFrame, *, keys: list[str] = [], member: str = "member", value: str = "value", where: Column | None = None, splits: int = 9, blocks: int = 10, only: list[int] | None = None) -> DataFrame:  # noqa: B006
+    """keys, split, mu, sigma of every split's training part over the rows of ``where``.
+
+    Rows are aggregated once by block; a split's moments are put together from
+    those of its training blocks, so no row is copied.
+    """
+    v = F.col(value).cast("double")
+    of_block = (df if where is None else df.where(where)).groupBy(*keys, F.pmod(F.col(member), F.lit(blocks)).cast("int").alias("block")).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s"))
+    parts = block_parts(df.sparkSession, splits, blocks).where("part = 'tr'").drop("part")
+    parts = parts if only is None else parts.where(F.col("split").isin(only))
+    total = F.sum("n")
+    of_split = of_block.join(F.broadcast(parts), "block")
+    means = of_split.groupBy(*keys, "split").agg(F.try_divide(F.sum(F.col("n") * F.col("m")), total).alias("mu"))
+    held = of_split.join(means, [*keys, "split"])  # at most splits * blocks rows of a key
+    return held.groupBy(*keys, "split", "mu").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("s") + F.pow(F.col("m") - F.col("mu"), F.lit(2)))), total)).alias("sigma"))
+
+
 def training_statistics(df: DataFrame, *, keys: list[str], value: str = "value", where: Column | None = None) -> DataFrame:
     """mu and population sigma per key over the rows of ``where`` (training part, ocean)."""
     v = F.col(value).cast("double")
@@ -68,13 +91,18 @@ def split_samples(cells: DataFrame | None, grid: DataFrame | None, others: DataF
 
     Without cells it is the fast path: ``others`` alone are dealt by the same
     blocks, and no field is read. Statistics are those of each split's training
-    part over the ocean.
+    part over the ocean. A sample's cells are put together once; splits copy
+    whole samples, at the end.
     """
     if cells is None:
         return with_splits(others, splits=splits, blocks=blocks, only=only)
-    held = with_splits(with_grid(cells, grid.select("cell_id", "land")), splits=splits, blocks=blocks, only=only)
-    z = standardized(held, keys=["split"], where=(F.col("part") == "tr") & (F.col("land") == 0)).drop("land")
-    return aligned(feature_vectors(model_input(z, grid), keys=["split", "part", *on]), others, on=on)
+    held = with_grid(cells, grid.select("cell_id", "land"))
+    stats = split_statistics(held, where=F.col("land") == 0, splits=splits, blocks=blocks, only=only)
+    one = F.struct(F.col("cell_id"), F.col("land"), F.col("value").cast("double").alias("value"))
+    each = held.groupBy(*on).agg(F.array_sort(F.collect_list(one)).alias("__x"))  # the cells of one sample
+    dealt = with_splits(aligned(each, others, on=on), splits=splits, blocks=blocks, only=only).join(F.broadcast(stats), "split")  # a row for each split
+    z = lambda x: fill_land(F.try_divide(x.value - F.col("mu"), F.nullif(F.col("sigma"), F.lit(0.0))), x.land).cast("float")
+    return dealt.withColumn("features", F.transform("__x", z)).drop("__x", "mu", "sigma")
 
 
 def class_weights(df: DataFrame, *, keys: list[str], label: str = "label", positive: float = 1.5) -> DataFrame:

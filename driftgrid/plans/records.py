@@ -193,7 +193,7 @@ SELECT split, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sigma F
 def split_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Means and deviations of every split's training part, written and read."""
     out = scratch(spark, "stats")
-    st = B.training_statistics(B.with_splits(base.cells(spark, sf)), keys=["split"], where=F.col("part") == "tr")
+    st = B.split_statistics(base.cells(spark, sf))
     tables.write_table(st, out, by=["split"])
     return rounded(tables.read_typed(spark, "split_stats", out))
 
