@@ -19,9 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from driftgrid.llm.common import CHUNK_BYTES, cut, small_batches
 from driftgrid.llm.packing import Encoder, bytes_of_characters
@@ -31,6 +33,7 @@ PRODUCT_ENTRIES = 1 << 20  # entries of a product made at a time
 BROADCAST_PAIRS = 1_000_000
 ROW_BITS = 33  # a row's number within its task
 LINKS = ("end", "overlap", "group")
+SPACE = "\u2581"
 
 
 @dataclass
@@ -125,15 +128,57 @@ class ByteLevel:
 
 
 class Pieces:
-    """A sentencepiece model that puts a space before each text. U+2581 is a space, a byte piece its byte."""
+    """A sentencepiece model that puts a space before each text. U+2581 is a space, a byte piece its byte.
+
+    Where the model is plain BPE with byte fallback, tiktoken merges by the same
+    scores, twice as fast: bytes of a known character come first, then pieces.
+    Texts that hold U+2581 itself go to sentencepiece.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        name = self.model.id_to_piece
-        self.vocabulary = Vocabulary([bytes([int(name(i)[3:5], 16)]) if self.model.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())])
+        name, count = self.model.id_to_piece, self.model.get_piece_size()
+        self.names = [name(i) for i in range(count)]
+        self.byte_of = {i: int(self.names[i][3:5], 16) for i in range(count) if self.model.is_byte(i)}
+        self.entries = [bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].replace(SPACE, " ").encode() for i in range(count)]
+        self.vocabulary = Vocabulary(self.entries)
+        self.fast = self.by_rank() if self.plain(path) else None
+
+    def plain(self, path: str) -> bool:
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        before, how = spec.normalizer_spec, spec.trainer_spec
+        kinds = {p.type for p in spec.pieces} <= {1, 2, 3, 6}  # normal, unknown, control, byte
+        inner = any(SPACE in n.lstrip(SPACE) for n in self.names)
+        same = not before.precompiled_charsmap and before.add_dummy_prefix and not before.remove_extra_whitespaces and before.escape_whitespaces
+        return how.model_type == 2 and how.byte_fallback and not how.treat_whitespace_as_suffix and kinds and same and not inner and len(self.byte_of) == 256
+
+    def by_rank(self) -> tiktoken.Encoding:
+        """Ranks: bytes, then the beginnings of known characters, then pieces by score. ``self.ids`` has the piece of each rank, or -1 where its bytes stand for themselves."""
+        normal = [i for i, n in enumerate(self.names) if not (i in self.byte_of or self.model.is_control(i) or self.model.is_unknown(i))]
+        single = {self.entries[i]: i for i in normal if len(self.names[i]) == 1}
+        ranks = {bytes([b]): b for b in range(256)}
+        for c in sorted({c for i in normal for c in self.names[i].replace(SPACE, " ")}):
+            raw = c.encode()
+            for k in range(2, len(raw) + 1):
+                ranks.setdefault(raw[:k], len(ranks))
+        byte_id = {b: i for i, b in self.byte_of.items()}
+        ids = [single.get(raw, byte_id[raw[0]] if len(raw) == 1 else -1) for raw in ranks]
+        for i in sorted((i for i in normal if len(self.names[i]) > 1), key=lambda i: (-self.model.get_score(i), i)):
+            ranks[self.entries[i]] = len(ranks)
+            ids.append(i)
+        self.ids, self.bytes_of = np.array(ids), {r: [byte_id[b] for b in raw] for raw, r in ranks.items() if ids[r] < 0}
+        return tiktoken.Encoding("pieces", pat_str=r" *[^ ]+| +", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), np.int64)
+        if not self.fast or not text or SPACE in text:
+            return np.array(self.model.encode(text), np.int64)
+        ranks = np.array(self.fast.encode_ordinary(" " + text))
+        out = self.ids[ranks]
+        if (out < 0).any():
+            return np.array([i for r, k in zip(ranks.tolist(), out.tolist()) for i in (self.bytes_of[r] if k < 0 else (k,))], np.int64)
+        return out
 
 
 class Aligned:

@@ -49,6 +49,20 @@ def test_spans():
     assert dense(from_spans(np.array([0, 2, 2]), np.array([2, 2, 5]), 6)).tolist() == [[1, 1, 0, 0, 0, 0], [0] * 6, [0, 0, 1, 1, 1, 0]]
 
 
+PIECES = Pieces(B_PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"ab Z9.!'\n\t\r é漢𝒳언日ßñ _-|<>\u00a0\u3000\x1c\x00\u2581", "  ", "the", "ing", " a", "<0x41>", "<s>", "日本", "\ufffd"]), max_size=40).map("".join))
+def test_ids_are_those_of_sentencepiece(text):
+    assert PIECES.fast is not None and PIECES.encode(text).tolist() == RIGHT.encode(text)
+
+
+@pytest.mark.parametrize("text", ["x" * 50_000, "é" * 100_000, " " * 20_000, "ab" * 100_000, "漢" * 30_000, "word " * 20_000])
+def test_ids_of_long_texts(text):
+    assert PIECES.encode(text).tolist() == RIGHT.encode(text)
+
+
 def tokens(text):
     """((id, start, end) on both sides), or nothing where the bytes differ."""
     if not text:
