@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -21,10 +19,6 @@ from driftgrid.operators.splits import class_weights
 
 TRAINED_AT_ONCE = 4
 
-# Fixed value: 97.5 % quantile of the normal law.
-Z95 = 1.959963984540054
-
-
 def train_classifier(samples: DataFrame, *, label: str = "label", features: str = "features", l2: float = 1e-3, iterations: int = 50, positive_weight: float = 1.5):  # noqa: ANN201
     """A weighted logistic regression over feature arrays."""
     weights = class_weights(samples, keys=[], label=label, positive=positive_weight).select(label, "weight")
@@ -64,37 +58,6 @@ def linear_relevance(model, samples: DataFrame, *, keys: list[str], features: st
     return cells.join(F.broadcast(weights), "cell_id").select(*keys, "cell_id", (F.col("x") * F.col("weight")).alias("relevance"))
 
 
-def phase_logit(df: DataFrame, *, phase: str, event: str) -> DataFrame:
-    """odds_ratio with its 95 % Wald interval and McFadden's R2 of event by phase; missing for one class.
-
-    The likelihood depends on the counts of phase by event alone: they are
-    aggregated, and Newton's steps need only those few cells.
-    """
-    held = df.where(F.col(phase).isNotNull() & F.col(event).isNotNull()).groupBy(F.col(phase).cast("double").alias("x"), F.col(event).cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
-    schema = "odds_ratio double, low double, high double, r2 double"
-    cells = np.array([tuple(r) for r in held.limit(2001).collect()]).reshape(-1, 3)  # two cells a phase
-    if len(cells) > 2000:
-        raise ValueError("at most 1000 phases")
-    if len(set(cells[:, 1])) < 2 or len(set(cells[:, 0])) < 2:
-        return df.sparkSession.createDataFrame([(None, None, None, None)], schema)
-    x, y, w = np.stack([np.ones(len(cells)), cells[:, 0]], 1), cells[:, 1], cells[:, 2]
-    beta = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-x @ beta))
-        information = x.T @ (x * (w * p * (1 - p))[:, None])
-        step = np.linalg.solve(information, x.T @ (w * (y - p)))
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    p = 1 / (1 + np.exp(-x @ beta))
-    mean = (w * y).sum() / w.sum()
-    fitted = (w * np.log(np.where(y == 1, p, 1 - p))).sum()
-    null = w.sum() * (mean * np.log(mean) + (1 - mean) * np.log(1 - mean))
-    se = float(np.sqrt(np.linalg.inv(information)[1, 1]))
-    b = float(beta[1])
-    return df.sparkSession.createDataFrame([(math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), float(1 - fitted / null))], schema)
-
-
 def pixel_features(maps: DataFrame, *, model: str, cell: str = "cell_id", value: str = "value") -> DataFrame:
     """cell, features: the values of a cell in all models, in their order; cells valid in every model only."""
     n = maps.select(F.count_distinct(model)).first()[0]

@@ -14,6 +14,9 @@ from driftgrid.operators.scoring import pearson
 BLOCK = 256  # samples whose kernels are added up at a time
 MAX_GRID = 1_000_000
 
+# Fixed value: 97.5 % quantile of the normal law.
+Z95 = 1.959963984540054
+
 
 def histogram(df: DataFrame, bins: int, *, keys: list[str], value: str = "value") -> DataFrame:
     """Equal bins between each key's extremes: bin (from 0), low, high, n, density. The last bin is closed on the right."""
@@ -126,54 +129,138 @@ def composition(df: DataFrame, *, phase: str, events: list[str]) -> DataFrame:
     return df.groupBy(phase).agg(*aggs)
 
 
-def contingency(df: DataFrame, *, phase: str, event: str) -> DataFrame:
-    """chi2 (with the continuity correction for 2x2), degrees of freedom, p and Fisher's exact p (2x2 only) of phase by event.
+def fold(first: Column, last: Column, start: Column, step, finish) -> Column:  # noqa: ANN001
+    """finish(step(... step(start, first) ..., last)) over whole numbers; the start alone where last is below first."""
+    numbers = F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(numbers, start, step, finish)
+
+
+def erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0: a series of positive terms up to 3, a continued fraction beyond."""
+
+    def term(s: Column, k: Column) -> Column:
+        t = s["t"] * 2 * z * z / (2 * k + 1)
+        return F.struct((s["sum"] + t).alias("sum"), t.alias("t"))
+
+    series = fold(F.lit(1), F.lit(80), F.struct(z.alias("sum"), z.alias("t")), term, lambda s: s["sum"])
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * series
+    tail = fold(F.lit(1), F.lit(80), F.lit(1.0), lambda f, k: 1 + (81 - k) / (2 * z * z * f), lambda f: f)
+    return F.when(z <= 3, near).otherwise(F.exp(-z * z) / (z * math.sqrt(math.pi) * tail))
+
 
-    The table is aggregated in Spark; a p value needs only its few cells.
+def chi2_p(x: Column, freedom: Column) -> Column:
+    """Upper tail of chi-squared for whole degrees of freedom, by the recurrence in steps of two."""
+    odd = freedom % 2 == 1
+    first = F.when(odd, erfc(F.sqrt(x / 2))).otherwise(F.exp(-x / 2))
+    term = F.when(odd, F.sqrt(2 * x / math.pi) * F.exp(-x / 2)).otherwise(F.exp(-x / 2) * x / 2)
+    start = F.struct(first.cast("double").alias("sum"), term.cast("double").alias("t"))
+    low = F.when(odd, 1).otherwise(2)
+    step = lambda s, k: F.struct((s["sum"] + s["t"]).alias("sum"), (s["t"] * x / (low + 2 * k)).alias("t"))
+    return F.when(freedom >= 1, fold(F.lit(1), ((freedom - low) / 2).cast("int"), start, step, lambda s: s["sum"]))
+
+
+def fisher_p(a: Column, row: Column, col: Column, n: Column) -> Column:
+    """Two-sided p of a 2 x 2 table with ``a`` in its first cell and these margins: the tables at most as likely.
+
+    Likelihoods follow from that of the mode by ratios of neighbours. Tables
+    further than 40 deviations from the mode add less than a double can show, so
+    the sums have as many terms as the deviation asks for, not the counts.
+    """
+    a, row, col, n = (c.cast("double") for c in (a, row, col, n))
+    low, high = F.greatest(F.lit(0.0), row + col - n), F.least(row, col)
+    mode = F.floor((row + 1) * (col + 1) / (n + 2)).cast("double")
+    wide = F.ceil(40 * F.sqrt(row / n * col * (1 - row / n) * (n - col) / F.greatest(n - 1, F.lit(1.0)))) + 20
+    up = lambda k: F.log((row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1)))  # from k to k + 1
+    total = lambda s, k: s + up(k.cast("double"))
+    own = F.when(a >= mode, fold(mode, a - 1, F.lit(0.0), total, lambda s: s)).otherwise(-fold(a, mode - 1, F.lit(0.0), total, lambda s: s))
+
+    def with_own(limit: Column) -> Column:
+        def step(s: Column, move: Column) -> Column:
+            t = s["t"] + move
+            p = F.exp(t)
+            return F.struct(t.alias("t"), (s["all"] + p).alias("all"), (s["rare"] + F.when(t <= limit, p).otherwise(0.0)).alias("rare"))
+
+        start = lambda p: F.struct(F.lit(0.0).alias("t"), F.lit(p).alias("all"), F.when(limit >= 0, p).otherwise(0.0).alias("rare"))
+        above = fold(mode, F.least(high, mode + wide) - 1, start(1.0), lambda s, k: step(s, up(k.cast("double"))), lambda s: F.struct(s["all"], s["rare"]))
+        below = fold(F.lit(1), F.least(mode - low, wide), start(0.0), lambda s, k: step(s, -up(mode - k)), lambda s: F.struct(s["all"], s["rare"]))
+        return F.element_at(F.transform(F.array(F.struct(above.alias("u"), below.alias("d"))), lambda x: (x.u["rare"] + x.d["rare"]) / (x.u["all"] + x.d["all"])), 1)
+
+    return F.element_at(F.transform(F.array(own + 1e-7), with_own), 1)
+
+
+def contingency(df: DataFrame, *, phase: str, event: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, chi2 (with the continuity correction for 2x2), dof, p and Fisher's exact p (2x2 only) of phase by event.
+
+    Everything is an expression over cells that were aggregated first; any
+    number of phases and keys. With one phase or one kind of event in a key the
+    statistics are missing and dof is 0. Rows with a null phase or event don't
+    count.
+    """
+    held = df.where(F.col(phase).isNotNull() & F.col(event).isNotNull())
+    cells = held.groupBy(*keys, F.col(phase).alias("__phase")).agg(F.sum(F.col(event).cast("long")).alias("__e"), F.count("*").alias("__n"))
+    sums = cells.groupBy(*keys).agg(F.sum("__e").alias("__es"), F.sum("__n").alias("__ns"), F.count("*").alias("__k"), F.min(F.struct("__phase", "__e", "__n")).alias("__one"))
+    both = cells.join(sums.drop("__one"), keys) if keys else cells.join(F.broadcast(sums.drop("__one")))  # one row
+    square = (F.col("__k") == 2) & F.col("__es").between(1, F.col("__ns") - 1)
+
+    def part(seen: Column, share: Column) -> Column:
+        expected = F.col("__n") * share / F.col("__ns")
+        d = F.abs(seen - expected)
+        return F.try_divide(F.pow(F.when(square, d - F.least(F.lit(0.5), d)).otherwise(d), F.lit(2)), expected)
+
+    parts = part(F.col("__e"), F.col("__es")) + part(F.col("__n") - F.col("__e"), F.col("__ns") - F.col("__es"))
+    chi2 = both.groupBy(*keys).agg(F.sum(parts).alias("__chi2"))
+    out = sums.join(chi2, keys) if keys else sums.join(F.broadcast(chi2))
+    there = (F.col("__k") >= 2) & F.col("__es").between(1, F.col("__ns") - 1)
+    out = out.withColumns({"chi2": F.when(there, F.col("__chi2")), "dof": F.when(there, F.col("__k") - 1).otherwise(0).cast("int")})
+    p = F.when(there, chi2_p(F.col("chi2"), F.col("dof")))
+    exact = F.when(square, fisher_p(F.col("__one.__e"), F.col("__es"), F.col("__one.__n"), F.col("__ns")))
+    return out.select(*keys, "chi2", "dof", p.alias("p"), exact.alias("fisher_p"))
+
+
+def logistic_effect(df: DataFrame, *, phase: str, event: str, keys: list[str] = [], steps: int = 40) -> DataFrame:  # noqa: B006
+    """keys, odds_ratio with its 95 % Wald interval and McFadden's R2 of event by a numeric phase.
+
+    The likelihood depends on the counts of phase by event alone: they are
+    aggregated, and Newton's steps are an expression over a key's cells. With
+    one phase or one kind of event in a key, or phases that part the events
+    entirely, all are missing.
     """
-    cells = df.where(F.col(phase).isNotNull() & F.col(event).isNotNull()).groupBy(phase).agg(F.sum(F.col(event).cast("long")).alias("e"), F.count("*").alias("n"))
-    rows = [(r["n"] - r["e"], r["e"]) for r in cells.orderBy(phase).limit(1001).collect()]
-    if len(rows) > 1000:
-        raise ValueError("at most 1000 phases")
-    chi2, dof, p, fisher = chi_squared(np.array(rows, float).reshape(-1, 2))
-    return df.sparkSession.createDataFrame([(chi2, dof, p, fisher)], "chi2 double, dof int, p double, fisher_p double")
-
-
-def chi_squared(table: np.ndarray) -> tuple[float | None, int, float | None, float | None]:
-    """Of a k x 2 table of counts."""
-    table = table[:, table.sum(0) > 0] if len(table) else table
-    if table.shape[0] < 2 or table.shape[1] < 2:
-        return None, 0, None, None
-    total = table.sum()
-    expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / total
-    diff = np.abs(table - expected)
-    if table.shape == (2, 2):
-        diff -= np.minimum(0.5, diff)
-    chi2, dof = float((diff**2 / expected).sum()), table.shape[0] - 1
-    return chi2, dof, chi2_tail(chi2, dof), fisher_exact(table.astype(int)) if table.shape == (2, 2) else None
-
-
-def chi2_tail(x: float, dof: int) -> float:
-    """Upper tail for whole degrees of freedom, by the recurrence in steps of two."""
-    if dof % 2:
-        out, term, k = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 1
-    else:
-        out, term, k = math.exp(-x / 2), math.exp(-x / 2) * x / 2, 2
-    while k < dof:
-        out, term, k = out + term, term * x / (k + 2), k + 2
-    return out
-
-
-def fisher_exact(table: np.ndarray) -> float:
-    """Two-sided: the tables of the same margins that are at most as likely."""
-    (a, b), (c, d) = table.tolist()
-    row, col, n = a + b, a + c, a + b + c + d
-    lg = math.lgamma
-    log_p = lambda k: -(lg(k + 1) + lg(row - k + 1) + lg(col - k + 1) + lg(n - row - col + k + 1))
-    ks = range(max(0, row + col - n), min(row, col) + 1)
-    logs = np.array([log_p(k) for k in ks])
-    p = np.exp(logs - logs.max())
-    return float(p[p <= p[a - ks[0]] * (1 + 1e-7)].sum() / p.sum())
+    held = df.where(F.col(phase).isNotNull() & F.col(event).isNotNull())
+    cells = held.groupBy(*keys, F.col(phase).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(event).cast("double")).alias("e"))
+    out = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n", "e"))).alias("c"), F.sum("n").alias("n"), F.sum("e").alias("e"))
+    names = ("g0", "g1", "h00", "h01", "h11")
+    start_at = lambda v: F.when(F.col("n") > 0, F.lit(v))  # a value that may become null in a fold
+    zero = F.struct(*(start_at(0.0).alias(v) for v in names))
+
+    def gathered(b0: Column, b1: Column) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            p = 1 / (1 + F.exp(-(b0 + b1 * c.x)))
+            left, info = c.e - c.n * p, c.n * p * (1 - p)
+            return F.struct(*((s[v] + t).alias(v) for v, t in zip(names, (left, left * c.x, info, info * c.x, info * c.x * c.x))))
+
+        return F.aggregate("c", zero, add)
+
+    def newton(s: Column, _: Column) -> Column:
+        def moved(h: Column) -> Column:
+            det = F.when(h.h00 > 1e-9 * F.col("n"), h.h00 * h.h11 - h.h01 * h.h01)  # else the fit runs off to certainty
+            d0, d1 = F.try_divide(h.h11 * h.g0 - h.h01 * h.g1, det), F.try_divide(h.h00 * h.g1 - h.h01 * h.g0, det)
+            return F.struct((s["b0"] + d0).alias("b0"), (s["b1"] + d1).alias("b1"), F.greatest(F.abs(d0), F.abs(d1)).alias("d"))
+
+        return F.when(s["d"] < 1e-12, s).otherwise(F.element_at(F.transform(F.array(gathered(s["b0"], s["b1"])), moved), 1))
+
+    start = F.struct(start_at(0.0).alias("b0"), start_at(0.0).alias("b1"), start_at(1.0).alias("d"))
+    out = out.withColumn("b", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton)).withColumn("h", gathered(F.col("b.b0"), F.col("b.b1")))
+
+    def likelihood(s: Column, c: Column) -> Column:
+        z = F.col("b.b0") + F.col("b.b1") * c.x
+        return s - c.e * F.log1p(F.exp(-z)) - (c.n - c.e) * F.log1p(F.exp(z))
+
+    mean = F.col("e") / F.col("n")
+    null = F.col("n") * (mean * F.log(mean) + (1 - mean) * F.log(1 - mean))
+    se = F.sqrt(F.try_divide(F.col("h.h00"), F.col("h.h00") * F.col("h.h11") - F.pow(F.col("h.h01"), F.lit(2))))
+    sure = (F.size("c") > 1) & (F.col("e") > 0) & (F.col("e") < F.col("n")) & (F.col("b.d") < 1e-6)
+    told = {"odds_ratio": F.exp("b.b1"), "low": F.exp(F.col("b.b1") - Z95 * se), "high": F.exp(F.col("b.b1") + Z95 * se), "r2": 1 - F.aggregate("c", F.lit(0.0), likelihood) / null}
+    return out.select(*keys, *(F.when(sure, v).alias(k) for k, v in told.items()))
 
 
 def bootstrap_shares(df: DataFrame, *, phase: str, event: str, replicates: int = 5000, seed: int = 42) -> DataFrame:

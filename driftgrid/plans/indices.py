@@ -14,6 +14,7 @@ from driftgrid.operators.fields import anomalies, box_means, demean, forced_regi
 from driftgrid.operators.lowpass import lowpass
 from driftgrid.operators.series import detrended, forced_corrected, forced_removed, run_labels, smoothed
 from driftgrid.operators.splits import training_statistics
+from driftgrid.session import cut
 
 # Boxes (latmin, latmax, lonmin, lonmax) of the indices.
 NINO34 = {"nino34": (-5.0, 5.0, 190.0, 240.0)}
@@ -96,7 +97,7 @@ def ipo(cells: DataFrame, grid: DataFrame, *, ensemble: bool = True, base: tuple
     held = anomalies(cells, keys=["member", "month", "cell_id"], base=base, name="value")
     s = box_means(held, grid, boxes, keys=["member", "year", "month"]).withColumn("t", month_index(F.col("year"), F.col("month")))
     wide = s.groupBy("member", "year", "month", "t").pivot("region", list(boxes)).agg(F.first("value"))
-    raw = wide.select("member", "year", "month", "t", tripole(*[F.col(b) for b in boxes]).alias("value"))
+    raw = cut(wide.select("member", "year", "month", "t", tripole(*[F.col(b) for b in boxes]).alias("value")))  # read several times by the filter
     low = lowpass(raw.select("member", "t", "value"), keys=["member"], cutoff_years=cutoff_years)
     return raw.join(low.select("member", "t", "filtered"), ["member", "t"]).withColumn("label", sign_label(F.col("filtered")))
 

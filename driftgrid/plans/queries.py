@@ -19,7 +19,7 @@ from driftgrid.operators import series as T
 from driftgrid.operators import spatial as X
 from driftgrid.operators import splits as B
 from driftgrid.operators import statistics as Q
-from driftgrid.operators.lowpass import lowpass
+from driftgrid.operators.lowpass import chebyshev, lowpass, steady
 from driftgrid.plans import base
 from driftgrid.plans import indices as I
 from driftgrid.plans.base import C, G, L, O, P, S
@@ -586,16 +586,47 @@ def index_flavours(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("index", "member", "t", "value", "label"))
 
 
-@query()
+def sql_filter(source: str, out: str, cutoff_years: float) -> str:
+    """Tables for ``WITH RECURSIVE``: the zero-phase filter of ``source`` (member, t, v) by its recurrence, step by step."""
+    b, a = chebyshev(4, 0.05, 2 / (12 * cutoff_years))
+    z, pad = steady(b, a), 15
+    y = f"({b[0]!r} * x + s0)"
+    state = ", ".join(f"{f's{k + 1} + ' if k < 3 else ''}{b[k + 1]!r} * x - {a[k + 1]!r} * {y} AS s{k}" for k in range(4)).replace("np.float64(", "(")
+    y = y.replace("np.float64(", "(")
+    start = ", ".join(f"{float(z[k])!r} * x AS s{k}" for k in range(4))
+
+    def passed(name: str, extended: str) -> str:
+        return f"""{name} AS (SELECT member, n, i, {y} AS y, {state} FROM (SELECT *, {start} FROM {extended} WHERE i = 0)
+UNION ALL SELECT member, n, i, {y} AS y, {state} FROM (SELECT e.member, e.n, e.i, e.x, s0, s1, s2, s3 FROM {name} f JOIN {extended} e ON e.member = f.member AND e.i = f.i + 1))"""
+
+    return f"""{out}_p AS (SELECT member, t, v, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY member) AS n, first_value(v) OVER w AS f, first_value(v) OVER (PARTITION BY member ORDER BY t DESC) AS l FROM {source} WINDOW w AS (PARTITION BY member ORDER BY t)),
+{out}_e AS (SELECT member, n, p + {pad} AS i, v AS x FROM {out}_p UNION ALL SELECT member, n, {pad} - p, 2 * f - v FROM {out}_p WHERE p BETWEEN 1 AND {pad} UNION ALL SELECT member, n, n + {pad} + n - 2 - p, 2 * l - v FROM {out}_p WHERE p BETWEEN n - 1 - {pad} AND n - 2),
+{passed(f"{out}_f", f"{out}_e")},
+{out}_r AS (SELECT member, n, n + {2 * pad} - 1 - i AS i, y AS x FROM {out}_f),
+{passed(f"{out}_b", f"{out}_r")},
+{out} AS (SELECT p.member, p.t, p.v, b.y AS filtered FROM {out}_p p JOIN {out}_b b ON b.member = p.member AND b.i = p.n + {pad} - 1 - p.p)"""
+
+
+def sql_tripole_series(source: str) -> str:
+    """Tripole of the anomalies of every cell of ``source`` (member, year, month, cell_id, v), as tables up to tp (member, t, v)."""
+    box = lambda n: f"sum(CASE WHEN lat BETWEEN {INDEX_BOXES[n][0]} AND {INDEX_BOXES[n][1]} AND lon BETWEEN {INDEX_BOXES[n][2]} AND {INDEX_BOXES[n][3]} THEN v * cos(radians(lat)) END) / sum(CASE WHEN lat BETWEEN {INDEX_BOXES[n][0]} AND {INDEX_BOXES[n][1]} AND lon BETWEEN {INDEX_BOXES[n][2]} AND {INDEX_BOXES[n][3]} THEN cos(radians(lat)) END)"
+    return f"""an AS (SELECT member, year, month, cell_id, v - avg(CASE WHEN year BETWEEN 2000 AND 2002 THEN v END) OVER (PARTITION BY member, month, cell_id) AS v FROM {source}),
+tp AS (SELECT member, (year * 12 + month - 1)::INT AS t, {box("a")} - 0.5 * ({box("b")} + {box("c")}) AS v FROM an JOIN g ON an.cell_id = g.cell_id GROUP BY member, year, month)"""
+
+
+@query(f"""WITH RECURSIVE {C}, {G}, dm AS (SELECT member, year, month, cell_id, value - avg(value) OVER (PARTITION BY year, month, cell_id) AS v FROM c), {sql_tripole_series("dm")}, {sql_filter("tp", "lp", 1.5)}
+SELECT member, t, round(v, 6) AS value, round(filtered, 6) AS filtered, sign(round(filtered, 9))::TINYINT AS label FROM lp""")
 def tripole_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Tripole of per-cell anomalies, low-passed: a recursive filter, so no SQL."""
+    """Tripole of per-cell anomalies, raw and low-passed, with the sign of the latter."""
     out = I.ipo(base.cells(spark, sf).drop("label"), base.grid(spark, sf), base=INDEX_BASE, cutoff_years=1.5, boxes=INDEX_BOXES)
-    return rounded(out.select("member", "t", "value", "filtered", "label"))
+    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", "label"))
 
 
-@query()
+@query(f"WITH RECURSIVE {S}, x AS (SELECT member, t, value AS v FROM s), {sql_filter('x', 'lp', 2.0)} SELECT member, t, round(filtered / 997, 6) AS filtered FROM lp")
 def lowpassed_series(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(lowpass(base.series(spark, sf), keys=["member"], cutoff_years=2.0).select("member", "t", "filtered"), 4)
+    """Every member's series, low-passed at two years."""
+    out = lowpass(base.series(spark, sf), keys=["member"], cutoff_years=2.0)
+    return rounded(out.select("member", "t", (F.col("filtered") / UNIT).alias("filtered")))
 
 
 @query()
@@ -612,12 +643,36 @@ def phase_variance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(Q.variance_explained(base.scores(spark, sf), phase="phase", event="y_true"))
 
 
-@query()
+def sql_tests(source: str, keys: str) -> str:
+    """Chi-squared with Yates' correction and its p, Fisher's p, and the logistic effect of a phase x of 0 and 1 on an event y, by keys of ``source``."""
+    return f"""k AS (SELECT {keys}, sum(y * x)::DOUBLE AS e1, sum(x)::DOUBLE AS n1, sum(y * (1 - x))::DOUBLE AS e0, sum(1 - x)::DOUBLE AS n0 FROM {source} GROUP BY ALL),
+m AS (SELECT *, e0 + e1 AS e, n0 + n1 AS n FROM k),
+c AS (SELECT *, (abs(e0 - n0 * e / n) - least(0.5, abs(e0 - n0 * e / n))) ** 2 * (1 / (n0 * e / n) + 1 / (n0 * (n - e) / n) + 1 / (n1 * e / n) + 1 / (n1 * (n - e) / n)) AS chi2 FROM m),
+f AS (SELECT {keys}, sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp - mx) ELSE 0 END) / sum(exp(lp - mx)) AS fisher_p FROM (SELECT *, max(lp) OVER (PARTITION BY {keys}) AS mx, max(CASE WHEN i = e0 THEN lp END) OVER (PARTITION BY {keys}) AS lo
+FROM (SELECT {keys}, i, e0, -(lgamma(i + 1) + lgamma(e - i + 1) + lgamma(n0 - i + 1) + lgamma(n - e - n0 + i + 1)) AS lp FROM m, range(0, 100000) r(i) WHERE i BETWEEN greatest(0, e + n0 - n) AND least(e, n0))) GROUP BY {keys}),
+t AS (SELECT {keys}, sum(exp(i * ln(2) + (2 * i + 1) * ln(sqrt(chi2 / 2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))) AS s FROM c, range(0, 400) r(i) GROUP BY {keys}),
+o AS (SELECT *, ln(e1 * (n0 - e0) / (e0 * (n1 - e1))) AS b, sqrt(1 / e1 + 1 / (n1 - e1) + 1 / e0 + 1 / (n0 - e0)) AS se FROM m),
+l AS (SELECT {keys}, 1 - (e1 * ln(e1 / n1) + (n1 - e1) * ln(1 - e1 / n1) + e0 * ln(e0 / n0) + (n0 - e0) * ln(1 - e0 / n0)) / (e * ln(e / n) + (n - e) * ln(1 - e / n)) AS r2 FROM m)
+SELECT c.{keys}, round(chi2, 5) AS chi2, 1 AS dof, round(1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * s, 6) AS p, round(fisher_p, 6) AS fisher_p, round(exp(b), 5) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 5) AS low, round(exp(b + 1.959963984540054 * se), 5) AS high, round(r2, 6) AS r2
+FROM c JOIN f ON c.{keys} = f.{keys} JOIN t ON c.{keys} = t.{keys} JOIN o ON c.{keys} = o.{keys} JOIN l ON c.{keys} = l.{keys}"""
+
+
+def both_tests(df: DataFrame, *, phase: str, event: str, key: str) -> DataFrame:
+    out = Q.contingency(df, phase=phase, event=event, keys=[key]).join(Q.logistic_effect(df, phase=phase, event=event, keys=[key]), key)
+    return rounded(out, 5, p=6, fisher_p=6, r2=6)
+
+
+@query(f"WITH {P}, x AS (SELECT 'toxic' AS phase, toxic AS x, y_true AS y FROM p), {sql_tests('x', 'phase')}")
 def phase_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Chi-squared and exact test of toxicity by quality, and the logistic effect."""
-    s = base.scores(spark, sf)
-    tests = Q.contingency(s, phase="toxic", event="y_true")
-    return rounded(tests.join(M.phase_logit(s, phase="toxic", event="y_true")))
+    """Chi-squared, exact test and logistic effect of toxicity on quality."""
+    return both_tests(base.scores(spark, sf).withColumn("phase", F.lit("toxic")), phase="toxic", event="y_true", key="phase")
+
+
+@query(f"WITH {P}, x AS (SELECT phase, run AS x, (doc_id % 7 < 3)::INT AS y FROM p), {sql_tests('x', 'phase')}")
+def grouped_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tests of run by an event, for every language at once."""
+    s = base.scores(spark, sf).withColumn("event", (F.col("doc_id") % 7 < 3).cast("int"))
+    return both_tests(s, phase="run", event="event", key="phase")
 
 
 SPLITS = list(range(9))

@@ -19,7 +19,7 @@ from driftgrid.operators import statistics as Q
 from driftgrid.plans import base
 from driftgrid.plans import indices as I
 from driftgrid.plans.base import C, G, L, O, OC, S
-from driftgrid.plans.queries import INDEX_BASE, INDEX_BOXES, JOINT, UNIT, joint, sql_box, sql_smooth
+from driftgrid.plans.queries import INDEX_BASE, INDEX_BOXES, JOINT, UNIT, joint, sql_box, sql_filter, sql_smooth, sql_tripole_series
 from driftgrid.plans.registry import query, rounded
 from driftgrid.plans.trends import observed_series, observed_thresholds, warming_events
 from driftgrid.session import scratch, table
@@ -378,25 +378,19 @@ def observed_flavours(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("index", F.col("t").cast("int").alias("t"), "value", "label"), 5)
 
 
-def sql_tripole(source: str) -> str:
-    """Tripole of the anomalies of every cell of ``source`` (member, year, month, cell_id, v)."""
-    box = lambda n: f"sum(CASE WHEN lat BETWEEN {INDEX_BOXES[n][0]} AND {INDEX_BOXES[n][1]} AND lon BETWEEN {INDEX_BOXES[n][2]} AND {INDEX_BOXES[n][3]} THEN v * cos(radians(lat)) END) / sum(CASE WHEN lat BETWEEN {INDEX_BOXES[n][0]} AND {INDEX_BOXES[n][1]} AND lon BETWEEN {INDEX_BOXES[n][2]} AND {INDEX_BOXES[n][3]} THEN cos(radians(lat)) END)"
-    return f"""an AS (SELECT member, year, month, cell_id, v - avg(CASE WHEN year BETWEEN 2000 AND 2002 THEN v END) OVER (PARTITION BY member, month, cell_id) AS v FROM {source})
-SELECT member, (year * 12 + month - 1)::INT AS t, round({box("a")} - 0.5 * ({box("b")} + {box("c")}), 6) AS value FROM an JOIN g ON an.cell_id = g.cell_id GROUP BY member, year, month"""
-
-
-@query(f"WITH {C}, {G}, dm AS (SELECT member, year, month, cell_id, value - avg(value) OVER (PARTITION BY year, month, cell_id) AS v FROM c), {sql_tripole('dm')}")
+@query(f"WITH {C}, {G}, dm AS (SELECT member, year, month, cell_id, value - avg(value) OVER (PARTITION BY year, month, cell_id) AS v FROM c), {sql_tripole_series('dm')} SELECT member, t, round(v, 6) AS value FROM tp")
 def tripole_raw(spark: SparkSession, sf: str) -> DataFrame:
     """The tripole before its low-pass filter."""
     out = I.ipo(base.cells(spark, sf).drop("label"), base.grid(spark, sf), base=INDEX_BASE, cutoff_years=1.5, boxes=INDEX_BOXES)
     return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value"))
 
 
-@query(f"WITH {OBSERVED}, {sql_tripole('dm')}")
+@query(f"""WITH RECURSIVE {OBSERVED}, {sql_tripole_series('dm')}, {sql_filter("tp", "lp", 1.5)}
+SELECT member, t, round(v, 6) AS value, round(filtered, 6) AS filtered, sign(round(filtered, 9))::TINYINT AS label FROM lp""")
 def observed_tripole(spark: SparkSession, sf: str) -> DataFrame:
-    """The tripole of one observed field."""
+    """The tripole of one observed field, raw and low-passed, with the sign of the latter."""
     out = I.ipo(base.observed_cells(spark, sf), base.grid(spark, sf), ensemble=False, base=INDEX_BASE, cutoff_years=1.5, boxes=INDEX_BOXES)
-    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value"))
+    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", "label"))
 
 
 def sql_region(name: str, source: str) -> str:

@@ -168,6 +168,23 @@ def test_lowpass(spark):
     assert out.where("k = 0 AND filtered IS NOT NULL").count() == 0 and out.where("k = 1 AND abs(filtered - 0.98855) < 1e-4").count() == 40
 
 
+@pytest.mark.parametrize("block", [1, 7, 16, 256])
+def test_blocks_equal_the_filter_step_by_step(spark, block):
+    rng = np.random.default_rng(block)
+    b, a = chebyshev(4, 0.05, 2 / (12 * 2))
+    series = {"long": rng.normal(5, 2, 700), "short": rng.normal(0, 1, 16), "gap": rng.normal(0, 1, 40), None: np.cumsum(rng.normal(0, 1, 90))}
+    rows = [(k, i + (100 if k != "gap" or i < 20 else 105), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    for some in (rows, [r for r in rows if r[0] != "gap"]):  # by order, and by value of t
+        rows_ = [*some, *(("few", i, 1.0) for i in range(15)), *(("hole", i, None if i == 7 else 1.0) for i in range(60))]
+        out = lowpass(spark.createDataFrame(rows_, "k string, t int, value double"), keys=["k"], cutoff_years=2.0, block=block).toPandas().sort_values("t")
+        assert len(out) == len(rows_) and out[out.k.isin(["few", "hole"])].filtered.isna().all()
+        for k in {r[0] for r in some}:
+            got = out[out.k.isna() if k is None else out.k == k]
+            assert np.allclose(got.filtered, zero_phase(b, a, series[k]))
+    with pytest.raises(Exception, match="missing or repeated"):
+        lowpass(spark.createDataFrame([("x", t if t != 9 else 8, 1.0) for t in range(30)], "k string, t int, value double"), keys=["k"]).collect()
+
+
 def test_splits(spark):
     df = spark.range(100).select(F.col("id").cast("int").alias("member"))
     B.check_members(df, 100)
@@ -253,10 +270,8 @@ def test_nearest_of_a_regional_source(spark):
 
 
 def test_statistics(spark):
-    chi2, dof, p, fisher = Q.chi_squared(np.array([[10.0, 10], [10, 10]]))
-    assert (dof, p, fisher) == (1, 1.0, 1.0) and chi2 == 0
-    assert abs(Q.chi2_tail(5.0, 2) - math.exp(-2.5)) < 1e-12 and abs(Q.chi2_tail(3.841458820694124, 1) - 0.05) < 1e-9 and abs(Q.chi2_tail(7.814727903251179, 3) - 0.05) < 1e-9
-    assert abs(Q.fisher_exact(np.array([[3, 1], [1, 3]])) - 0.4857142857) < 1e-9
+    even = Q.contingency(spark.range(40).select((F.col("id") % 2).alias("phase"), (F.col("id") % 4 < 2).cast("int").alias("event")), phase="phase", event="event").first()
+    assert (even.chi2, even.dof, even.p, even.fisher_p) == (0.0, 1, 1.0, pytest.approx(1.0))
     df = spark.createDataFrame([(ph, int(i < e)) for ph, n, e in ((1, 400, 100), (0, 400, 200)) for i in range(n)], "phase int, event int")
     for r in Q.bootstrap_shares(df, phase="phase", event="event", replicates=4000).collect():
         want = 0.25 if r.phase == "1" else 0.5
@@ -264,9 +279,9 @@ def test_statistics(spark):
         assert r.p == want and abs(r.low - (want - half)) < 0.01 and abs(r.high - (want + half)) < 0.01
     v = Q.variance_explained(df, phase="phase", event="event", replicates=2000).first()
     assert abs(v.explained - 0.015625 / (0.375 * 0.625)) < 1e-12 and v.low < v.explained < v.high
-    odds = M.phase_logit(df, phase="phase", event="event").first()
+    odds = Q.logistic_effect(df, phase="phase", event="event").first()
     assert abs(odds.odds_ratio - 1 / 3) < 1e-4 and odds.low < odds.odds_ratio < odds.high
-    assert M.phase_logit(df.where("event = 1"), phase="phase", event="event").first().odds_ratio is None
+    assert Q.logistic_effect(df.where("event = 1"), phase="phase", event="event").first().odds_ratio is None
     h = Q.histogram(spark.createDataFrame([(float(i),) for i in range(11)], "value double"), 5, keys=[]).collect()
     assert sum(r.n for r in h) == 11 and abs(sum(r.density * 2 for r in h) - 1) < 1e-12 and max(r.bin for r in h) == 4
 
