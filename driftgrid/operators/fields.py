@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import cos_weight, in_box, in_season
+from driftgrid.operators.quantiles import exact_percentiles
 
 BROADCAST_CELLS = 1_000_000
 
@@ -98,7 +99,7 @@ def value_range(df: DataFrame, *, keys: list[str], value: str = "value") -> Data
 def percentile_scaled(df: DataFrame, *, keys: list[str], value: str = "value", q: float = 0.97, absolute: bool = True, name: str = "scaled") -> DataFrame:
     """Value over the q-th percentile of its map, clipped to [-1, 1] (absolute) or [0, 1]; maps whose percentile is 0 stay."""
     v = F.col(value).cast("double")
-    scale = df.groupBy(*keys).agg(F.percentile(F.abs(v) if absolute else v, q).alias("__p"))
+    scale = exact_percentiles(df, [q], keys=keys, value=F.abs(v) if absolute else v, name="__p").withColumn("__p", F.col("__p")[0])
     low = F.lit(-1.0 if absolute else 0.0)
     out = df.join(scale, keys)
     return out.withColumn(name, F.when(F.col("__p") > 0, F.when(v.isNotNull(), F.greatest(F.least(v / F.col("__p"), F.lit(1.0)), low))).otherwise(v)).drop("__p")

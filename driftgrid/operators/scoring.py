@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftgrid.operators.quantiles import exact_percentiles
+
 EPS = 1e-15
 
 
@@ -93,8 +95,9 @@ def sample_table(scores: DataFrame, *others: DataFrame, on: list[str]) -> DataFr
 
 def metric_intervals(metrics: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, median and the 2.5 / 97.5 percentiles over runs."""
-    p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return metrics.groupBy(*keys).agg(F.avg(value).alias("mean"), p.alias("__p")).select(*keys, "mean", F.col("__p")[0].alias("low"), F.col("__p")[1].alias("median"), F.col("__p")[2].alias("high"))
+    p = exact_percentiles(metrics, [0.025, 0.5, 0.975], keys=keys, value=value, name="__p")
+    means = metrics.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return means.join(p, keys, "left").select(*keys, "mean", F.col("__p")[0].alias("low"), F.col("__p")[1].alias("median"), F.col("__p")[2].alias("high"))
 
 
 def confusion(df: DataFrame, *, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
