@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import phase_label
+from driftgrid.functions.columns import event_value, phase_label
 
 
 def sliding_slopes(df: DataFrame, window: int, *, keys: list[str], t: str = "year", value: str = "value", least: int | None = None, start: int | None = None) -> DataFrame:
     """OLS slope of every window of ``window`` steps: keys, start, slope, n.
 
     Windows run by the time value, so gaps can't stretch them. A slope needs
-    ``least`` values (all, by default). Windows start from ``start`` and, as in
-    the published record, the last complete window is dropped.
+    ``least`` values (all, by default). Windows start from ``start``, which is an
+    error if no series has it, and, as in the published record, the last
+    complete window is dropped.
     """
+    if start is not None and df.where(F.col(t) == start).isEmpty():
+        raise ValueError(f"no series has the step {start}")
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(0, window - 1)
     whole = Window.partitionBy(*keys)
     v = F.col(value).cast("double")
@@ -90,19 +93,25 @@ def detrended(df: DataFrame, *, keys: list[str], t: str = "t", value: str = "val
 
 
 def forced_corrected(obs: DataFrame, forced: DataFrame, *, keys: list[str], t: str = "t", value: str = "value", name: str = "residual") -> DataFrame:
-    """Observed minus the forced signal with the observed mean and trend in place of its own.
+    """keys, t, ``name``: observed minus the forced signal with the observed mean and trend in place of its own.
 
     The forced series is shifted to the observed mean, its own trend is
     replaced by the observed one, and what remains of the observed is returned.
     Applied per key: series or cells.
     """
+    return correction_parts(obs, forced, keys=keys, t=t, value=value).select(*keys, t, F.col("residual").alias(name))
+
+
+def correction_parts(obs: DataFrame, forced: DataFrame, *, keys: list[str], t: str = "t", value: str = "value") -> DataFrame:
+    """keys, t, observed, forced, forced_shifted (to the observed mean), forced_corrected (with the observed trend too), residual over the steps both have."""
     both = obs.select(*keys, t, F.col(value).cast("double").alias("__o")).join(forced.select(*keys, t, F.col(value).cast("double").alias("__f")), [*keys, t])
     x, ok = F.col(t).cast("double"), F.col("__o").isNotNull() & F.col("__f").isNotNull()
     o, f, xx = F.when(ok, F.col("__o")), F.when(ok, F.col("__f")), F.when(ok, x)
     fit = both.groupBy(*keys).agg(F.regr_slope(o, xx).alias("__so"), F.regr_slope(f, xx).alias("__sf"), F.avg(o).alias("__mo"), F.avg(f).alias("__mf"), F.avg(xx).alias("__mx"))
     shape = F.col("__f") - F.col("__mf") - F.col("__sf") * (x - F.col("__mx"))
     line = F.col("__mo") + F.col("__so") * (x - F.col("__mx"))
-    return both.join(fit, keys).select(*keys, t, (F.col("__o") - (shape + line)).alias(name))
+    parts = {"observed": F.col("__o"), "forced": F.col("__f"), "forced_shifted": F.col("__f") - F.col("__mf") + F.col("__mo"), "forced_corrected": shape + line, "residual": F.col("__o") - (shape + line)}
+    return both.join(fit, keys).select(*keys, t, *(c.alias(k) for k, c in parts.items()))
 
 
 def forced_removed(obs: DataFrame, method: str, *, keys: list[str], forced: DataFrame | None = None, t: str = "t", value: str = "value") -> DataFrame:
@@ -132,4 +141,4 @@ def trend_segments(slopes: DataFrame, series: DataFrame, steps: int, *, keys: li
 def value_at_start(events: DataFrame, series: DataFrame, *, keys: list[str], start: str = "start", t: str = "year", value: str = "value") -> DataFrame:
     """The series' value where an event's window starts; NULL without an event."""
     at = series.select(*keys, F.col(t).alias(start), F.col(value).alias("__v"))
-    return events.join(at, [*keys, start], "left").withColumn("start_value", F.when(F.col("event") == 1, F.col("__v"))).drop("__v")
+    return events.join(at, [*keys, start], "left").withColumn("start_value", event_value(F.col("__v"), F.col("event"))).drop("__v")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftgrid.functions.columns import fill_land, month_index, ocean, phase_label, sign_label, split_pair, tripole
 from driftgrid.operators.fields import anomalies, box_means, demean, forced_region, normalized, season_means, with_grid
 from driftgrid.operators.lowpass import lowpass
-from driftgrid.operators.series import detrended, forced_corrected, forced_removed, run_labels, smoothed
+from driftgrid.operators.series import correction_parts, detrended, forced_corrected, forced_removed, run_labels, smoothed
 from driftgrid.operators.splits import training_statistics
 from driftgrid.session import cut
 
@@ -73,6 +73,13 @@ def arctic_observed(cells: DataFrame, grid: DataFrame, forced: DataFrame, *, bas
     return normalized(r, keys=["member"], base=base).withColumn("label", phase_label(F.col("value"), cut, inclusive=False))
 
 
+def residual_diagnostics(cells: DataFrame, grid: DataFrame, forced: DataFrame, *, boxes: dict = ARCTIC) -> DataFrame:
+    """member, t, observed, forced, forced_shifted, forced_corrected, residual: what ``arctic_observed`` is made from."""
+    s = regional_series(cells, grid, boxes, ensemble=False)
+    f = forced.withColumn("t", month_index(F.col("year"), F.col("month"))).select("t", "value")
+    return correction_parts(s, s.select("member", "t").join(f, "t"), keys=["member"])
+
+
 def enso_flavours(cells: DataFrame, grid: DataFrame, *, ensemble: bool = True, base: tuple[int, int] = (1990, 2020), smooth: int | None = 5, cut: float = 0.4, boxes: dict = ENSO_BOXES, fast: bool = False) -> DataFrame:
     """n3, n34, n4, n_ct, n_wp with inclusive labels: member, year, month, t, index, value, label.
 

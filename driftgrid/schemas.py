@@ -7,7 +7,10 @@ SCHEMAS = {
     "cells": "variable STRING, member INT, year INT, month INT, cell_id INT, value FLOAT",
     "series": "member INT, year INT, month INT, value DOUBLE",
     "thresholds": "month INT, threshold DOUBLE, fraction DOUBLE",
-    "events": "member INT, month INT, start_year INT, slope DOUBLE, threshold DOUBLE, event TINYINT",
+    "annual": "member INT, year INT, value DOUBLE",
+    "forced_field": "year INT, cell_id INT, value FLOAT",
+    "regridded": "year INT, month INT, cell_id INT, value DOUBLE",
+    "events": "variable STRING, member INT, month INT, start_year INT, slope DOUBLE, threshold DOUBLE, event TINYINT",
     "indices": "source STRING, index STRING, member INT, year INT, month INT, value DOUBLE, label TINYINT",
     "samples": "split INT, part STRING, member INT, year INT, label TINYINT, features ARRAY<FLOAT>",
     "scores": "split INT, run INT, part STRING, member INT, year INT, y_prob FLOAT, y_true TINYINT",

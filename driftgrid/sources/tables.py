@@ -41,6 +41,17 @@ def read_typed(spark: SparkSession, name: str, path: str, **equal: object) -> Da
     return df.select(*((missing(F.col(f.name)) if f.dataType.typeName() in number else F.col(f.name)).cast(f.dataType).alias(f.name) for f in kinds))
 
 
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """The columns of the table ``name`` of SCHEMAS, in its types."""
+    kinds = df.sparkSession.createDataFrame([], SCHEMAS[name]).schema
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds))
+
+
+def read_labels(spark: SparkSession, path: str, *, variable: str, month: int, years: tuple[int, int]) -> DataFrame:
+    """Events of one variable and calendar month whose windows start within the years; their partition alone is read."""
+    return read_typed(spark, "events", path, variable=variable, month=month).where(F.col("start_year").between(*years))
+
+
 def read_where_present(spark: SparkSession, name: str, paths: list[str]) -> DataFrame:
     """The tables at ``paths``, one below the other; a path that doesn't exist is skipped."""
     out = spark.createDataFrame([], SCHEMAS[name])
