@@ -8,7 +8,10 @@ characters stays near the plain one. Landmarks are words of the labelled texts.
 Words are mapped by the inverse root of the landmarks' kernel matrix. A
 sentence counts by its worst word: a linear SVM is trained on labelled
 sentences, each with the word that the SVM before found worst. A document
-scores as its worst sentence.
+scores as its worst sentence. A word whose kernel with a toxic landmark is
+larger than that of all words of clean labelled texts counts as that landmark:
+so an insult with a character set in or left out stays one, as far as no clean
+word is as near.
 
 Landmarks and SVM are fitted in one task on a bounded sample of labelled rows.
 Scoring reads whole texts on all executors.
@@ -46,6 +49,9 @@ STEM = (3, 10)
 RUN = 24  # a longer run of letters is a word in each of its windows
 RUN_WINDOWS = (6, 9, 12)
 DENSE_WINDOWS = (2, 3, 4)  # of scripts that set no spaces
+REACH = 0.1  # how much nearer to a toxic landmark than all clean words, as a share of what is left to 1
+FLOOR = 0.2  # kernel below which no word counts as a landmark
+TRAIN_SENTENCES = 2_000  # of a labelled text, drawn by hash, and as many words of each, in the fit alone
 KNOWN_WORDS = 250_000
 CHUNK_CHARS = 1 << 20
 CHUNK_WINDOWS = 50_000
@@ -203,6 +209,8 @@ class Model:
     bias: float
     slope: float
     offset: float
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))  # kernel from which a word counts as landmark i, for the first ones
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the part of landmark i itself
     limit: int = KNOWN_WORDS
     _kernel: Kernel | None = field(default=None, init=False, repr=False)
     _known: dict[str, float] = field(default_factory=dict, init=False, repr=False)
@@ -223,14 +231,22 @@ class Model:
             self._known.clear()
             new = words
         short = [w for w in new if plain(w)]
-        self._known.update(zip(short, (self.kernel.of([word_of(w) for w in short]) @ self.alpha).tolist()))
+        self._known.update(zip(short, self.told([word_of(w) for w in short]).tolist()))
         for w in new.difference(short):
             best, own = -np.inf, windows(word_of(w))
             for i in range(0, len(own), CHUNK_WINDOWS):
-                best = max(best, float((self.kernel.of(own[i : i + CHUNK_WINDOWS]) @ self.alpha).max()))
+                best = max(best, float(self.told(own[i : i + CHUNK_WINDOWS]).max()))
             self._known[w] = best
         return self._known
 
+    def told(self, words: list[str]) -> np.ndarray:
+        """Parts of words: by the SVM, or those of a landmark that they come near to."""
+        near = self.kernel.of(words)
+        part = near @ self.alpha
+        if len(self.reach):
+            part = np.maximum(part, np.where(near[:, : len(self.reach)] >= self.reach, self.own, -np.inf).max(1, initial=-np.inf))
+        return part
+
     def margins(self, texts: list[str]) -> np.ndarray:
         """The margin of every text's worst word, 0 + bias if it has none above."""
         told = [set(WORD.findall(normal(t))) for t in texts]
@@ -258,6 +274,15 @@ def draw(w: str) -> int:
     return zlib.crc32(w.encode("utf-8", "surrogatepass"))
 
 
+def sentences(text: str, most: int = TRAIN_SENTENCES) -> list[list[str]]:
+    """The distinct words of each sentence, with the windows of long runs; of very many, ``most`` drawn by hash."""
+
+    def some(items: list[str]) -> list[str]:
+        return items if len(items) <= most else sorted(items, key=lambda x: (draw(x), x))[:most]
+
+    return [some(list(dict.fromkeys(x for w in dict.fromkeys(WORD.findall(s)) for x in windows(word_of(w))))) for s in some(SENTENCE.split(normal(text)))]
+
+
 @dataclass
 class Sample:
     """Labelled sentences as numbers of words: sentence i of document owner[i] has words word[first[i]:first[i + 1]]."""
@@ -268,12 +293,13 @@ class Sample:
     owner: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str]) -> "Sample":
+    def of(cls, texts: list[list[list[str]]]) -> "Sample":
+        """From the sentences' words of each text."""
         known: dict[str, int] = {}
         word, first, owner = [], [0], []
         for d, text in enumerate(texts):
-            for s in SENTENCE.split(normal(text)) or [""]:
-                own = {known.setdefault(x, len(known)) for w in set(WORD.findall(s)) for x in windows(word_of(w))}
+            for s in text or [[]]:
+                own = {known.setdefault(x, len(known)) for x in s}
                 word.append(np.fromiter(own, np.int32, len(own)))
                 first.append(first[-1] + len(own)), owner.append(d)
         return cls(list(known), np.concatenate(word) if word else np.zeros(0, np.int32), np.array(first), np.array(owner, int))
@@ -351,8 +377,8 @@ def inverse_root(gram: np.ndarray) -> np.ndarray:
     return (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
 
 
-def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, others: int = OTHERS) -> Model:
-    """Landmarks, Nystroem map, SVM on sentences and calibration from labelled documents.
+def fit(texts: list[str] | list[list[list[str]]], toxic: np.ndarray, landmarks: int = LANDMARKS, others: int = OTHERS) -> Model:
+    """Landmarks, Nystroem map, SVM on sentences and calibration from labelled documents, whole or as their ``sentences``.
 
     A toxic document's sentences carry its label only where they are its worst
     or stand out by themselves: the SVM is trained three times, each time on the
@@ -365,13 +391,17 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, others:
     none = Model(["none"], np.zeros(1), 0.0, 0.0, float(np.log(0.25 / 0.75)))
     if not 0 < toxic.sum() < len(toxic):
         return none
-    sample = Sample.of(texts)
+    sample = Sample.of([sentences(t) if isinstance(t, str) else t for t in texts])
     marks, drawn = choose_landmarks(sample, toxic, landmarks, others)
     if not marks:
         return none
     kernel = Kernel(marks)
-    near = np.concatenate([kernel.of(sample.words[i : i + CHUNK_WINDOWS]).max(1) for i in range(0, len(sample.words), CHUNK_WINDOWS)])
     calm = np.unique(sample.word[np.repeat(toxic[sample.owner] == 0, np.diff(sample.first))])
+    clean, near, nearest = np.isin(np.arange(len(sample.words)), calm), np.zeros(len(sample.words)), np.zeros(len(marks))
+    for i in range(0, len(sample.words), CHUNK_WINDOWS):
+        some = kernel.of(sample.words[i : i + CHUNK_WINDOWS])
+        near[i : i + len(some)] = some.max(1)
+        nearest = np.maximum(nearest, np.where(clean[i : i + len(some), None] & (some < 1 - 1e-9), some, 0.0).max(0))
     calm = calm[near[calm] < 1 - 1e-9]
     hard = [sample.words[i] for i in calm[np.lexsort((calm, -near[calm]))[:others]]]
     names = list(dict.fromkeys([*marks, *hard, *drawn]))
@@ -404,7 +434,10 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, others:
         part[held] = x_held @ w
     worst = sample.worst(part)
     margin = most(np.where(worst >= 0, part[worst], 0.0)).clip(0.0) + b
-    return Model(names, root @ w, b, *calibrate(np.append(margin, x_varied @ w + b), np.append(toxic, np.ones(len(varied), int)), np.append(np.ones(len(texts)), np.full(len(varied), toxic.sum() / 4 / len(varied)))))
+    slope, offset = calibrate(np.append(margin, x_varied @ w + b), np.append(toxic, np.ones(len(varied), int)), np.append(np.ones(len(texts)), np.full(len(varied), toxic.sum() / 4 / len(varied))))
+    own = kernel.of(marks) @ (root @ w)
+    reach = np.where(slope * (own + b) + offset >= 0, np.maximum(nearest + REACH * (1 - nearest), FLOOR), np.inf)
+    return Model(names, root @ w, b, slope, offset, reach, own)
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -433,9 +466,9 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Fit on about ``rows`` whole labelled texts, drawn by a hash of their ids, none held out.
 
-    Tasks turn the texts into their sentences' distinct words; one task fits on
-    those of 2 * rows texts at most whatever the input, and the driver gets the
-    model alone. Null labels and texts are left out; a repeated label counts
+    Tasks turn the texts into their sentences' distinct words, TRAIN_SENTENCES
+    sentences and words of each at most; one task fits on those of 2 * rows
+    texts at most whatever the input, and the driver gets the model alone. Null labels and texts are left out; a repeated label counts
     again. Without labels of both kinds the model finds nothing toxic.
     """
     small_batches(docs.sparkSession)
@@ -444,13 +477,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(max(1, n))) < rows).limit(2 * rows)
     ids = F.broadcast(drawn)  # at most 2 * rows
     sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(ids, id_col)
-    sample = sample.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) == 1).cast("int").alias("y"))
+    sample = sample.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(label_col) == 1).cast("int").alias("y"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [pickle.dumps(sentences(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(told, pa.binary())], ["id", "y", "words"])
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "text"]).head(2 * rows)
-        return pd.DataFrame({"model": [pickle.dumps(fit(frame.text.tolist(), frame.y.to_numpy(), landmarks))]})
+        frame = frame.sort_values(["id", "words"]).head(2 * rows)
+        return pd.DataFrame({"model": [pickle.dumps(fit([pickle.loads(w) for w in frame.words], frame.y.to_numpy(), landmarks))]})
 
-    got = sample.groupBy().applyInPandas(fitted, "model binary").collect()
+    got = sample.mapInArrow(split, "id long, y int, words binary").groupBy().applyInPandas(fitted, "model binary").collect()
     return pickle.loads(got[0].model) if got else fit([], np.zeros(0, int), landmarks)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm.toxicity import DECAY, POWER, SPAN, Kernel, fit, held_out, score, train, windows
+from driftgrid.llm.toxicity import DECAY, POWER, SPAN, Kernel, fit, held_out, score, sentences, train, windows
 from tests.llm.data import frame, words
 
 INSULTS = ["blockhead", "numbskull", "dimwit"]
@@ -145,3 +145,26 @@ def test_insults_of_two_ideographs_are_learnt():
         texts.append(t), toxic.append(int(i % 4 == 0))
     m = fit(texts, np.array(toxic))
     assert ((m.scores(texts) >= 0.5) == np.array(toxic)).mean() > 0.98
+
+
+def test_one_letter_set_in_anywhere_is_tolerated(model):
+    variants = [w[:k] + c + w[k:] for w in INSULTS for k in range(1, len(w)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = model.scores([f"so {v} it is" for v in variants]) >= 0.5
+    assert found.mean() >= 0.9
+    texts, toxic = corpus(300, seed=21)
+    assert (model.scores(texts)[toxic == 0] >= 0.5).mean() < 0.02  # clean texts stay clean
+
+
+def test_no_clean_word_of_the_sample_counts_as_a_landmark(model):
+    texts, toxic = corpus()
+    clean = sorted({w for t, y in zip(texts, toxic) if not y for s in sentences(t) for w in s})
+    near = model.kernel.of(clean)[:, : len(model.reach)]
+    assert np.isfinite(model.reach).any() and not (near >= model.reach).any()
+
+
+def test_what_the_fit_reads_of_a_text_is_bounded():
+    rng = random.Random(3)
+    long = ". ".join(" ".join(words(rng, 50)) for _ in range(60))
+    got = sentences(long, most=20)
+    assert len(got) == 20 and all(len(s) <= 20 for s in got) and got == sentences(long, most=20)
+    assert sentences("A b a. Cd") == [["a", "b"], ["cd"]] and sentences("") == [[]]
