@@ -77,8 +77,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_id"
     Returns query_id long, rank int (from 1), vec_id long, score long. Ties go
     to the smaller id. Null vectors or ids, vectors with null or non-finite
     components, and vectors whose length isn't the query's take no part; rows
-    that share the query's id are not its candidates; rows of another repeated
-    id count each. Empty input gives an empty result; other columns are ignored.
+    that share the query's id are not its candidates; of those that ask by one
+    id the one with the least vector does (the shorter, then the smaller), and
+    rows of another repeated id count each. Empty input gives an empty result; other columns are ignored.
     """
     v = F.col(vector_col)
     whole = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
@@ -91,7 +92,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_id"
     group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("id", "dims", "v", slab.alias("slab"), every(groups).alias("part"))
-    right = rows.where("q").select("id", "dims", "v", every(slabs).alias("slab"), group.alias("part"))
+    asked = rows.where("q").groupBy("id").agg(F.min(F.struct("dims", "v")).alias("__q")).select("id", "__q.*")
+    right = asked.select("id", "dims", "v", every(slabs).alias("slab"), group.alias("part"))
 
     def best(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -67,3 +67,10 @@ def test_half_of_the_candidates_go_by_half_of_the_blocks():
         score = v @ v[i]
         score[i] = score.min() - 1
         assert s[q == i].tolist() == np.sort(score)[::-1][:20].tolist()
+
+
+def test_an_id_asks_once(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 5.0]), (1, [1.0, 1.0]), (2, [3.0, 0.5]), (2, [3.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 20, k=3).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 64 * 5 * 64), (20, 2, 2, 32 * 5 * 64), (20, 3, 2, 32 * 5 * 64)]
