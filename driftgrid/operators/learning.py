@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftgrid.functions.columns import on_sphere, positive
 from driftgrid.operators.fields import percentile_scaled
 from driftgrid.operators.splits import class_weights
+from driftgrid.session import cut
 
 
 TRAINED_AT_ONCE = 4
@@ -85,9 +86,10 @@ def clusters(features: DataFrame, k: int, *, cell: str = "cell_id", seeds: tuple
 def cluster_scan(features: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), *, cell: str = "cell_id") -> DataFrame:
     """k, cost, silhouette over all rows."""
     rows = []
-    held = features.select(cell, array_to_vector("features").alias("features"))
+    once = cut(features)  # for every k
+    held = once.select(cell, array_to_vector("features").alias("features"))
     for k in ks:
-        labels, cost = clusters(features, k, cell=cell)
+        labels, cost = clusters(once, k, cell=cell)
         told = labels.join(held, cell).withColumnRenamed("cluster", "prediction")
         rows.append((k, float(cost), float(ClusteringEvaluator().evaluate(told))))
     return features.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
