@@ -41,6 +41,11 @@ def demean(df: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame
     return df.join(ensemble_mean(df, keys=keys, value=value, name="__mean"), keys).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
 
 
+def demean_within(df: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame:
+    """``demean`` for rows that are already dealt by one of the keys: a window, so they are not dealt again."""
+    return df.withColumn(value, F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(Window.partitionBy(*keys)))
+
+
 def season_means(df: DataFrame, season: str, *, keys: list[str], value: str = "value", complete: bool = True) -> DataFrame:
     """Plain mean of a season's months; incomplete seasons are dropped if ``complete``."""
     out = df.where(in_season(F.col("month"), season)).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("value"), F.count_distinct("month").alias("__n"))

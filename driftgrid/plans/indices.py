@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import fill_land, month_index, ocean, phase_label, sign_label, split_pair, tripole
-from driftgrid.operators.fields import anomalies, box_means, demean, forced_region, normalized, season_means, with_grid
+from driftgrid.operators.fields import anomalies, box_means, demean, demean_within, forced_region, normalized, season_means, with_grid
 from driftgrid.operators.lowpass import lowpass
 from driftgrid.operators.series import correction_parts, detrended, forced_corrected, forced_removed, run_labels, smoothed
 from driftgrid.operators.splits import training_statistics
@@ -97,12 +97,16 @@ def enso_flavours(cells: DataFrame, grid: DataFrame, *, ensemble: bool = True, b
     return out.withColumn("label", phase_label(F.col("value"), cut))
 
 
+def cell_anomalies(cells: DataFrame, *, ensemble: bool, base: tuple[int, int]) -> DataFrame:
+    """Anomalies of every cell, without the ensemble mean first if asked. Cells are dealt once, by cell, for both: a cell has a row for each member and month."""
+    held = cells.repartition("cell_id")
+    held = demean_within(held, keys=["year", "month", "cell_id"]) if ensemble else held
+    return anomalies(held, keys=["member", "month", "cell_id"], base=base, name="value")
+
+
 def ipo(cells: DataFrame, grid: DataFrame, *, ensemble: bool = True, base: tuple[int, int] = (1990, 2020), cutoff_years: float = 13.0, boxes: dict = IPO_BOXES) -> DataFrame:
     """Tripole of per-cell anomalies, raw and low-passed, with the sign of the latter."""
-    if ensemble:
-        cells = demean(cells, keys=["year", "month", "cell_id"])
-    held = anomalies(cells, keys=["member", "month", "cell_id"], base=base, name="value")
-    s = box_means(held, grid, boxes, keys=["member", "year", "month"]).withColumn("t", month_index(F.col("year"), F.col("month")))
+    s = box_means(cell_anomalies(cells, ensemble=ensemble, base=base), grid, boxes, keys=["member", "year", "month"]).withColumn("t", month_index(F.col("year"), F.col("month")))
     wide = s.groupBy("member", "year", "month", "t").pivot("region", list(boxes)).agg(F.first("value"))
     raw = cut(wide.select("member", "year", "month", "t", tripole(*[F.col(b) for b in boxes]).alias("value")))  # read several times by the filter
     low = lowpass(raw.select("member", "t", "value"), keys=["member"], cutoff_years=cutoff_years)

@@ -323,6 +323,18 @@ def test_index_paths_agree(spark, grid):
     assert len(values) == 108 and all((r["value"] == -10) == (r.cell_id in land) for r in values)
 
 
+def test_cell_anomalies_deal_cells_once(spark, grid):
+    f = F.sin(F.col("cell_id") * 0.7 + F.col("member") * 1.3 + F.col("month") * 2.1 + F.col("year") * 0.4)
+    cells = field(spark, grid, f, members=range(3), years=(2000, 2001, 2002), months=range(1, 13))
+    out = I.cell_anomalies(cells, ensemble=True, base=(2000, 2001))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(cell_id") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan.split("Exchange hashpartitioning")[0]
+    want = D.anomalies(D.demean(cells, keys=["year", "month", "cell_id"]), keys=["member", "month", "cell_id"], base=(2000, 2001), name="value")
+    key = lambda r: (r.member, r.year, r.month, r.cell_id)
+    a, b = (sorted(x.collect(), key=key) for x in (out, want))
+    assert len(a) == len(b) and all(key(x) == key(y) and abs(x["value"] - y["value"]) < 1e-12 for x, y in zip(a, b))
+
+
 def test_sources(spark, tmp_path, grid):
     cells = field(spark, grid, F.when(F.col("cell_id") == 3, float("nan")).otherwise(F.col("cell_id") * 1.0), members=(0, 1), months=(1, 6)).withColumn("variable", F.lit("sst"))
     path = str(tmp_path / "cells")

