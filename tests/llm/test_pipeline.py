@@ -80,4 +80,4 @@ def test_without_labels_nothing_goes(spark, folder, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))
