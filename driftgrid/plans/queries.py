@@ -651,9 +651,9 @@ c AS (SELECT *, (abs(e0 - n0 * e / n) - least(0.5, abs(e0 - n0 * e / n))) ** 2 *
 f AS (SELECT {keys}, sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp - mx) ELSE 0 END) / sum(exp(lp - mx)) AS fisher_p FROM (SELECT *, max(lp) OVER (PARTITION BY {keys}) AS mx, max(CASE WHEN i = e0 THEN lp END) OVER (PARTITION BY {keys}) AS lo
 FROM (SELECT {keys}, i, e0, -(lgamma(i + 1) + lgamma(e - i + 1) + lgamma(n0 - i + 1) + lgamma(n - e - n0 + i + 1)) AS lp FROM m, range(0, 100000) r(i) WHERE i BETWEEN greatest(0, e + n0 - n) AND least(e, n0))) GROUP BY {keys}),
 t AS (SELECT {keys}, sum(exp(i * ln(2) + (2 * i + 1) * ln(sqrt(chi2 / 2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))) AS s FROM c, range(0, 400) r(i) GROUP BY {keys}),
-o AS (SELECT *, ln(e1 * (n0 - e0) / (e0 * (n1 - e1))) AS b, sqrt(1 / e1 + 1 / (n1 - e1) + 1 / e0 + 1 / (n0 - e0)) AS se FROM m),
+o AS (SELECT *, e1 > 0 AND e0 > 0 AND e1 < n1 AND e0 < n0 AS whole, ln(e1 * (n0 - e0) / (e0 * (n1 - e1))) AS b, sqrt(1 / e1 + 1 / (n1 - e1) + 1 / e0 + 1 / (n0 - e0)) AS se FROM m),
 l AS (SELECT {keys}, 1 - (e1 * ln(e1 / n1) + (n1 - e1) * ln(1 - e1 / n1) + e0 * ln(e0 / n0) + (n0 - e0) * ln(1 - e0 / n0)) / (e * ln(e / n) + (n - e) * ln(1 - e / n)) AS r2 FROM m)
-SELECT c.{keys}, round(chi2, 5) AS chi2, 1 AS dof, round(1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * s, 6) AS p, round(fisher_p, 6) AS fisher_p, round(exp(b), 5) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 5) AS low, round(exp(b + 1.959963984540054 * se), 5) AS high, round(r2, 6) AS r2
+SELECT c.{keys}, round(chi2, 5) AS chi2, 1 AS dof, round(1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * s, 6) AS p, round(fisher_p, 6) AS fisher_p, CASE WHEN whole THEN round(exp(b), 5) END AS odds_ratio, CASE WHEN whole THEN round(exp(b - 1.959963984540054 * se), 5) END AS low, CASE WHEN whole THEN round(exp(b + 1.959963984540054 * se), 5) END AS high, CASE WHEN whole THEN round(r2, 6) END AS r2
 FROM c JOIN f ON c.{keys} = f.{keys} JOIN t ON c.{keys} = t.{keys} JOIN o ON c.{keys} = o.{keys} JOIN l ON c.{keys} = l.{keys}"""
 
 
