@@ -7,7 +7,8 @@ cell of each of three parts of the sketch. The cells of two versions are
 subtracted (xor again); what they share cancels out, and peeling (a cell whose
 check bits are right holds one digest; taking it out frees others) recovers the
 digests that differ. That is tried with few cells first; if it stalls, both
-sketches are made again four times larger.
+sketches are made again four times larger. Sizes are data: one expression is
+folded over their array, so the plan is as large for ten sizes as for one.
 
 A fingerprint has as many cells as its own digests need, so that it can be
 peeled by itself: two fingerprints alone tell how alike their texts are.
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 PIECE = 400
 LEAST_PIECE = 160
-SIZES = (8, 32, 128, 512, 2048, 8192)
+SIZES = (8, 32, 128, 512, 2048, 8192, 32768, 131072, 524288, 2097152)
 #: So many digests a sketch of each size holds and still peels by itself.
-HOLDS = (8, 32, 192, 768, 4000, 18000)
+HOLDS = (8, 32, 192, 768, 4000, 18000, 72000, 288000, 1150000, 4600000)
 QUANTILES = 1000
 ROUNDS = 16
 BLOCK_ROWS = 4000
@@ -52,48 +53,54 @@ def digests(text: Column, piece: int = PIECE, least: int = LEAST_PIECE) -> Colum
     return F.array_distinct(F.transform(lines, digest))
 
 
-def cell(k: Column, part: int, size: int) -> Column:
-    """Each part reads its own bits of the digest; sizes are powers of two."""
-    return F.shiftrightunsigned(k, CHECK_BITS + FIELD_BITS * part).bitwiseAND(F.lit(size - 1))
+def shape(size: int) -> Column:
+    """A size, and of how many cells a run is: about sqrt(size)."""
+    return F.struct(F.lit(size).cast("long").alias("size"), F.lit(1 if size <= 8 else 1 << (size.bit_length() // 2)).cast("long").alias("run"))
 
 
-def build(items: Column, size: int) -> Column:
-    """The cells of the three parts, one after the other.
+def cell(k: Column, part: int, size: Column) -> Column:
+    """Each part reads its own bits of the digest, or of a hash of it where they are too few; sizes are powers of two."""
+    own = F.when(size <= 1 << FIELD_BITS, F.shiftrightunsigned(k, CHECK_BITS + FIELD_BITS * part)).otherwise(F.xxhash64(k, F.lit(part + 2)))
+    return own.bitwiseAND(size - 1)
 
-    For larger sizes items are first dealt into about sqrt(size) runs of cells,
-    so that a cell looks at the items of its run only.
+
+def build(items: Column, s: Column) -> Column:
+    """The cells of the three parts, one after the other, of a sketch of shape ``s``.
+
+    Items are first dealt into the runs of cells, so that a cell looks at the
+    items of its run only.
     """
-    return F.concat(*(part_cells(items, p, size) for p in range(3)))
+    return F.concat(*(part_cells(items, p, s) for p in range(3)))
 
 
-def part_cells(items: Column, part: int, size: int) -> Column:
+def part_cells(items: Column, part: int, s: Column) -> Column:
     zero = F.lit(0).cast("long")
-    run = 1 if size <= 8 else 1 << (size.bit_length() // 2)
-    span = F.sequence(zero, F.lit(size // run - 1).cast("long"))
-    xor = lambda own, i: F.aggregate(own, zero, lambda a, k: F.when(cell(k, part, size) == i, a.bitwiseXOR(k)).otherwise(a))
-    if run == 1:
-        return F.transform(span, lambda i: xor(items, i))
-
-    def of_run(r: Column) -> Column:
-        mine = F.filter(items, lambda k: F.shiftrightunsigned(cell(k, part, size), run.bit_length() - 1) == r)
-        cells = lambda own: F.transform(F.sequence(r * run, r * run + (run - 1)), lambda i: F.when(F.size(own) > 0, xor(own, i)).otherwise(zero))
+    placed = F.transform(items, lambda k: F.struct(k.alias("k"), cell(k, part, s["size"]).alias("c")))
+    xor = lambda own, i: F.aggregate(own, zero, lambda a, x: F.when(x.c == i, a.bitwiseXOR(x.k)).otherwise(a))
+
+    def of_run(all_: Column, r: Column) -> Column:
+        first = r * s["run"]
+        mine = F.filter(all_, lambda x: x.c.between(first, first + s["run"] - 1))
+        cells = lambda own: F.transform(F.sequence(first, first + s["run"] - 1), lambda i: F.when(F.size(own) > 0, xor(own, i)).otherwise(zero))
         return F.element_at(F.transform(F.array(mine), cells), 1)
 
-    return F.flatten(F.transform(span, of_run))
+    one_by_one = lambda all_: F.transform(F.sequence(zero, s["size"] - 1), lambda i: xor(all_, i))
+    by_runs = lambda all_: F.flatten(F.transform(F.sequence(zero, F.floor(s["size"] / s["run"]) - 1), lambda r: of_run(all_, r)))
+    return F.element_at(F.transform(F.array(placed), lambda all_: F.when(s["run"] == 1, one_by_one(all_)).otherwise(by_runs(all_))), 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def peel(cells: Column, size: int) -> Column:
+def peel(cells: Column, shape_: Column) -> Column:
     """How many digests differ, or null where peeling stalls."""
     pure = lambda cs: F.array_distinct(F.filter(cs, lambda k: (k != 0) & (check(k) == k.bitwiseAND(F.lit(CHECK_MASK)))))
 
     def step(s: Column, _: Column) -> Column:
         def taken(new: Column) -> Column:
             return F.when(F.size(new) == 0, F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(True).alias("over"))).otherwise(
-                F.struct(subtract(s["cells"], build(new, size)).alias("cells"), (s["found"] + F.size(new)).alias("found"), F.lit(False).alias("over"))
+                F.struct(subtract(s["cells"], build(new, shape_)).alias("cells"), (s["found"] + F.size(new)).alias("found"), F.lit(False).alias("over"))
             )
 
         return F.when(s["over"], s).otherwise(F.element_at(F.transform(F.array(pure(s["cells"])), taken), 1))
@@ -102,26 +109,24 @@ def peel(cells: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["cells"], lambda k: k == 0), s["found"]))
 
 
-def differing(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
+def differing(a: Column, b: Column) -> Column:
     """Digests in one of two sets only: peeled from the sketches, retried larger; counted from the sets beyond the largest."""
-    tries = [peel(subtract(a_cells, b_cells), SIZES[0])]
-    tries += [peel(subtract(build(a, s), build(b, s)), s) for s in SIZES[1:]]
-    return F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    step = lambda d, s: F.when(d.isNotNull(), d).otherwise(peel(subtract(build(a, s), build(b, s)), s))
+    tried = F.aggregate(F.array(*map(shape, SIZES)), F.lit(None).cast("int"), step)
+    return F.coalesce(tried, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
-def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two digest sets from their sizes and what differs; 1 for two empty ones."""
     both = F.size(a) + F.size(b)
-    d = differing(a, b, a_cells, b_cells)
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.element_at(F.transform(F.array(d), lambda x: (both - x) / (both + x).cast("double")), 1))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.element_at(F.transform(F.array(differing(a, b)), lambda x: (both - x) / (both + x).cast("double")), 1))
 
 
 def own_cells(items: Column) -> Column:
     """The cells of the smallest size that holds all items."""
-    out = build(items, SIZES[-1])
-    for size, most in list(zip(SIZES, HOLDS))[-2::-1]:
-        out = F.when(F.size(items) <= most, build(items, size)).otherwise(out)
-    return out
+    fits = F.filter(F.array(*(F.struct(F.lit(h).alias("holds"), shape(s).alias("shape")) for s, h in zip(SIZES, HOLDS))), lambda x: x.holds >= F.size(items))
+    chosen = F.coalesce(F.get(fits, 0)["shape"], shape(SIZES[-1]))
+    return F.element_at(F.transform(F.array(chosen), lambda s: build(items, s)), 1)
 
 
 def text_of(digest_set: Column, cells: Column) -> Column:
@@ -173,7 +178,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, edited_fingerprint, near_edited, near_next.
 
     near_* is the Jaccard likeness of the digest sets; they are recovered from
-    the two fingerprints alone up to 18,000 digests a text (above, sets are
+    the two fingerprints alone up to 4,600,000 digests a text (above, sets are
     compared). Null texts are empty. Null ids come last; repeated ids keep one order by
     their contents. Other columns are ignored. An empty table gives no rows.
     """
@@ -184,7 +189,6 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.withColumn("edited_text", F.concat(F.substring("__text", F.lit(1), F.length("__text") - third), F.substring("__next", F.lit(1), third)))
     for name, text in (("a", "__text"), ("e", "edited_text"), ("x", "__next")):
         out = out.withColumn(f"__{name}", digests(F.col(text)))
-    out = out.withColumns({f"__{n}c": build(F.col(f"__{n}"), SIZES[0]) for n in "aex"})
-    near = lambda n: likeness(F.col("__a"), F.col(f"__{n}"), F.col("__ac"), F.col(f"__{n}c"))
+    near = lambda n: likeness(F.col("__a"), F.col(f"__{n}"))
     told = lambda n: text_of(F.col(f"__{n}"), own_cells(F.col(f"__{n}")))
     return out.select(id_col, "n_chars", "edited_text", told("a").alias("fingerprint"), told("e").alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))

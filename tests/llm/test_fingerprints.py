@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftgrid.llm import fingerprints
-from driftgrid.llm.fingerprints import SIZES, build, digests, differing, fingerprint_edits
+from driftgrid.llm.fingerprints import digests, differing, fingerprint_edits
 from tests.llm.data import documents, frame, words
 
 
@@ -39,8 +39,8 @@ def test_peeling_counts_the_difference(spark):
         both, a, b = rng.integers(0, 200), rng.integers(0, 40), rng.integers(0, 3000 if i > 57 else 60)
         rows.append((i, "\n".join(f"s{i}-{k}" for k in range(both)) + "\n" + "".join(f"a{i}-{k}\n" for k in range(a)), "\n".join(f"s{i}-{k}" for k in range(both)) + "\n" + "".join(f"b{i}-{k}\n" for k in range(b)), int(a + b)))
     df = spark.createDataFrame(rows, "i int, a string, b string, want int")
-    df = df.withColumns({"x": digests(F.col("a")), "y": digests(F.col("b"))}).withColumns({"xc": build(F.col("x"), SIZES[0]), "yc": build(F.col("y"), SIZES[0])})
-    got = df.select("want", differing(F.col("x"), F.col("y"), F.col("xc"), F.col("yc")).alias("d"), F.size(F.array_except("x", "y")).alias("e"), F.size(F.array_except("y", "x")).alias("f")).collect()
+    df = df.withColumns({"x": digests(F.col("a")), "y": digests(F.col("b"))})
+    got = df.select("want", differing(F.col("x"), F.col("y")).alias("d"), F.size(F.array_except("x", "y")).alias("e"), F.size(F.array_except("y", "x")).alias("f")).collect()
     assert all(r.d == r.e + r.f for r in got)
     assert all(abs(r.d - r.want) <= 2 for r in got)
 
@@ -123,3 +123,13 @@ def test_repeats_nulls_and_empty(spark):
     one = fingerprint_edits(frame(spark, documents()[:1])).first()
     t = documents()[0][1]
     assert one.edited_text == t[: len(t) - len(t) // 3] + t[: len(t) // 3]
+
+
+def test_a_text_of_twenty_thousand_lines_has_a_fingerprint_of_its_own(spark):
+    text = "".join(f"line {i} of many\n" for i in range(20_000))
+    rows = [(2, text, "en", "s", 0, 0.0, 0, 0, 0, ""), (1, "other\n" * 3, "en", "s", 0, 0.0, 0, 0, 0, "")]
+    got = {r.doc_id: r for r in fingerprint_edits(frame(spark, rows)).collect()}
+    head, cells = got[2].fingerprint.split(":")
+    assert int(head, 16) == 20_000 and len(cells) == 16 * 3 * 32768 and len(got[1].fingerprint.split(":")[1]) == 16 * 3 * 8
+    lost = set(text.split("\n")) - set(got[2].edited_text.split("\n"))
+    assert 0.6 < got[2].near_edited < 0.7 and abs(got[2].near_edited - (20_000 - len(lost)) / 20_001) < 0.001 and got[2].near_next == 0.0
