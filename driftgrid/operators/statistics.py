@@ -39,7 +39,12 @@ def integer_histogram(df: DataFrame, *, keys: list[str], value: str = "value") -
 
 
 def hexagons(df: DataFrame, x: str, y: str, *, size: int = 40) -> DataFrame:
-    """Counts on a hexagonal lattice with ``size`` columns over the extent: two interleaved rectangular lattices, the nearer centre wins."""
+    """Counts on a hexagonal lattice with ``size`` columns over the extent: two interleaved rectangular lattices, the nearer centre wins.
+
+    The samples are computed once: means that are added up again differ in their
+    last bits, and the extremes would miss the ends of the lattice.
+    """
+    df = cut(df.select(x, y))
     ends = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     rows = int(size / math.sqrt(3))
     out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(ends))

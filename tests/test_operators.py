@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -470,3 +471,10 @@ def test_student_p(spark):
 def test_two_phase_label_keeps_missing(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (None,)], "v double").select(K.two_phase_label(F.col("v")).alias("l"))
     assert [r.l for r in df.collect()] == [1, -1, None]
+
+
+def test_hexagons_compute_their_samples_once(spark):
+    later = F.udf(lambda v: v - time.monotonic() * 1e-9, "double").asNondeterministic()  # less whenever it is computed again
+    df = spark.createDataFrame([(0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)], "a double, b double").select(later("a").alias("a"), "b")
+    out = {r.hex_i for r in Q.hexagons(df, "a", "b").collect() if r.hex_j == 11.5}
+    assert out == {0.5, 40.5}
