@@ -66,10 +66,11 @@ def rewritten_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, sf: str, path: str, years: tuple[int, int]) -> None:
-    """The cells of some years as chunks of a member and two years each, added to ``path``."""
+    """The cells of some years as chunks of a member and two years each, a file each, added to ``path``."""
     c = base.cells(spark, sf).drop("label").where(F.col("year").between(*years))
     first = F.col("year") - F.col("year") % 2
-    c.withColumn("chunk", F.format_string("ens.hist.%04d.001.sst.%d01-%d12", "member", first, first + 1)).drop("member").write.mode("append").partitionBy("chunk").parquet(path)
+    c = c.withColumn("chunk", F.format_string("ens.hist.%04d.001.sst.%d01-%d12", "member", first, first + 1)).drop("member")
+    c.repartition("chunk").write.mode("append").partitionBy("chunk").parquet(path)
 
 
 @query(f"WITH {C} SELECT printf('%04d.001', member) AS member_code, year, month, cell_id, round(value::FLOAT, 5) AS value FROM c")

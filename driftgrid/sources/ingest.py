@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import missing, month_index
+from driftgrid.session import cut
 from driftgrid.sources.catalog import require
 from driftgrid.sources.tables import write_table
 
 PATTERN = "*.parquet"
 NAME = r"\.([0-9]{4}\.[0-9]{3})\.(\w+)\."
+LISTERS = 64  # tasks that list folders
 
 
 def place() -> Column:
@@ -30,14 +32,23 @@ def named(name: str) -> dict[str, Column]:
     return {"file": own, "member_code": F.regexp_extract(own, name, 1), "variable": F.regexp_extract(own, name, 2)}
 
 
+def few_listers(spark: SparkSession, most: int = LISTERS) -> None:
+    """Bound the tasks of a listing, which else has one for each folder or path."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if int(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
+
+
 def chunk_files(spark: SparkSession, raw: str, *, pattern: str = PATTERN, name: str = NAME) -> DataFrame:
     """path, chunk (its place), file (its name), member_code, variable, bytes of the raw files; nothing is read but their listing."""
+    few_listers(spark)
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(raw)
     return listed.select(F.col("_metadata.file_path").alias("path"), place().alias("chunk"), F.col("_metadata.file_size").alias("bytes")).withColumns(named(name))
 
 
 def read_chunks(spark: SparkSession, path: str | list[str], *, pattern: str = PATTERN, name: str = NAME) -> DataFrame:
     """Rows of raw chunks with chunk, file, member_code and variable of their files; floats and NULLs at rest."""
+    few_listers(spark)
     df = spark.read.option("pathGlobFilter", pattern).parquet(*([path] if isinstance(path, str) else path))
     return df.withColumn("chunk", place()).withColumns({**named(name), "value": missing(F.col("value")).cast("float")})
 
@@ -102,7 +113,7 @@ def ingest(spark: SparkSession, raw: str, out: str, *, expected: DataFrame | Non
     lost is repeated with the same batch, and what it has left is overwritten or
     never read. Old chunks aren't read again. One run at a time may write.
     """
-    files = chunk_files(spark, raw)
+    files = cut(chunk_files(spark, raw))
     if expected is not None:
         require(expected, files)
     chunks = files.groupBy("chunk").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
@@ -117,7 +128,7 @@ def ingest(spark: SparkSession, raw: str, out: str, *, expected: DataFrame | Non
     if not paths:
         return ingested(spark, out)
     cells = read_chunks(spark, paths)
-    ranges = chunk_ranges(cells)
+    ranges = cut(chunk_ranges(cells))  # read twice: for overlaps, and to be written
     refuse_overlaps(ranges if known is None else ranges.unionByName(known.select(ranges.columns)))
     batch = fresh.agg(F.concat(F.lit("b"), F.hex(F.bit_xor(F.xxhash64("chunk", "files", "bytes"))))).first()[0]
     write_table(cells.drop("chunk", "file").withColumn("batch", F.lit(batch)), f"{out}/cells", by=["batch", "variable", "month"])

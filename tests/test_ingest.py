@@ -138,3 +138,19 @@ def test_only_steps_are_read_for_ranges(spark, tmp_path):
     add(spark, raw, rows(1, 1990, 1999))
     plan = ingest.chunk_ranges(ingest.read_chunks(spark, raw))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<year:int,month:int" in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+def test_a_chunk_is_one_file_whatever_tasks_read_its_cells(spark, tmp_path):
+    from driftgrid.plans.records import chunk_table
+
+    e = spark.range(240).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    e.repartition(6).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        chunk_table(spark, str(tmp_path), f"{tmp_path}/raw", (0, 9999))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = ingest.chunk_files(spark, f"{tmp_path}/raw")
+    assert files.count() == files.select("chunk").distinct().count() == 10
+    ingest.ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/out")
+    assert {(r.rows, r.last - r["first"]) for r in ingest.known_chunks(spark, f"{tmp_path}/out").collect()} == {(48, 23)}
