@@ -619,7 +619,8 @@ SELECT member, t, round(v, 6) AS value, round(filtered, 6) AS filtered, sign(rou
 def tripole_index(spark: SparkSession, sf: str) -> DataFrame:
     """Tripole of per-cell anomalies, raw and low-passed, with the sign of the latter."""
     out = I.ipo(base.cells(spark, sf).drop("label"), base.grid(spark, sf), base=INDEX_BASE, cutoff_years=1.5, boxes=INDEX_BOXES)
-    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", "label"))
+    label = K.sign_label(F.round("filtered", 9))  # what is 0 but for its last bits has no sign
+    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", label.alias("label")))
 
 
 @query(f"WITH RECURSIVE {S}, x AS (SELECT member, t, value AS v FROM s), {sql_filter('x', 'lp', 2.0)} SELECT member, t, round(filtered / 997, 6) AS filtered FROM lp")

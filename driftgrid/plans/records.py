@@ -391,7 +391,8 @@ SELECT member, t, round(v, 6) AS value, round(filtered, 6) AS filtered, sign(rou
 def observed_tripole(spark: SparkSession, sf: str) -> DataFrame:
     """The tripole of one observed field, raw and low-passed, with the sign of the latter."""
     out = I.ipo(base.observed_cells(spark, sf), base.grid(spark, sf), ensemble=False, base=INDEX_BASE, cutoff_years=1.5, boxes=INDEX_BOXES)
-    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", "label"))
+    label = K.sign_label(F.round("filtered", 9))
+    return rounded(out.select("member", F.col("t").cast("int").alias("t"), "value", "filtered", label.alias("label")))
 
 
 def sql_region(name: str, source: str) -> str:

@@ -51,3 +51,13 @@ def test_all_splits_and_cluster_counts(spark):
     assert {r.split for r in relevance.select("split").distinct().collect()} == splits
     assert relevance.count() == relevance.select("split", "vec_id", "cell_id").distinct().count()
     assert {r.k for r in QUERIES["cluster_scan"](spark, SF).collect()} == {2, 3, 4, 5}
+
+
+def test_tripole_of_equal_cells_has_the_label_of_its_oracle(spark, tmp_path):
+    path = f"{tmp_path}/embeddings.parquet"
+    with duckdb.connect() as con:
+        con.execute(f"COPY (SELECT i AS vec_id, list_transform(range(0, 64), lambda k: sin(i)::FLOAT) AS embedding, 0 AS label FROM range(0, 480) r(i)) TO '{path}'")
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+        want = {r[:2]: r[4] for r in con.execute(ORACLE["tripole_index"]).fetchall()}
+    got = {(r.member, r.t): r.label for r in QUERIES["tripole_index"](spark, str(tmp_path)).collect()}
+    assert len(got) == 480 and got == want
